@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packed
+from . import bpe, packed, search
 from .common import read_table
 
 
@@ -24,9 +24,35 @@ def op6_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.round_trip(read_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), vocabulary=50_257, end_id=0)
 
 
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.exact_top_k(read_table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
+OP8_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id
+  WHERE q.vec_id % 50 = 0),
+r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+def op9_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.nearest(read_table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op6_packed_ids": op6_packed_ids,
+    "op8_exact_top_k": op8_exact_top_k,
+    "op9_cross_polytope": op9_cross_polytope,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op8_exact_top_k": OP8_SQL}
