@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packed, search
+from . import bpe, mixing, packed, search, secrets
 from .common import read_table
 
 
@@ -20,10 +20,18 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(read_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(read_table(spark, sf_dir, "documents")))
+
+
 def op6_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.round_trip(read_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), vocabulary=50_257, end_id=0)
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read_table(spark, sf_dir, "documents"), keep=["doc_id", "source", "text"])
+
+
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.exact_top_k(read_table(spark, sf_dir, "embeddings"), every=50, k=5)
 
@@ -50,9 +58,11 @@ def op9_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
+    "op4_secrets": op4_secrets,
     "op6_packed_ids": op6_packed_ids,
+    "op7_mixing": op7_mixing,
     "op8_exact_top_k": op8_exact_top_k,
     "op9_cross_polytope": op9_cross_polytope,
 }
 
-SQL: dict[str, str] = {"op8_exact_top_k": OP8_SQL}
+SQL: dict[str, str] = {"op7_mixing": mixing.mix_sql(), "op8_exact_top_k": OP8_SQL}
