@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, packed, search, secrets
+from . import bpe, langid, mixing, packed, search, secrets, toxicity
 from .common import read_table
 
 
@@ -16,6 +16,11 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.identify(docs, folds=3, held_out=1).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(read_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -56,13 +61,21 @@ def op9_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.nearest(read_table(spark, sf_dir, "embeddings"), every=20, k=20)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score_documents(docs, read_table(spark, sf_dir, "labels"), folds=4, held_out=2)
+    return scored.select("doc_id", "held_out", "score", "predicted", "evidence")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language": op2_language,
     "op3_bpe": op3_bpe,
     "op4_secrets": op4_secrets,
     "op6_packed_ids": op6_packed_ids,
     "op7_mixing": op7_mixing,
     "op8_exact_top_k": op8_exact_top_k,
     "op9_cross_polytope": op9_cross_polytope,
+    "op10_toxicity": op10_toxicity,
 }
 
 SQL: dict[str, str] = {"op7_mixing": mixing.mix_sql(), "op8_exact_top_k": OP8_SQL}
