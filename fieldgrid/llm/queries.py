@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, packed, search, secrets, toxicity
+from . import bpe, langid, mixing, packed, rlz, search, secrets, toxicity
 from .common import read_table
 
 
@@ -16,6 +17,11 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return rlz.remove_duplicates(docs).select("doc_id", "n_words", "n_removed", "kept_sha256", F.size("factors").alias("n_factors"))
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return langid.identify(docs, folds=3, held_out=1).select("doc_id", "held_out", "lang_pred", "score")
@@ -68,6 +74,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_language": op2_language,
     "op3_bpe": op3_bpe,
     "op4_secrets": op4_secrets,

@@ -28,8 +28,9 @@ TOXIC_DOCS, CLEAN_DOCS = 1_500, 4_500
 NEIGHBOURS = 15
 BLOCK = 64  # examples in a block
 PREFIXES = (4, 5, 6)
-#: A term is used from this chi-square, from this share of the sample's size in it, and from so many documents.
-LEAST_CHI2, LEAST_PHI2, LEAST_DOCS = 25.0, 0.02, 5
+#: A term is used from this chi-square, from this share of the sample's size in it, from so many
+#: documents, and if it is so many times likelier with label 1.
+LEAST_CHI2, LEAST_PHI2, LEAST_DOCS, LEAST_LIFT = 25.0, 0.012, 5, 8.0
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -55,23 +56,26 @@ class Index:
     weights: np.ndarray
     cuts: np.ndarray  # [t, b]: first posting of term t in block b or later
     tops: np.ndarray  # [t, b]: largest weight of term t in block b
-    slope: float = 0.0
-    offset: float = 0.0
+    curve: tuple[float, float, float] = (0.0, 0.0, 0.0)  # of vote, strength and 1
 
     def query(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
+        """Terms of the index and their weights, not yet divided by their norm."""
         found = [(i, n) for i, n in ((self.vocabulary.get(w), n) for w, n in counts.items()) if i is not None]
         if not found:
             return np.empty(0, np.int64), np.empty(0)
         t = np.array([i for i, _ in found])
         q = (1 + np.log(np.array([n for _, n in found], dtype=float))) * self.idf[t]
-        return t, q / np.linalg.norm(q)
+        return t, q
 
-    def nearest(self, counts: Counter, k: int = NEIGHBOURS, leave_out: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k nearest examples of positive cosine, ties to the earlier place."""
+    def nearest(self, counts: Counter, k: int = NEIGHBOURS, leave_out: int = -1) -> tuple[np.ndarray, np.ndarray, float]:
+        """Places and cosines of the k nearest examples of positive cosine, ties to the earlier
+        place, and the norm of the query."""
         t, q = self.query(counts)
         places, scores = np.empty(0, np.int64), np.empty(0)
         if not len(t):
-            return places, scores
+            return places, scores, 0.0
+        norm = float(np.linalg.norm(q))
+        q = q / norm
         bounds = q @ self.tops[t]
         for b in np.argsort(-bounds, kind="stable"):
             # a block whose bound just equals the k-th best may hold an equal example of earlier place
@@ -86,13 +90,20 @@ class Index:
             places, scores = np.concatenate([places, hit + b * BLOCK]), np.concatenate([scores, here[hit]])
             best = np.lexsort((places, -scores))[:k]
             places, scores = places[best], scores[best]
-        return places, scores
+        return places, scores, norm
 
-    def vote(self, places: np.ndarray, scores: np.ndarray) -> float:
-        return float(scores @ self.labels[places] / scores.sum()) if len(places) else 0.0
+    def vote(self, places: np.ndarray, scores: np.ndarray, norm: float) -> tuple[float, float]:
+        """The share of label 1 among the neighbours, weighted by cosine, and its strength: the
+        same sum before normalisation, on a log scale. One weak shared term gives a high share but
+        little strength."""
+        if not len(places):
+            return 0.0, 0.0
+        toxic = float(scores @ self.labels[places])
+        return toxic / float(scores.sum()), math.log1p(norm * toxic / len(places))
 
-    def score(self, vote: float) -> float:
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * vote + self.offset))))
+    def score(self, vote: tuple[float, float]) -> float:
+        a, b, c = self.curve
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, a * vote[0] + b * vote[1] + c))))
 
 
 def sample_of(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC_DOCS, clean: int = CLEAN_DOCS) -> DataFrame:
@@ -124,7 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, base_rate: float | None = None) ->
         c, d = F.lit(float(p)) - a, F.lit(float(n - p)) - b
         chi2 = F.try_divide(n * (a * d - b * c) * (a * d - b * c), (a + b) * (c + d) * (a + c) * (b + d))
         # at most the distinct terms of the sample's documents, of which each is in LEAST_DOCS or more
-        used = found.where((F.col("df") >= LEAST_DOCS) & (chi2 >= max(LEAST_CHI2, LEAST_PHI2 * n))).select("term", "df").orderBy("term").collect()
+        used = found.where((F.col("df") >= LEAST_DOCS) & (chi2 >= max(LEAST_CHI2, LEAST_PHI2 * n)) & (a * (n - p) > LEAST_LIFT * b * p)).select("term", "df").orderBy("term").collect()
         keep = F.array(*[F.lit(r["term"]) for r in used]) if used else F.array().cast("array<string>")
         pairs = F.filter(F.arrays_zip("terms", "counts"), lambda x: F.array_contains(keep, x["terms"]))
         examples = counted.select("doc_id", "toxic", pairs.alias("pairs")).orderBy("doc_id").collect()  # the bounded sample
@@ -166,22 +177,22 @@ def calibrate(index: Index, counts: list[Counter], rate: float) -> None:
     pos, neg = int(y.sum()), int(len(y) - y.sum())
     if not pos or not neg:
         p = min(max(rate, 1e-6), 1 - 1e-6)
-        index.slope, index.offset = 0.0, math.log(p / (1 - p))
+        index.curve = (0.0, 0.0, math.log(p / (1 - p)))
         return
     votes = np.array([index.vote(*index.nearest(c, leave_out=i)) for i, c in enumerate(counts)])
     rate = min(max(rate, 1e-6), 1 - 1e-6)
     weight = np.where(y == 1, rate / pos, (1 - rate) / neg) * len(y)
     target = np.where(y == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
-    x, beta = np.stack([votes, np.ones(len(votes))], axis=1), np.array([1.0, 0.0])
+    x, beta = np.column_stack([votes, np.ones(len(votes))]), np.zeros(3)
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
         grad = x.T @ (weight * (target - p)) - 1e-3 * beta
-        hess = (x * (weight * np.maximum(p * (1 - p), 1e-9))[:, None]).T @ x + 1e-3 * np.eye(2)
+        hess = (x * (weight * np.maximum(p * (1 - p), 1e-9))[:, None]).T @ x + 1e-3 * np.eye(3)
         step = np.linalg.solve(hess, grad)
         beta = beta + step * min(1.0, 5 / max(1e-9, np.abs(step).max()))
         if np.abs(step).max() < 1e-6:
             break
-    index.slope, index.offset = float(beta[0]), float(beta[1])
+    index.curve = tuple(beta.tolist())
 
 
 def predict(docs: DataFrame, index: Index, least: float = 0.3) -> DataFrame:
@@ -199,8 +210,8 @@ def predict(docs: DataFrame, index: Index, least: float = 0.3) -> DataFrame:
         for batch in batches:
             scores, evidence = [], []
             for text in batch.column(at).to_pylist():
-                places, cosines = ix.nearest(terms(text))
-                scores.append(ix.score(ix.vote(places, cosines)))
+                places, cosines, norm = ix.nearest(terms(text))
+                scores.append(ix.score(ix.vote(places, cosines, norm)))
                 evidence.append(ix.ids[places].tolist())
             cols = [pa.array(scores, pa.float64()), pa.array([int(s >= least) for s in scores], pa.int32()), pa.array(evidence, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[*names, *[f.name for f in extra]])
