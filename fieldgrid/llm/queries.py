@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, packed, rlz, search, secrets, toxicity
+from . import bpe, langid, minhash, mixing, packed, rlz, search, secrets, toxicity
 from .common import read_table
 
 
@@ -35,6 +35,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(read_table(spark, sf_dir, "documents")))
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.round_trip(read_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), vocabulary=50_257, end_id=0)
 
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language": op2_language,
     "op3_bpe": op3_bpe,
     "op4_secrets": op4_secrets,
+    "op5_minhash": op5_minhash,
     "op6_packed_ids": op6_packed_ids,
     "op7_mixing": op7_mixing,
     "op8_exact_top_k": op8_exact_top_k,
