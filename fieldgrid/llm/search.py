@@ -124,7 +124,7 @@ def axes(unit: np.ndarray, table: int, probes: int, seed: int = 7) -> np.ndarray
     return np.argsort(-both, axis=1, kind="stable")[:, : min(probes, 2 * d)]
 
 
-def nearest(vectors: DataFrame, every: int = 20, k: int = 20, tables: int = 10, probes: int = 8, chunk: int = 4096, seed: int = 7) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 20, k: int = 20, tables: int = 10, probes: int = 12, chunk: int = 4096, seed: int = 7) -> DataFrame:
     """The k nearest (largest inner product) found for each row whose id is divisible by ``every``.
 
     Every row is indexed: each of ``tables`` pseudo-rotations assigns its unit vector to the
