@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldgrid.llm import bpe, langid, minhash, mixing, secrets
+from fieldgrid.llm.common import set_aside
 from fieldgrid.llm.queries import tokenizer
 from fieldgrid.session import ship
 
@@ -20,9 +21,10 @@ LEAST_LANGUAGE_SCORE = 0.5
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents with a clear language, by models learned from two folds of three; the
     language found becomes ``lang``. Documents without letters go."""
-    found = langid.identify(docs, folds=3, held_out=1)
+    bare, back = set_aside(docs, ("doc_id", "text", "lang"))
+    found = langid.identify(bare, folds=3, held_out=1)
     clear = found.where((F.col("lang_pred") != langid.UNDEFINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE))
-    return clear.select(*[F.col("lang_pred").alias("lang") if c == "lang" else F.col(c) for c in docs.columns])
+    return back(clear.withColumn("lang", F.col("lang_pred")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,13 +36,17 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace secrets by a mask; ``n_chars`` follows the text. No document goes."""
-    clean = secrets.redact(secrets.scan(docs))
-    return clean.select(*[F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns])
+    bare, back = set_aside(docs, ("doc_id", "text", "n_chars"))
+    clean = secrets.redact(secrets.scan(bare))
+    if "n_chars" in docs.columns:
+        clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return back(clean)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replicate documents so that sources meet their target weights, and shuffle."""
-    return mixing.mix(docs).select(*docs.columns)
+    bare, back = set_aside(docs, ("doc_id", "text", "source"))
+    return back(mixing.mix(bare))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -20,10 +21,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where none is set (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.gettempdir()}/fieldgrid-{spark.sparkContext.applicationId}"
-    return found.rstrip("/")
+    found = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
+    return f"{found.rstrip('/')}/fieldgrid-{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what this application has written to the shared folder; its results can't be read after that."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -34,6 +39,14 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def set_aside(docs: DataFrame, used: tuple[str, ...]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with all columns but ``used`` renamed, so that none clashes with what an operator
+    adds, and a function that brings their names and order back."""
+    names = docs.columns
+    short = [c if c in used else f"__fg_aside_{i}" for i, c in enumerate(names)]
+    return docs.toDF(*short), lambda df: df.select(*[F.col(s).alias(c) for s, c in zip(short, names)])
+
+
 def with_fold(df: DataFrame, parts: int, name: str = "fold") -> DataFrame:
     """``crc32(doc_id as text) mod parts``; a null id is in fold 0."""
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts

@@ -169,6 +169,6 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 def identify(docs: DataFrame, folds: int = 3, held_out: int = 1) -> DataFrame:
     """Train on the folds that aren't held out, predict every row: adds held_out, lang_pred, score."""
-    fold = with_fold(docs.drop("held_out"), folds, "_fold")
-    model = train(fold.where(F.col("_fold") != held_out))
-    return predict(fold.withColumn("held_out", F.col("_fold") == held_out).drop("_fold"), model)
+    fold = with_fold(docs.drop("held_out"), folds, "__fg_fold")
+    model = train(fold.where(F.col("__fg_fold") != held_out))
+    return predict(fold.withColumn("held_out", F.col("__fg_fold") == held_out).drop("__fg_fold"), model)

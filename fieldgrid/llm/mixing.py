@@ -86,13 +86,13 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: float |
     u = uniform(seed, F.col("doc_id"))
     if small_enough(rates, BROADCAST_SOURCES):
         # one row a source, and the number of sources has just been checked
-        joined = docs.alias("d").join(F.broadcast(rates.select(F.col("source").alias("_s"), F.col("rate").alias("_rate"))), F.col("d.source").eqNullSafe(F.col("_s")))
+        joined = docs.alias("d").join(F.broadcast(rates.select(F.col("source").alias("__fg_s"), F.col("rate").alias("__fg_rate"))), F.col("d.source").eqNullSafe(F.col("__fg_s")))
     else:
-        salted = rates.select(F.col("source").alias("_s"), F.col("rate").alias("_rate"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_salt"))
-        here = docs.withColumn("_part", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int")).alias("d")
-        joined = here.join(salted, F.col("d.source").eqNullSafe(F.col("_s")) & (F.col("_part") == F.col("_salt")))
-    counted = joined.withColumn("_count", poisson_count(u, F.col("_rate"), most)).where(F.col("_count") > 0)
-    copies = counted.select(*[F.col(f"d.{c}") for c in columns], F.explode(F.sequence(F.lit(1), F.col("_count"))).alias("copy"))
+        salted = rates.select(F.col("source").alias("__fg_s"), F.col("rate").alias("__fg_rate"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("__fg_salt"))
+        here = docs.withColumn("__fg_part", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int")).alias("d")
+        joined = here.join(salted, F.col("d.source").eqNullSafe(F.col("__fg_s")) & (F.col("__fg_part") == F.col("__fg_salt")))
+    counted = joined.withColumn("__fg_count", poisson_count(u, F.col("__fg_rate"), most)).where(F.col("__fg_count") > 0)
+    copies = counted.select(*[F.col(f"d.{c}") for c in columns], F.explode(F.sequence(F.lit(1), F.col("__fg_count"))).alias("copy"))
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("copy").cast("string")).cast("binary"))
     shuffled = copies.withColumn("shuffle_key", key)
     return shuffled.repartitionByRange("shuffle_key").sortWithinPartitions("shuffle_key")

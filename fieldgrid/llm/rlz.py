@@ -201,8 +201,8 @@ def remove_duplicates(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -
     stay; columns with the added names are replaced.
     """
     found = duplicate_windows(docs, window, gram)
-    spans = found.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text_key")).agg(F.collect_list(F.struct("lo", "hi", "ref")).alias("_spans"))
-    spans = spans.groupBy("_id").agg(F.collect_list(F.struct("_text_key", "_spans")).alias("_found"))
+    spans = found.groupBy(F.col("doc_id").alias("__fg_id"), F.col("text_key").alias("__fg_key")).agg(F.collect_list(F.struct("lo", "hi", "ref")).alias("__fg_spans"))
+    spans = spans.groupBy("__fg_id").agg(F.collect_list(F.struct("__fg_key", "__fg_spans")).alias("__fg_found"))
     docs = docs.drop("n_words", "n_removed", "kept_text", "kept_sha256", "factors")
     names = docs.columns
     at = names.index("text")
@@ -213,7 +213,7 @@ def remove_duplicates(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -
         T.StructField("kept_sha256", T.StringType()),
         T.StructField("factors", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("ref", T.LongType())]))),
     ]
-    joined = docs.join(spans, docs["doc_id"].cast("long") == F.col("_id"), "left").drop("_id")
+    joined = docs.join(spans, docs["doc_id"].cast("long") == F.col("__fg_id"), "left").drop("__fg_id")
 
     def run(batches):
         for batch in batches:
@@ -223,7 +223,7 @@ def remove_duplicates(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -
                 spans = []
                 if found:
                     key = _key(text)
-                    spans = next((f["_spans"] for f in found if f["_text_key"] == key), [])
+                    spans = next((f["__fg_spans"] for f in found if f["__fg_key"] == key), [])
                 kept, factors = words, []
                 if spans:
                     spans = _everywhere(text, spans, window)

@@ -221,7 +221,7 @@ def predict(docs: DataFrame, index: Index, least: float = 0.3) -> DataFrame:
 
 def score_documents(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2) -> DataFrame:
     """Learn from labels of the folds that aren't held out, score every row: adds held_out, score, predicted, evidence."""
-    fold = with_fold(docs.drop("held_out"), folds, "_fold")
-    known = with_fold(labels.select("doc_id", "toxic"), folds, "_fold").where(F.col("_fold") != held_out)
-    index = train(fold.where(F.col("_fold") != held_out), known)
-    return predict(fold.withColumn("held_out", F.col("_fold") == held_out).drop("_fold"), index)
+    fold = with_fold(docs.drop("held_out"), folds, "__fg_fold")
+    known = with_fold(labels.select("doc_id", "toxic"), folds, "__fg_fold").where(F.col("__fg_fold") != held_out)
+    index = train(fold.where(F.col("__fg_fold") != held_out), known)
+    return predict(fold.withColumn("held_out", F.col("__fg_fold") == held_out).drop("__fg_fold"), index)

@@ -73,3 +73,29 @@ def test_stages_work_on_what_came_before(spark, small):
 
 def test_names_and_order():
     assert [len(re.findall(r"\w", n)) > 0 for n, _ in corpus_pipeline.STAGES] == [True] * 5
+
+
+def test_clashing_columns_survive(spark, small):
+    path, rows = small
+    clash = ["score", "held_out", "lang_pred", "secrets", "copy", "shuffle_key", "kept", "n", "id", "_fold", "rate", "evidence"]
+    wide = [(*r, *[f"{c}{r[0]}" for c in clash]) for r in rows[:60]]
+    docs = spark.createDataFrame(wide, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in clash))
+    names = docs.columns
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        docs = stage(spark, docs, path)
+        assert docs.columns == names
+    found = docs.collect()
+    assert found and all(r[c] == f"{c}{r.doc_id}" for r in found for c in clash)
+
+
+def test_scratch_folders_can_be_released(spark):
+    from fieldgrid.llm.common import cut, release
+
+    df = cut(spark.range(5).toDF("x"))
+    assert df.count() == 5
+    folder = df.inputFiles()[0].removeprefix("file:").rsplit("/", 2)[0]
+    import os
+
+    assert os.path.isdir(folder.replace("//", "/"))
+    release(spark)
+    assert not os.path.isdir(folder.replace("//", "/"))
