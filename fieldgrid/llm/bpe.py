@@ -23,8 +23,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import sliced
+
 LEAF = 4096  # characters; longer unsplit pieces are encoded by halves
-KEPT = 600_000  # distinct pieces in each of the two generations that a worker keeps
+KEPT = 150_000  # distinct pieces in each of the two generations that a worker keeps
 #: White space after a space or line feed, or at the end: only then can a run of white space be longer than one.
 _ODD_SPACE = re.compile(r"[ \n](?:\s|\Z)")
 
@@ -180,11 +182,11 @@ class Chunks:
         return " ".join(map(self.names.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-def chunks(path: str, kind: str) -> Chunks:
+def chunks(path: str, kind: str, kept: int = KEPT) -> Chunks:
     """One per worker process, kept between tasks."""
     key = (path, kind)
     if key not in _loaded:
-        _loaded[key] = Chunks(path, kind)
+        _loaded[key] = Chunks(path, kind, kept=kept)
     return _loaded[key]
 
 
@@ -200,7 +202,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, with_ids: bool = False,
 
     def run(batches):
         bpe = chunks(tokenizer_path, "word")
-        for batch in batches:
+        for batch in sliced(batches):
             n, sums, outs, all_ids, texts = [], [], [], [], []
             for ids in bpe.encode(batch.column(1).to_pylist()):
                 decoded = bpe.decode(ids)

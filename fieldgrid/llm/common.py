@@ -58,6 +58,13 @@ def small_enough(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def sliced(batches, rows: int = 256):
+    """Arrow batches cut into smaller ones, so that a worker holds few texts as Python objects at once."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text as UTF-8; ``bytes.split`` splits at just these six characters."""
     return text.encode().split() if text else []

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix64, with_fold
+from .common import mix64, sliced, with_fold
 
 SLOT_BITS = 20
 HASHES = 3
@@ -88,13 +88,13 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     def count(batches):
         held: dict[str, list] = {}
         room = 0
-        for batch in batches:
+        for batch in sliced(batches):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for k in range(0, len(text), WINDOW):
                     g = grams(text[k : k + WINDOW])
                     held.setdefault(lang, []).append(g)
                     room += len(g)
-                    if room > 4_000_000:
+                    if room > 1_000_000:
                         yield from pour(held)
                         held, room = {}, 0
         yield from pour(held)
@@ -160,7 +160,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         m = shared.value
-        for batch in batches:
+        for batch in sliced(batches):
             found = [judge(t, m) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=[*names, "lang_pred", "score"])
 

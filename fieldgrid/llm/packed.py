@@ -24,8 +24,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import chunks
-from .common import shared_dir
+from .common import shared_dir, sliced
 
+KEPT = 600_000  # distinct pieces in each generation of a worker's table: encoding is most of the work here
 BLOCK_IDS = 1 << 18  # a block is closed when it holds so many ids
 
 BLOCKS = "shard int, block int, bits int, doc_ids array<bigint>, ends array<bigint>, payload binary"
@@ -72,8 +73,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, vocabulary: int,
             row = [[shard], [block], [bits], [ids], [ends], [pack(np.frombuffer(b"".join(parts), "<u4"), bits)]]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, _ARROW)], names=_NAMES)
 
-        bpe = chunks(tokenizer_path, "byte")
-        for batch in batches:
+        bpe = chunks(tokenizer_path, "byte", KEPT)
+        for batch in sliced(batches, 512):
             for doc, encoded in zip(batch.column(0).to_pylist(), bpe.encode(batch.column(1).to_pylist())):
                 parts += [encoded, tail]
                 held += len(encoded) // 4 + 1

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, mix64, small_enough
+from .common import cut, mix64, sliced, small_enough
 
 WINDOW, GRAM = 50, 25
 BROADCAST_IDS = 1_000_000  # doc_ids; 8 MB
@@ -114,7 +114,7 @@ def index_blocks(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
     def run(batches):
         names = [x.split()[0] for x in schema.split(", ")]
-        for batch in batches:
+        for batch in sliced(batches):
             cols = [[] for _ in names]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 p = Parsed(text)
@@ -149,7 +149,7 @@ def window_matches(docs: DataFrame, reps: DataFrame, window: int) -> DataFrame:
     schema = "anchor long, content long, doc_id long, text_key int, lo int"
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             cols = [[] for _ in range(5)]
             for row in batch.to_pylist():
                 if _key(row["text"]) != row["text_key"]:
@@ -216,7 +216,7 @@ def remove_duplicates(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -
     joined = docs.join(spans, docs["doc_id"].cast("long") == F.col("__fg_id"), "left").drop("__fg_id")
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             cols = [[] for _ in extra]
             for text, found in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist()):
                 words = text.encode().split() if text else []

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import with_fold
+from .common import sliced, with_fold
 
 #: The bound of the labelled sample, and with it of the index: so many documents of label 1 and of label 0.
 TOXIC_DOCS, CLEAN_DOCS = 1_500, 4_500
@@ -122,7 +122,7 @@ def train(docs: DataFrame, labels: DataFrame, base_rate: float | None = None) ->
     sample = sample_of(docs, labels)
 
     def read(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             counted = [terms(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([list(c) for c in counted], pa.list_(pa.string())), pa.array([list(c.values()) for c in counted], pa.list_(pa.int32()))], names=["doc_id", "toxic", "terms", "counts"])
 
@@ -207,7 +207,7 @@ def predict(docs: DataFrame, index: Index, least: float = 0.3) -> DataFrame:
 
     def run(batches):
         ix = shared.value
-        for batch in batches:
+        for batch in sliced(batches):
             scores, evidence = [], []
             for text in batch.column(at).to_pylist():
                 places, cosines, norm = ix.nearest(terms(text))
