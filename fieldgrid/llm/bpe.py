@@ -145,28 +145,30 @@ class Chunks:
         missing = pieces.difference(self.ids)
         if len(self.ids) + len(missing) > self.kept:
             self.older, self.ids = self.ids, {}
-            missing = pieces
-        ids, older, short, plain = self.ids, self.older, [], []
-        for p in missing:
-            known = older.get(p)
-            if known is not None:
-                ids[p] = known
-                continue
+            missing = set(pieces)
+        ids, older = self.ids, self.older
+        known = [p for p in missing if p in older]
+        ids.update(zip(known, map(older.__getitem__, known)))
+        missing.difference_update(known)
+        opener = b"<|" if self.kind == "word" else "<|"
+        for p in [p for p in missing if len(p) > self.leaf or opener in p]:  # long, or it may hold a special token
             t = self.text(p)
-            if len(t) > self.leaf:
-                ids[p] = np.array(self.tree(t), dtype="<u4").tobytes()
-            elif "<|" in t:  # may hold a special token
-                ids[p] = np.array(self.t.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
-            else:
-                short.append(p)
-                plain.append(t)
+            found = self.tree(t) if len(t) > self.leaf else self.t.encode(t, add_special_tokens=False).ids
+            ids[p] = np.array(found, dtype="<u4").tobytes()
+            missing.discard(p)
+        if self.kind == "word":
+            short = list(missing)
+            text = self.mark.encode().join(short).decode()
+        else:
+            spaced, other = [p for p in missing if p[0] != "\n"], [p for p in missing if p[0] == "\n"]
+            short = spaced + other
+            text = self.mark.join([f"{self.mark} ".join(["", *spaced])[len(self.mark) :], *map(self.text, other)] if spaced else map(self.text, other))
         if short:
-            found = np.array(self.t.encode_batch_fast([self.mark.join(plain)], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = [*(np.flatnonzero(found == self.mark_id) * 4).tolist(), len(found) * 4]
-            found, start = found.tobytes(), 0
-            for p, end in zip(short, ends, strict=True):
-                ids[p] = found[start:end]
-                start = end + 4
+            found = np.array(self.t.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.append(np.flatnonzero(found == self.mark_id) * 4, len(found) * 4)
+            starts = np.append(0, ends[:-1] + 4)
+            found = found.tobytes()
+            ids.update(zip(short, [found[a:b] for a, b in zip(starts.tolist(), ends.tolist())], strict=True))
 
     def encode(self, texts: list[str], at_once: int = 512) -> Iterator[bytes]:
         """Ids as little-endian unsigned 32-bit integers of each text in turn."""
