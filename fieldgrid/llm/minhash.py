@@ -7,8 +7,10 @@ coordinates are one contiguous stretch of the table.
 
 1. Documents with equal shingle sets are one class; its smallest doc_id stands for it.
 2. Classes that agree on all rows of some band meet in a bucket. In each bucket every member is
-   paired with the smallest and the largest id only; pairs whose signatures can't be near are
-   dropped. The rest tie classes into candidate groups.
+   paired with the smallest and the largest id; pairs whose signatures can't be near are
+   dropped. The rest tie classes into candidate groups. Where a bucket's members are still in
+   several groups, all pairs of it across groups are compared by signature, in cells of bounded
+   size, so that no pair of a bucket is passed over.
 3. Inside a candidate group all classes are compared exactly, on their full shingle sets, in cells
    of bounded size: large groups are dealt into chunks, and each pair of chunks is a task of its
    own. A cell reports a spanning forest of its links, never all pairs.
@@ -32,10 +34,13 @@ from .rlz import powers
 
 SHINGLE = 5
 SIMILARITY = 75  # per cent, at least
-BANDS, ROWS = 32, 4  # a pair at 0.75 is missed by all bands once in 2e5, by both ends' buckets far less
+BANDS, ROWS = 32, 4  # a pair at 0.75 is missed by all bands once in 2e5
 NEAR = 0.5  # signatures that agree on less of their coordinates are no candidates: over 5 standard errors below 0.75
 UNIVERSE = 22
 CELL = 200_000  # shingles in a chunk of a candidate group
+CELL_SIGNATURES = 2_048  # signatures in a chunk of a bucket
+CELL_ROWS = 16_384  # about so many signatures of small buckets share a task
+SIZE_CLASS = 1.34  # sizes of a link are in one class or in adjacent ones: wider than 100 / SIMILARITY
 BIN_DOCS = 512
 BROADCAST_IDS = 1_000_000
 
@@ -99,12 +104,22 @@ def sign(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, bands array<long>, sig binary")
 
 
-def candidate_pairs(reps: DataFrame) -> DataFrame:
-    """u, v: members of buckets paired with the least and the greatest of the bucket, if sizes and
-    signatures allow a link."""
+def shared_buckets(reps: DataFrame) -> DataFrame:
+    """key, id, least, most: the members of buckets of two or more, and the bucket's ends."""
     members = reps.select("id", F.explode("bands").alias("key"))
     ends = members.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
-    met = members.join(ends, "key").select("id", F.explode(F.array("least", "most")).alias("end")).where("id <> end")
+    return members.join(ends, "key").select("key", "id", "least", "most")
+
+
+def _share(equal: np.ndarray) -> np.ndarray:
+    """The share of equal coordinates, corrected for the low bytes that agree by chance."""
+    return (equal.mean(axis=1) - 1 / 256) / (1 - 1 / 256)
+
+
+def candidate_pairs(reps: DataFrame, buckets: DataFrame) -> DataFrame:
+    """u, v: members of buckets paired with the least and the greatest of the bucket, if sizes and
+    signatures allow a link."""
+    met = buckets.select("id", F.explode(F.array("least", "most")).alias("end")).where("id <> end")
     pairs = met.select(F.least("id", "end").alias("u"), F.greatest("id", "end").alias("v")).distinct()
     side = lambda name: reps.select(F.col("id").alias(name), F.col("n").alias(f"n_{name}"), F.col("sig").alias(f"sig_{name}"))
     both = pairs.join(side("u"), "u").join(side("v"), "v").where(F.least("n_u", "n_v") * 100 >= F.greatest("n_u", "n_v") * SIMILARITY)
@@ -113,12 +128,67 @@ def candidate_pairs(reps: DataFrame) -> DataFrame:
         size = BANDS * ROWS
         for batch in batches:
             a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, size) for k in (2, 3))
-            share = ((a == b).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["u", "v"]).filter(pa.array(share >= NEAR))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["u", "v"]).filter(pa.array(_share(a == b) >= NEAR))
 
     return both.select("u", "v", "sig_u", "sig_v").mapInArrow(near, "u long, v long")
 
 
+def near_of(n: np.ndarray, sigs: np.ndarray, label: np.ndarray, left: np.ndarray, right: np.ndarray, own: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest, over the groups in ``label``, of the pairs of ``left`` and ``right`` (places)
+    that sizes and signatures allow; of each pair one at least is ``own``."""
+    forest, out = _Forest(len(n)), []
+    forest.of = np.unique(label, return_inverse=True)[1]
+    for i in left.tolist():
+        low, high = np.minimum(n[right], n[i]), np.maximum(n[right], n[i])
+        js = right[(forest.of[right] != forest.of[i]) & (low * 100 >= high * SIMILARITY) & (own[right] | own[i])]
+        if len(js):
+            out += [(i, j) for j in forest.join(i, js[_share(sigs[js] == sigs[i]) >= NEAR])]
+    return out
+
+
+def other_pairs(reps: DataFrame, buckets: DataFrame, groups: DataFrame) -> DataFrame:
+    """u, v: ties between members of one bucket that ``groups`` (id, component) hold apart.
+
+    A bucket is split by size class; each part meets its own class and the one below. Parts are
+    dealt into chunks, and each pair of chunks is a cell, as in ``verified_links``.
+    """
+    found = groups.select(F.col("id").alias("g"), "component")
+    sizes = reps.select("id", "n").join(found, F.col("id") == F.col("g"), "left").select("id", "n", F.coalesce("component", "id").alias("label"))
+    members = buckets.select("key", "id").join(sizes, "id")
+    members = members.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / math.log(SIZE_CLASS)).cast("int"))
+    parts = cut(members.select("key", "id", "n", "label", "class", F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("part")))
+    # buckets of the same members do the same work: one of them stands for all
+    same = [F.bit_xor(F.xxhash64("id")).alias("x"), F.sum(F.xxhash64("id", F.lit(1)).cast("decimal(38,0)")).alias("s"), F.sum(F.col("class") - F.col("part")).alias("lower")]
+    apart = parts.groupBy("key", "part").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.col("class") == F.col("part")).alias("owns"), F.count(F.lit(1)).alias("docs"), *same)
+    apart = cut(apart.where("lo < hi and owns").groupBy("part", "docs", "x", "s", "lower").agg(F.min("key").alias("key")).select("key", "part", F.ceil(F.col("docs") / CELL_SIGNATURES).cast("int").alias("chunks"), "docs"))
+    rows = apart.agg(F.sum("docs")).first()[0] or 0
+    bins = max(1, math.ceil(rows / CELL_ROWS))
+    dealt = parts.join(apart, ["key", "part"]).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    cells = cells.withColumn("a", F.least("chunk", "other")).withColumn("b", F.greatest("chunk", "other"))
+    bin_ = F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("key", "part"), F.lit(bins))).otherwise(F.xxhash64("key", "part", "a", "b"))
+    cells = cells.select(bin_.alias("bin"), "key", "part", "a", "b", "chunk", "id", "n", "label", "class").join(reps.select("id", "sig"), "id")
+
+    def compare(table: pa.Table) -> pa.Table:
+        key, part, a, b, chunk, ids, n, label, own = (table.column(c).to_numpy() for c in ("key", "part", "a", "b", "chunk", "id", "n", "label", "class"))
+        sigs = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+        order = np.lexsort((ids, b, a, part, key))
+        edge = np.zeros(len(order), bool)
+        for c in (key, part, a, b):
+            edge[1:] |= c[order][1:] != c[order][:-1]
+        us, vs = [], []
+        for at in np.split(order, np.flatnonzero(edge)):
+            if len(at) < 2:
+                continue
+            left, right = (np.flatnonzero(chunk[at] == x[at[0]]) for x in (a, b))
+            for i, j in near_of(n[at], sigs[at], label[at], left, right, own[at] == part[at]):
+                us.append(min(ids[at[i]], ids[at[j]]))
+                vs.append(max(ids[at[i]], ids[at[j]]))
+        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+
+    return cells.groupBy("bin").applyInArrow(compare, "u long, v long")
+
+
 class _Forest:
     def __init__(self, n: int):
         self.of = np.arange(n)
@@ -208,8 +278,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # one row for each class; an id that stands for several classes (a repeated id) is one node
     reps = known.join(classes, (known["set_hash"] == classes["set_hash"]) & (known["doc_id"] == classes["rep"]))
     reps = cut(reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands", "sig").distinct())
-    pairs = cut(candidate_pairs(reps))
-    links = cut(verified_links(docs, reps, components(pairs)))
+    buckets = cut(shared_buckets(reps))
+    pairs = cut(candidate_pairs(reps, buckets))
+    groups = components(pairs)
+    others = cut(other_pairs(reps, buckets, groups))
+    if not others.isEmpty():
+        groups = components(pairs.unionByName(others))
+    links = cut(verified_links(docs, reps, groups))
     # rows of one class are linked through its representative; a repeated id ties its classes
     several = known.select("doc_id", "set_hash").distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select("doc_id")
     tied = known.join(several, "doc_id", "left_semi").select("doc_id", "set_hash").distinct().join(classes, "set_hash").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).where("u <> v")

@@ -102,6 +102,18 @@ def test_large_groups_are_cut_into_cells(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == component
 
 
+@pytest.mark.parametrize("chunk", [2048, 16])
+def test_near_copies_between_longer_pages_of_the_same_passage(spark, monkeypatch, chunk):
+    monkeypatch.setattr(minhash, "CELL_SIGNATURES", chunk, raising=False)
+    r = random.Random(1)
+    words = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    passage = words(300)
+    rows = [(i, " ".join(passage + words(10 if i in (100, 101) else 115))) for i in range(200)]
+    component, _ = brute.near_duplicates(rows)
+    got = {x.doc_id: x.component_id for x in minhash.near_duplicates(frame(spark, rows).repartition(3)).collect()}
+    assert component[101] == 100 and got == component
+
+
 def test_signatures_estimate_similarity():
     r = np.random.default_rng(1)
     common, a, b = (r.integers(0, 1 << minhash.UNIVERSE, n) for n in (600, 100, 100))
