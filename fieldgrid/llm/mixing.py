@@ -2,8 +2,9 @@
 
 A source's repetition rate is its target share of the output divided by its share of the input.
 A document's count is the Poisson quantile of a uniform number that a hash of (seed, doc_id)
-gives, so the same seed gives the same corpus at any parallelism; copies are then ordered by a
-hash of (seed, doc_id, copy), which shuffles the whole corpus.
+gives, so the same seed gives the same corpus at any parallelism; a rate above ``STEP`` is dealt
+evenly to several such counts, which are added up. Copies are then ordered by a hash of (seed,
+doc_id, copy), which shuffles the whole corpus.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from .common import small_enough
 
 BROADCAST_SOURCES = 10_000  # more sources than that are joined by a shuffle, salted
 SALT = 64
+STEP = 8.0  # the largest rate of one Poisson count; a larger rate is the sum of several
 TAIL = 1e-15  # counts are tabulated until less than this probability is left
 
 
@@ -51,13 +53,22 @@ def poisson_count(u: Column, rate: Column, most: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step, lambda s: s["k"])
 
 
-def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, total: float | None = None, temperature: float = 0.5, max_rate: float = 8.0) -> DataFrame:
+def copies_of(seed: int, doc_id: Column, rate: Column) -> Column:
+    """The Poisson count of a document, whatever its rate: that of hash (seed, doc_id) up to
+    ``STEP``, else the sum of ceil(rate / STEP) counts of hashes (seed, doc_id, 0), (seed, doc_id, 1), ..."""
+    most = len(poisson_table(STEP))
+    parts = F.ceil(rate / STEP).cast("int")
+    add = lambda s, j: s + poisson_count(uniform(seed, doc_id, j), rate / parts, most)
+    several = F.aggregate(F.sequence(F.lit(0), parts - 1), F.lit(0), add)
+    return F.when(rate <= STEP, poisson_count(uniform(seed, doc_id), rate, most)).otherwise(several)
+
+
+def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, total: float | None = None, temperature: float = 0.5) -> DataFrame:
     """source, n, rate: one row a source (a null source is a source of its own).
 
     Without ``weights``, a source's target weight is its document count to the power
     ``temperature``, so that large sources are thinned and small ones repeated. ``total`` is the
-    target size of the output (default: that of the input). A rate is at most ``max_rate``: a tiny
-    source is not repeated without end (weights above that are not met, by design).
+    target size of the output (default: that of the input). No rate is capped.
     """
     counts = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
     if weights is None:
@@ -68,11 +79,11 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, total
     sums = counts.agg(F.sum("weight").alias("w"), F.sum("n").alias("n")).first()
     weight_sum, size = sums["w"] or 0.0, float(total if total is not None else sums["n"] or 0)
     share = F.col("weight") / F.lit(weight_sum) if weight_sum else F.lit(0.0)
-    rate = F.least(F.lit(float(max_rate)), share * F.lit(size) / F.col("n"))
+    rate = share * F.lit(size) / F.col("n")
     return counts.select("source", "n", rate.cast("double").alias("rate"))
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: float | None = None, seed: int = 17, temperature: float = 0.5, max_rate: float = 8.0, keep: list[str] | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: float | None = None, seed: int = 17, temperature: float = 0.5, keep: list[str] | None = None) -> DataFrame:
     """Replicate documents so that sources meet their target weights, shuffled globally.
 
     Returns the columns of ``docs`` (or ``keep``) with ``copy`` (from 1) and ``shuffle_key``; the
@@ -80,10 +91,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: float |
     documents give no rows; repeated rows with one doc_id get the same count; null texts, ids and
     sources are kept like others. Columns named copy or shuffle_key are replaced.
     """
-    rates = source_rates(docs, weights, total, temperature, max_rate)
+    rates = source_rates(docs, weights, total, temperature)
     columns = [c for c in (keep or docs.columns) if c not in ("copy", "shuffle_key")]
-    most = len(poisson_table(max_rate))
-    u = uniform(seed, F.col("doc_id"))
     if small_enough(rates, BROADCAST_SOURCES):
         # one row a source, and the number of sources has just been checked
         joined = docs.alias("d").join(F.broadcast(rates.select(F.col("source").alias("__fg_s"), F.col("rate").alias("__fg_rate"))), F.col("d.source").eqNullSafe(F.col("__fg_s")))
@@ -91,7 +100,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: float |
         salted = rates.select(F.col("source").alias("__fg_s"), F.col("rate").alias("__fg_rate"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("__fg_salt"))
         here = docs.withColumn("__fg_part", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int")).alias("d")
         joined = here.join(salted, F.col("d.source").eqNullSafe(F.col("__fg_s")) & (F.col("__fg_part") == F.col("__fg_salt")))
-    counted = joined.withColumn("__fg_count", poisson_count(u, F.col("__fg_rate"), most)).where(F.col("__fg_count") > 0)
+    counted = joined.withColumn("__fg_count", copies_of(seed, F.col("doc_id"), F.col("__fg_rate"))).where(F.col("__fg_count") > 0)
     copies = counted.select(*[F.col(f"d.{c}") for c in columns], F.explode(F.sequence(F.lit(1), F.col("__fg_count"))).alias("copy"))
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("copy").cast("string")).cast("binary"))
     shuffled = copies.withColumn("shuffle_key", key)
@@ -99,7 +108,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: float |
 
 
 def mix_sql(seed: int = 17, temperature: float = 0.5, max_rate: float = 8.0) -> str:
-    """The same, in DuckDB SQL over ``documents``."""
+    """The same, in DuckDB SQL over ``documents``, as long as no source's rate is above ``max_rate``."""
     most = len(poisson_table(max_rate))
     return f"""
 WITH RECURSIVE c AS (SELECT source, count(*) AS n FROM documents GROUP BY source),

@@ -125,6 +125,22 @@ def test_poisson_table(rate):
     assert math.isclose(sum(k * x for k, x in enumerate(p)), rate, rel_tol=1e-9) and t[-1] > 1 - 1e-12
 
 
+def test_a_small_source_meets_a_large_weight(spark):
+    rows = [(i, f"t{i}", "big" if i >= 40 else "small") for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    weights = {"big": 1.0, "small": 1.0}
+    assert {r.source: r.rate for r in mixing.source_rates(df, weights).collect()}["small"] == 50
+    got = mixing.mix(df, weights).collect()
+    by = Counter(r.source for r in got)
+    assert abs(by["small"] - 2000) < 200 and abs(by["big"] - 2000) < 200  # over four standard deviations of 45
+    n = Counter(r.doc_id for r in got)
+    table = mixing.poisson_table(50 / 7)
+    for i in range(40):
+        us = [int(hashlib.md5(f"17:{i}:{j}".encode()).hexdigest()[:12], 16) / 2**48 for j in range(7)]
+        assert n[i] == sum(c <= u for u in us for c in table)
+    assert len({r.shuffle_key for r in got}) == len(got)
+
+
 def test_sql_agrees(spark):
     df, rows = mixed_docs(spark)
     con = duckdb.connect()
