@@ -1,7 +1,7 @@
 """Language identification with a bit-sliced Bloom filter of character n-grams.
 
-One table of ``slots`` words holds all languages' filters at once: bit l of a slot belongs to
-language l. Each n-gram has a few slots; the AND of their words is the set of languages whose
+One table of slots holds all languages' filters at once: each slot has as many 64-bit words as
+the languages need, and bit l % 64 of word l // 64 belongs to language l. Each n-gram has a few slots; the AND of their bits is the set of languages whose
 training text holds the n-gram. A document adds up those bits over its n-grams; each language's
 count is corrected for the share of false positives that its fill predicts, and the largest
 corrected count decides.
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix64, sliced, with_fold
+from .common import cut, mix64, sliced, with_fold
 
 SLOT_BITS = 20
 HASHES = 3
@@ -30,7 +30,7 @@ SAMPLE_DOCS = 4_000
 LEAST_FREQUENCY = 2e-6
 #: and at least this share of its highest relative frequency in any language.
 LEAST_SHARE = 0.25
-MAX_LANGUAGES = 64
+WORD_BITS = 64
 UNDEFINED = "und"
 #: At once through numpy; longer texts are cut there, n-grams that cross a cut included.
 WINDOW = 1 << 20
@@ -42,7 +42,7 @@ _NOT_LETTERS = re.compile(r"[\W\d_]+")
 @dataclass(frozen=True)
 class Model:
     languages: list[str]
-    table: np.ndarray  # uint64, bit l: language l
+    table: np.ndarray  # uint64, slots x words; bit l % 64 of word l // 64: language l
     fill: np.ndarray  # per language, the share of its set slots
 
 
@@ -66,24 +66,30 @@ def slots_of(h: np.ndarray, k: int, bits: int = SLOT_BITS) -> np.ndarray:
     return ((h >> np.uint64(k * 20)) & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
+def bits_of(words: np.ndarray, language: int) -> np.ndarray:
+    """The bit of a language in each row of ``words``."""
+    return (words[:, language // WORD_BITS] >> np.uint64(language % WORD_BITS)) & np.uint64(1)
+
+
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     """Learn from text and non-null lang of ``docs``.
 
     About ``sample_docs`` documents of each language (drawn by a hash of doc_id) are counted by
     Spark; only n-grams frequent enough in some language come to the driver, at most
-    len(SIZES) / LEAST_FREQUENCY for each of at most MAX_LANGUAGES languages, and the table itself
-    has a fixed size. No labelled document gives a model without languages.
+    len(SIZES) / LEAST_FREQUENCY for each language and those of 64 languages at once, and the table
+    has one word a slot for each 64 languages. No labelled document gives a model without languages.
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = sorted(sizes)
     bits = SLOT_BITS
-    table = np.zeros(1 << bits, dtype=np.uint64)
+    words = max(1, math.ceil(len(languages) / WORD_BITS))
+    table = np.zeros((1 << bits, words), dtype=np.uint64)
     if not languages:
         return Model([], table, np.zeros(0))
-    picks = [F.when(F.col("lang") == x, F.lit(min(1.0, sample_docs / sizes[x]))) for x in languages]
+    picks = F.create_map(*[v for x in languages for v in (F.lit(x), F.lit(min(1.0, sample_docs / sizes[x])))])
     draw = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1 << 30)) / float(1 << 30)
-    sample = labelled.where(draw < F.coalesce(*picks, F.lit(0.0))).select("lang", "text")
+    sample = labelled.where(draw < F.coalesce(F.try_element_at(picks, F.col("lang")), F.lit(0.0))).select("lang", "text")
 
     def count(batches):
         held: dict[str, list] = {}
@@ -111,13 +117,17 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
         return Model(languages, table, np.zeros(len(languages)))
     shares = counts.select("lang", "gram", (F.col("n") / scale[F.col("lang")]).alias("share")).where(F.col("share") >= LEAST_FREQUENCY)
     top = shares.groupBy("gram").agg(F.max("share").alias("top"))
-    kept = shares.join(top, "gram").where(F.col("share") >= F.col("top") * LEAST_SHARE).select("lang", "gram").toPandas()
+    kept = shares.join(top, "gram").where(F.col("share") >= F.col("top") * LEAST_SHARE).select("lang", "gram")
+    if words > 1:
+        kept = cut(kept)
     where = {x: i for i, x in enumerate(languages)}
-    for lang, group in kept.groupby("lang"):
-        h = group["gram"].to_numpy(np.int64).view(np.uint64)
-        for k in range(HASHES):
-            table[slots_of(h, k)] |= np.uint64(1 << where[lang])
-    fill = np.array([float(((table >> np.uint64(i)) & np.uint64(1)).mean()) for i in range(len(languages))])
+    for w in range(words):
+        here = kept if words == 1 else kept.where(F.col("lang").isin(languages[w * WORD_BITS : (w + 1) * WORD_BITS]))
+        for lang, group in here.toPandas().groupby("lang"):
+            h = group["gram"].to_numpy(np.int64).view(np.uint64)
+            for k in range(HASHES):
+                table[slots_of(h, k), w] |= np.uint64(1 << where[lang] % WORD_BITS)
+    fill = np.array([float(bits_of(table, i).mean()) for i in range(len(languages))])
     return Model(languages, table, fill)
 
 
@@ -134,11 +144,11 @@ def judge(text: str | None, model: Model) -> tuple[str, float]:
             masks &= model.table[slots_of(h, j)]
         total += len(h)
         if n <= 12:  # few languages: count each set of languages once
-            seen = np.bincount(masks.astype(np.int64), minlength=1 << n)
+            seen = np.bincount(masks[:, 0].astype(np.int64), minlength=1 << n)
             sets = np.arange(1 << n)
             hits += [seen[(sets >> i) & 1 == 1].sum() for i in range(n)]
         else:
-            hits += [int(((masks >> np.uint64(i)) & np.uint64(1)).sum()) for i in range(n)]
+            hits += [int(bits_of(masks, i).sum()) for i in range(n)]
     if not total:
         return UNDEFINED, 0.0
     chance = model.fill**HASHES  # an absent n-gram finds all its slots set
@@ -152,7 +162,7 @@ def judge(text: str | None, model: Model) -> tuple[str, float]:
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """Add lang_pred and score to every row, from text alone. Other columns and rows stay."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: 8 bytes a slot
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 8 bytes a slot for each 64 languages
     docs = docs.drop("lang_pred", "score")
     names = docs.columns
     at = names.index("text")

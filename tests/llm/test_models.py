@@ -47,6 +47,16 @@ def test_no_labels_make_no_language(spark):
     assert langid.identify(df.limit(0), 3, 1).collect() == []
 
 
+def test_more_languages_than_bits_of_a_word(spark):
+    r = random.Random(8)
+    letters = [chr(0x4E00 + k) for k in range(70 * 6)]
+    text = lambda k: " ".join("".join(r.choice(letters[k * 6 : k * 6 + 6]) for _ in range(4)) for _ in range(20))
+    rows = [(k * 12 + j, text(k), f"l{k:02}") for k in range(70) for j in range(12)]
+    out = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 3, 1).collect()
+    held = [x for x in out if x.held_out]
+    assert {x.lang for x in held} == {x.lang_pred for x in held} and all(x.lang == x.lang_pred for x in held)
+
+
 def test_filters_have_no_false_negatives(spark):
     df, rows = lang_docs(spark, 60)
     model = langid.train(df)
