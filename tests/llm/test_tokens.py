@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -14,39 +15,67 @@ from fieldgrid.llm import bpe, packed  # noqa: E402
 PARTS = ["a", "b", "the", "ing", "  ", " ", "\n", "\n\n", "\n ", " \n", "\t", "'s", "'", "!", "!!", "é", "é", "ß", "Σ", "İ", "1", "23", "\xa0", "\x1c", "中", "<|endoftext|>", "<|", "😀", "tion", "　", "_", "\x85"]
 
 
-@pytest.mark.parametrize("name,kind", [("word_bpe_49k.json", "word"), ("byte_bpe_50k.json", "byte")])
-def test_pieces_and_trees_agree_with_the_library(name, kind):
-    own, whole = bpe.Chunks(P.path(name), kind, leaf=48), bpe.load(P.path(name))
+def test_halves_of_text_agree_with_the_library():
+    whole = bpe.load(P.path("word_bpe_49k.json"))
+    for leaf in (2, 3, 17):
+        own = bpe.Chunks(P.path("word_bpe_49k.json"), leaf=leaf)
+
+        @settings(max_examples=60, deadline=None)
+        @given(st.lists(st.lists(st.sampled_from(PARTS), max_size=60).map("".join), min_size=1, max_size=4))
+        def check(texts):
+            for text, (ids, joins) in zip(texts, own.encode(texts), strict=True):
+                want = whole.encode(text, add_special_tokens=False).ids
+                assert np.frombuffer(ids, "<u4").tolist() == want
+                assert own.decode(ids) == whole.decode(want, skip_special_tokens=False)
+                assert (joins > 0) == (len(text) > leaf)
+
+        check()
+        assert own.joins > 20 and own.widest > 1
+
+
+def test_pieces_of_bytes_agree_with_the_library():
+    own, whole = bpe.Pool(P.path("byte_bpe_50k.json"), leaf=48), bpe.load(P.path("byte_bpe_50k.json"))
 
     @settings(max_examples=150, deadline=None)
-    @given(st.lists(st.sampled_from(PARTS), max_size=120).map("".join))
-    def check(text):
-        ids = next(own.encode([text]))
-        want = whole.encode(text, add_special_tokens=False).ids
-        assert np.frombuffer(ids, "<u4").tolist() == want
-        if kind == "word":
-            assert own.decode(ids) == whole.decode(want, skip_special_tokens=False)
+    @given(st.lists(st.none() | st.lists(st.sampled_from(PARTS), max_size=80).map("".join), max_size=5))
+    def check(texts):
+        ids, ends = own.encode(pa.array(texts, pa.string()))
+        want = [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert [ids[a:z].tolist() for a, z in zip([0, *ends], ends)] == want
 
     check()
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_trees_of_unsplit_text_agree_with_the_library(name):
+    whole = bpe.load(P.path(name))
+    tree = bpe.Tree(whole, leaf=48)
     r = random.Random(3)
     for _ in range(40):  # long text without any split
         text = "".join(r.choice(["a", "b", "e", "th", "é", "!", "'s", "tion"]) for _ in range(r.randint(200, 900)))
-        assert np.frombuffer(next(own.encode([text])), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
-    assert own.tree.joins > 100
+        assert tree(text) == whole.encode(text, add_special_tokens=False).ids
+    assert tree.joins > 100
 
 
-def test_the_table_of_pieces_may_start_anew():
-    own, whole = bpe.Chunks(P.path("byte_bpe_50k.json"), "byte", kept=5), bpe.load(P.path("byte_bpe_50k.json"))
+def test_tables_of_pieces_may_start_anew():
     texts = [f"some words {k} and {k * 7} more some words" for k in range(50)]
-    for text, ids in zip(texts, own.encode(texts, at_once=3)):
-        assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+    own, whole = bpe.Pool(P.path("byte_bpe_50k.json"), kept=20), bpe.load(P.path("byte_bpe_50k.json"))
+    for k in range(0, 50, 3):
+        ids, ends = own.encode(pa.array(texts[k : k + 3]))
+        assert [ids[a:z].tolist() for a, z in zip([0, *ends], ends)] == [whole.encode(t, add_special_tokens=False).ids for t in texts[k : k + 3]]
+    own, whole = bpe.Chunks(P.path("word_bpe_49k.json"), leaf=5, kept=5), bpe.load(P.path("word_bpe_49k.json"))
+    for k in range(0, 50, 3):
+        got = [np.frombuffer(ids, "<u4").tolist() for ids, _ in own.encode(texts[k : k + 3])]
+        assert got == [whole.encode(t, add_special_tokens=False).ids for t in texts[k : k + 3]]
 
 
 def test_encode_decode_rows(spark):
     texts = ["Hello  world", "", None, "x" * 9000, "Zoë's <|endoftext|> tea", "Hello  world"]
     df = spark.createDataFrame([(i if i != 4 else None, t, "extra") for i, t in enumerate(texts)], "doc_id long, text string, ids string")
     t = bpe.load(P.path("word_bpe_49k.json"))
-    got = sorted(map(tuple, bpe.encode_decode(df, P.path("word_bpe_49k.json")).collect()), key=str)
+    out = bpe.encode_decode(df, P.path("word_bpe_49k.json")).collect()
+    assert {r.doc_id for r in out if r.n_joins} == {3}
+    got = sorted((tuple(r)[:4] for r in out), key=str)
     want = []
     for i, text in enumerate(texts):
         ids = t.encode(text or "", add_special_tokens=False).ids
@@ -87,6 +116,19 @@ def test_files_round_trip_in_order(spark, tmp_path, vocabulary, block_ids):
         start += len(ids)
 
 
+def test_repeated_and_null_ids_are_each_written(spark, tmp_path):
+    texts = ["b b", "a a a", None, "b b", "tea", ""]
+    rows = [(7, t) for t in texts] + [(None, "no id"), (3, "first"), (9, "last")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    packed.write_ids(df, str(tmp_path / "ids"), P.path("byte_bpe_50k.json"), 70_000, 0, 5)
+    got = sorted(((x.start, x.n_tokens, x.doc_id, x.ids) for x in packed.read_ids(spark, str(tmp_path / "ids"), with_ids=True).collect()), key=lambda x: x[0])
+    t = bpe.load(P.path("byte_bpe_50k.json"))
+    assert sorted((str(x[2]), x[3]) for x in got) == sorted((str(i), t.encode(s or "", add_special_tokens=False).ids + [0]) for i, s in rows)
+    assert [x[2] for x in got] == [None, 3, *[7] * 6, 9]
+    assert [x[0] for x in got] == [sum(y[1] for y in got[:k]) for k in range(len(got))]
+    assert [x[1] for x in got[2:8]] == sorted(x[1] for x in got[2:8])
+
+
 def test_no_documents_make_an_empty_file(spark, tmp_path):
     df = spark.createDataFrame([], "doc_id long, text string")
     packed.write_ids(df, str(tmp_path / "ids"), P.path("byte_bpe_50k.json"), 50_257)
