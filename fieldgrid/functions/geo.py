@@ -23,10 +23,10 @@ def project_x(lon: Column) -> Column:
 
 
 def project_y(lat: Column) -> Column:
-    """Northing in metres; null beyond the poles."""
-    s = F.sin(F.radians(lat))
+    """Northing in metres; null beyond the poles, where the latitude is null before anything is computed from it."""
+    s = F.sin(F.radians(F.when(F.abs(lat) <= 90, lat)))
     q = (s / (1 - E2 * s * s) - F.log((1 - E * s) / (1 + E * s)) / (2 * E)) * (1 - E2)
-    return F.when(F.abs(lat) <= 90, q * SEMI_MAJOR / (2 * K0))
+    return q * SEMI_MAJOR / (2 * K0)
 
 
 def square(x: Column, y: Column, size: float) -> Column:

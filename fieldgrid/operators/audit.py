@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..config import PASSES
 from ..functions import names
 from ..schemas import REQUIRED
 
@@ -27,6 +28,12 @@ def single_pass(df: DataFrame, key: str = "source_file") -> DataFrame:
     return out.withColumn("status", F.when(F.col("n_passes") == 1, "ok").otherwise(F.concat(F.lit("error: expected exactly one pass, found: "), F.col("passes"))))
 
 
+def known_pass(checks: DataFrame, passes: tuple[str, ...] = PASSES) -> DataFrame:
+    """The result of ``single_pass`` with an error where the one pass is none of ``passes``."""
+    other = ~F.col("passes").isin(*passes)
+    return checks.withColumn("status", F.when((F.col("status") == "ok") & other, F.concat(F.lit("error: unknown pass label: "), F.col("passes"))).otherwise(F.col("status")))
+
+
 def pass_consistency(files: DataFrame) -> DataFrame:
     """files: file_name, pass. Adds pass_guess, mismatch and pass_used (the column wins)."""
     guess = names.pass_from_name(F.col("file_name"))

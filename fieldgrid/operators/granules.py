@@ -71,37 +71,50 @@ def layout(value: Column, lon: Column, lat: Column) -> Column:
     )
 
 
-def flatten_same(value: DataFrame, lon: DataFrame, lat: DataFrame) -> DataFrame:
-    """granule, p, value, lon, lat by position, where all grids have one shape.
+def coordinates(lon: DataFrame, lat: DataFrame) -> DataFrame:
+    """granule, chunk, x, y: the coordinate arrays side by side."""
+    return lon.select("granule", "chunk", F.col("data").alias("x")).join(lat.select("granule", "chunk", F.col("data").alias("y")), ["granule", "chunk"])
+
+
+def turned(coords: DataFrame) -> DataFrame:
+    """The same for grids whose coordinates are transposed: chunk j gathers place j of every chunk, in order."""
+    cells = coords.select("granule", F.col("chunk").alias("i"), F.posexplode(F.arrays_zip("x", "y")).alias("j", "z"))
+    whole = cells.groupBy("granule", "j").agg(F.sort_array(F.collect_list(F.struct("i", "z"))).alias("c"))
+    return whole.select("granule", F.col("j").alias("chunk"), F.col("c.z.x").alias("x"), F.col("c.z.y").alias("y"))
+
 
-    Joined chunk by chunk before anything is exploded; no row carries an array."""
-    side = lambda df, name: df.select("granule", "chunk", F.col("data").alias(name))
-    joined = side(value, "v").join(side(lon, "x"), ["granule", "chunk"]).join(side(lat, "y"), ["granule", "chunk"])
+def flatten_chunks(value: DataFrame, coords: DataFrame) -> DataFrame:
+    """granule, p, value, lon, lat by position. Chunks are joined before anything is exploded."""
+    joined = value.select("granule", "chunk", F.col("data").alias("v")).join(coords, ["granule", "chunk"])
     rows = joined.select("granule", "chunk", F.size("v").alias("d1"), F.posexplode(F.arrays_zip("v", "x", "y")).alias("i", "z"))
     return rows.select("granule", (F.col("chunk") * F.col("d1") + F.col("i")).alias("p"), F.col("z.v").alias("value"), F.col("z.x").alias("lon"), F.col("z.y").alias("lat"))
 
 
-def _cells(df: DataFrame, name: str) -> DataFrame:
-    """granule, i, j and the value: i runs fast (within a chunk), j is the chunk."""
-    return df.select("granule", F.col("chunk").alias("j"), F.posexplode("data").alias("i", name))
+def flatten_along(value: DataFrame, axes: DataFrame, lon_first: Column) -> DataFrame:
+    """The same where x and y of ``axes`` (one row a granule) are axes: the fast index picks from the
+    first axis, the chunk is the place in the other. No cell is shuffled."""
+    joined = value.select("granule", "chunk", F.col("data").alias("v")).join(axes.select("granule", "x", "y", lon_first.alias("first")), "granule")
+    fast, slow = F.when(F.col("first"), F.col("x")).otherwise(F.col("y")), F.when(F.col("first"), F.col("y")).otherwise(F.col("x"))
+    joined = joined.select("granule", "chunk", "first", F.size("v").alias("d1"), F.try_element_at(slow, F.col("chunk") + 1).alias("s"), F.arrays_zip("v", fast.alias("f")).alias("z"))
+    rows = joined.select("granule", "chunk", "first", "d1", "s", F.posexplode("z").alias("i", "z"))
+    pick = lambda at_fast: F.when(at_fast, F.col("z.f")).otherwise(F.col("s"))
+    return rows.select("granule", (F.col("chunk") * F.col("d1") + F.col("i")).alias("p"), F.col("z.v").alias("value"), pick(F.col("first")).alias("lon"), pick(~F.col("first")).alias("lat"))
+
+
+def flatten_same(value: DataFrame, lon: DataFrame, lat: DataFrame) -> DataFrame:
+    """granule, p, value, lon, lat by position, where all grids have one shape."""
+    return flatten_chunks(value, coordinates(lon, lat))
 
 
 def flatten_transposed(value: DataFrame, lon: DataFrame, lat: DataFrame) -> DataFrame:
     """The same where coordinate grids are transposed: the coordinate of (i, j) stands at (j, i)."""
-    v = _cells(value, "value")
-    turned = lambda df, name: _cells(df, name).select("granule", F.col("i").alias("j"), F.col("j").alias("i"), name)
-    d1 = value.groupBy("granule").agg(F.max(F.size("data")).alias("d1"))
-    joined = v.join(turned(lon, "lon"), ["granule", "i", "j"]).join(turned(lat, "lat"), ["granule", "i", "j"]).join(d1, "granule")
-    return joined.select("granule", (F.col("j") * F.col("d1") + F.col("i")).alias("p"), "value", "lon", "lat")
+    return flatten_chunks(value, turned(coordinates(lon, lat)))
 
 
 def flatten_axes(value: DataFrame, lon: DataFrame, lat: DataFrame, lon_first: bool = True) -> DataFrame:
     """The same where coordinates are axes: the fast index picks from the first axis."""
-    axis = lambda df, name, key: df.select("granule", F.posexplode("data").alias(key, name))
-    fast, slow = (axis(lon, "lon", "i"), axis(lat, "lat", "j")) if lon_first else (axis(lat, "lat", "i"), axis(lon, "lon", "j"))
-    v = value.select("granule", F.col("chunk").alias("j"), F.size("data").alias("d1"), F.posexplode("data").alias("i", "value"))
-    joined = v.join(fast, ["granule", "i"]).join(slow, ["granule", "j"])
-    return joined.select("granule", (F.col("j") * F.col("d1") + F.col("i")).alias("p"), "value", "lon", "lat")
+    axes = lon.select("granule", F.col("data").alias("x")).join(lat.select("granule", F.col("data").alias("y")), "granule")
+    return flatten_along(value, axes, F.lit(lon_first))
 
 
 def pixel_ids(df: DataFrame, order: list[str], keys: tuple[str, ...] = ("source_file", "pass")) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
+from ..sources.scratch import cut
 
 KEYS = ("source_file", "pass")
 #: Exponents of the terms: 1, u, v (always kept), then u*u, v*v, u*v (optional).
@@ -28,7 +29,7 @@ def group_stats(rows: DataFrame, keys: tuple[str, ...] = KEYS, value: str = "soi
     """Pass 1: n, means and spreads of x and y, mean, least and greatest value of each group."""
     scale = lambda c: F.when(F.stddev_pop(c) > 0, F.stddev_pop(c)).otherwise(1.0)
     return rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
+        F.count(value).alias("n"),
         F.avg("x").alias("x_mean"),
         F.avg("y").alias("y_mean"),
         scale("x").alias("x_scale"),
@@ -158,9 +159,11 @@ def gated(models: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     return models.withColumn("trend_removed", gate)
 
 
-def models_of(rows: DataFrame, keys: tuple[str, ...] = KEYS, value: str = "soil_moisture", settings: Settings = DEFAULT) -> DataFrame:
-    """Every group's guard, model and gate in one row; small groups have no model."""
-    stats = guarded(group_stats(rows, keys, value), settings)
+def models_of(rows: DataFrame, keys: tuple[str, ...] = KEYS, value: str = "soil_moisture", settings: Settings = DEFAULT, stats: DataFrame | None = None) -> DataFrame:
+    """Every group's guard, model and gate in one row; small groups have no model. One row a group
+    is written between the two passes, so that each pass reads the rows once; ``stats`` brings it along."""
+    if stats is None:
+        stats = cut(guarded(group_stats(rows, keys, value), settings))
     fitted = gated(fit_models(group_sums(rows, stats, keys, value), keys), settings)
     out = stats.join(fitted.drop("n_fit"), list(keys), "left")
     note = F.when(F.col("small"), "small_n_or_constant").when(F.col("kept").isNull(), "error: model failed").otherwise("model_fitted")

@@ -8,47 +8,96 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Settings
 from ..functions import geo, names
 from ..operators import audit, granules, trend
+from ..schemas import CELLS
+from ..sources.scratch import cut
 
 
 def projected(rows: DataFrame) -> DataFrame:
     return rows.withColumn("x", geo.project_x(F.col("lon"))).withColumn("y", geo.project_y(F.col("lat")))
 
 
-def detrend_all(rows: DataFrame, label: str | None = None, files: DataFrame | None = None, order: list[str] | None = None, done: DataFrame | None = None, settings: Settings = DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """Cells (schema CELLS) and log (schema DETREND_LOG).
+def detrend_all(
+    rows: DataFrame,
+    label: str | None = None,
+    files: DataFrame | None = None,
+    headers: DataFrame | None = None,
+    order: list[str] | None = None,
+    done: DataFrame | None = None,
+    settings: Settings = DEFAULT,
+) -> tuple[DataFrame, DataFrame]:
+    """Cells (schema CELLS) and log (schema DETREND_LOG, with ``warning``): a log row for every file.
 
     ``files`` (file_name) is the manifest: files without rows are logged as written_empty.
-    ``order`` gives the rows' order for pixel_id (default: p, or lon and lat). A file with more
-    than one pass is an error row. ``done`` with overwrite off skips files of an earlier log."""
-    rows = rows.withColumn("pass", F.lower("pass"))
-    checks = audit.single_pass(rows)
-    rows = rows.join(checks.where(F.col("status") == "ok").select("source_file"), "source_file", "left_semi")
+    ``headers`` (source_file, header) are the columns that each file has: a file that lacks a
+    required one is an error row, as are one with more than one pass or an unknown pass, and one
+    without any usable row. If ``rows`` itself lacks required columns, every file is an error row.
+    Where a file's name tells another pass than its rows, the rows count and ``warning`` says so.
+    ``label`` is the pass to do: other files, and their errors, are left out. ``order`` gives the
+    rows' order for pixel_id (default: p, or place and value). ``done`` with overwrite off skips
+    files of an earlier log.
+
+    Rows are read once for the groups' counts and means, once for the fit and once for the cells.
+    """
+    spark = rows.sparkSession
+    named = lambda df: df.withColumn("guess", names.pass_from_name(F.col("source_file")))
+    wanted = F.lit(True) if label is None else F.col("guess") == label
+    manifest = None if files is None else files.select(names.base_name(F.col("file_name")).alias("source_file")).distinct()
+    lacking = audit.missing_columns(rows)
+    if lacking:
+        known = rows.select("source_file").distinct() if "source_file" in rows.columns else spark.createDataFrame([], "source_file string")
+        known = known if manifest is None else known.unionByName(manifest).distinct()
+        bad = named(known).where(wanted).withColumn("note", F.lit(f"error: missing required columns: {', '.join(lacking)}"))
+        return spark.createDataFrame([], CELLS), _failed(bad)
+
+    rows = projected(rows.withColumn("pass", F.lower("pass")))
+    usable = F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("soil_moisture").isNotNull()
+    seen = rows.select("source_file", "pass", *[F.when(usable, F.col(c)).alias(c) for c in ("x", "y", "soil_moisture")])
+    stats = cut(trend.guarded(trend.group_stats(seen), settings))  # a row for each file and pass
+    checks = named(audit.known_pass(audit.single_pass(stats)))
+    if headers is not None:
+        lack = audit.required_columns(headers).select("source_file", F.col("status").alias("lacks"))
+        checks = checks.join(lack, "source_file", "left").withColumn("status", F.when(F.col("lacks").startswith("error"), F.col("lacks")).otherwise(F.col("status"))).drop("lacks")
+    checks = cut(checks)
+    fine = stats.join(checks.where(F.col("status") == "ok").select("source_file", "guess"), "source_file")
     if label is not None:
-        rows = rows.where(F.col("pass") == label)
+        fine = fine.where(F.col("pass") == label)
     skipped = None
     if done is not None and not settings.overwrite:
         have = done.select("source_file", "pass").distinct()
-        skipped = rows.select("source_file", "pass").distinct().join(have, ["source_file", "pass"], "left_semi")
-        rows = rows.join(have, ["source_file", "pass"], "left_anti")
-    rows = projected(rows).where(F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("soil_moisture").isNotNull())
-    models = trend.models_of(rows, settings=settings)
+        skipped = fine.join(have, ["source_file", "pass"], "left_semi")
+        fine = fine.join(have, ["source_file", "pass"], "left_anti")
+    some = fine.where(F.col("n") > 0)
+    rows = rows.where(usable)
+    models = cut(trend.models_of(rows, settings=settings, stats=some))
     out = trend.residuals(rows, models)
-    out = granules.pixel_ids(out, order or (["p"] if "p" in rows.columns else ["lon", "lat"]))
+    out = granules.pixel_ids(out, order or (["p"] if "p" in rows.columns else ["lon", "lat", "soil_moisture"]))
     out = out.withColumn("geometry", geo.well_known_binary(geo.square(F.col("x"), F.col("y"), settings.cell_size))).withColumn("srid", F.lit(settings.projected_srid))
     cells = out.select("source_file", "date_tag", "pass", "lon", "lat", "x", "y", "soil_moisture", "trend_hat", "resid", "sm_for_kriging", "trend_removed", "p_trend", "r2_trend", "trend_ind", "pixel_id", "geometry", "srid")
 
     path = names.detrended_path(F.col("source_file"), F.col("pass"), settings)
-    no = lambda kind: F.lit(None).cast(kind)
     failed = F.col("note").startswith("error")
+    mismatch = F.when(F.col("pass") != F.col("guess"), F.concat(F.lit("pass of the name is "), F.col("guess")))
     log = models.select(
         "source_file", "pass", F.when(~failed, F.col("n").cast("int")).alias("rows"), F.when(~failed, path).alias("output_file"), F.when(~failed, F.col("trend_removed")).alias("trend_removed"),
-        F.col("p").alias("p_trend"), F.col("r2").alias("r2_trend"), F.when(failed, "error").otherwise("written").alias("status"), "note",
+        F.col("p").alias("p_trend"), F.col("r2").alias("r2_trend"), F.when(failed, "error").otherwise("written").alias("status"), "note", mismatch.alias("warning"),
     )
-    bad = checks.where(F.col("status") != "ok")
-    log = log.unionByName(bad.select("source_file", names.pass_from_name(F.col("source_file")).alias("pass"), no("int").alias("rows"), no("string").alias("output_file"), no("boolean").alias("trend_removed"), no("double").alias("p_trend"), no("double").alias("r2_trend"), F.lit("error").alias("status"), F.col("status").alias("note")))
+    log = log.unionByName(_failed(checks.where((F.col("status") != "ok") & wanted).withColumn("note", F.col("status"))))
+    none = fine.where(F.col("n") == 0).select("source_file", F.col("pass").alias("guess"), F.lit("error: no usable rows").alias("note"))
+    log = log.unionByName(_failed(none))
     if skipped is not None:
-        log = log.unionByName(skipped.select("source_file", "pass", no("int").alias("rows"), path.alias("output_file"), no("boolean").alias("trend_removed"), no("double").alias("p_trend"), no("double").alias("r2_trend"), F.lit("skipped_existing").alias("status"), no("string").alias("note")))
-    if files is not None:
-        empty = files.select(names.base_name(F.col("file_name")).alias("source_file")).join(checks.select("source_file"), "source_file", "left_anti").withColumn("pass", names.pass_from_name(F.col("source_file")))
-        log = log.unionByName(empty.select("source_file", "pass", F.lit(0).alias("rows"), path.alias("output_file"), no("boolean").alias("trend_removed"), no("double").alias("p_trend"), no("double").alias("r2_trend"), F.lit("written_empty").alias("status"), F.lit("empty_input_csv").alias("note")))
+        log = log.unionByName(_logged(skipped.select("source_file", "pass", path.alias("output_file"), F.lit("skipped_existing").alias("status"), mismatch.alias("warning"))))
+    if manifest is not None:
+        empty = named(manifest.join(checks.select("source_file"), "source_file", "left_anti")).where(wanted).withColumn("pass", F.col("guess"))
+        log = log.unionByName(_logged(empty.select("source_file", "pass", F.lit(0).alias("rows"), path.alias("output_file"), F.lit("written_empty").alias("status"), F.lit("empty_input_csv").alias("note"))))
     return cells, log
+
+
+def _logged(df: DataFrame) -> DataFrame:
+    """The log's columns, null where ``df`` lacks them."""
+    fields = {"source_file": "string", "pass": "string", "rows": "int", "output_file": "string", "trend_removed": "boolean", "p_trend": "double", "r2_trend": "double", "status": "string", "note": "string", "warning": "string"}
+    return df.select(*[F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in fields.items()])
+
+
+def _failed(df: DataFrame) -> DataFrame:
+    """Error rows of source_file, guess, note."""
+    return _logged(df.select("source_file", F.col("guess").alias("pass"), F.lit("error").alias("status"), "note"))

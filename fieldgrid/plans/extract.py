@@ -11,13 +11,15 @@ from ..operators import clean, granules
 from ..sources import manifest
 
 
-def extract_all(arrays: DataFrame, attributes: DataFrame, limit: int | None = None, done: DataFrame | None = None, settings: Settings = DEFAULT) -> tuple[DataFrame, DataFrame]:
+def extract_all(arrays: DataFrame, attributes: DataFrame, limit: int | None = None, done: DataFrame | None = None, settings: Settings = DEFAULT, must: bool = True) -> tuple[DataFrame, DataFrame]:
     """Rows (schema EXTRACTED and flat position p) and log (schema EXTRACT_LOG) of all granules.
 
     Variables are resolved and shapes checked per granule and pass before any array is exploded;
-    what fails is a log row, and the rest goes on."""
+    what fails is a log row, and the rest goes on. No granule at all is an error, but for ``must`` off.
+
+    Value, longitude and latitude chunks are each read once, whatever the layouts."""
     spark = arrays.sparkSession
-    arrays = arrays.join(manifest.granules(arrays, limit, settings), "granule", "left_semi")
+    arrays = arrays.join(manifest.granules(arrays, limit, settings, must), "granule", "left_semi")
     shapes = arrays.groupBy("granule", "variable").agg(F.first("dims").alias("dims"))
     status = granules.resolve_status(shapes, granules.resolve(shapes, candidate_table(spark)))
     for what in ("value", "lon", "lat"):
@@ -35,33 +37,28 @@ def extract_all(arrays: DataFrame, attributes: DataFrame, limit: int | None = No
     fine = status.where(F.col("status") == "ok")
     fills = granules.attribute_values(attributes)
 
-    def side(what: str, layouts: list[str]) -> DataFrame:
+    def side(what: str) -> DataFrame:
         # a granule and pass is one grid: the key carries both
-        chosen = fine.where(F.col("layout").isin(*layouts)).select("granule", "pass", F.col(what).alias("variable"))
+        chosen = fine.select("granule", "pass", "layout", F.col(what).alias("variable"))
         cells = arrays.join(chosen, ["granule", "variable"]).join(fills, ["granule", "variable"], "left")
         masked = F.transform("data", lambda v: clean.mask_fill(clean.no_nan(v), F.col("fill"), F.col("missing")))
-        return cells.select(F.struct("granule", "pass").alias("granule"), "chunk", masked.alias("data"))
+        return cells.select(F.struct("granule", "pass", "layout").alias("granule"), "chunk", masked.alias("data"))
 
-    of = lambda layouts: [side(w, layouts) for w in ("value", "lon", "lat")]
-    parts = [
-        granules.flatten_same(*of(["same"])),
-        granules.flatten_transposed(*of(["transposed"])),
-        granules.flatten_axes(*of(["lon_first"]), lon_first=True),
-        granules.flatten_axes(*of(["lat_first"]), lon_first=False),
-    ]
-    flat = parts[0]
-    for part in parts[1:]:
-        flat = flat.unionByName(part)
+    value, coords = side("value"), granules.coordinates(side("lon"), side("lat"))
+    of = lambda df, *layouts: df.where(F.col("granule.layout").isin(*layouts))
+    grids = of(coords, "same").unionByName(granules.turned(of(coords, "transposed")))
+    flat = granules.flatten_chunks(of(value, "same", "transposed"), grids)
+    flat = flat.unionByName(granules.flatten_along(of(value, "lon_first", "lat_first"), of(coords, "lon_first", "lat_first"), F.col("granule.layout") == "lon_first"))
     source = F.col("granule.granule")
-    rows = flat.select(names.base_name(source).alias("source_file"), names.date_tag(source, settings).alias("date_tag"), F.col("granule.pass").alias("pass"), "lon", "lat", F.col("value").alias("soil_moisture"), "p")
+    rows = flat.select(names.base_name(source).alias("source_file"), names.date_tag(source, settings).alias("date_tag"), F.col("granule.pass").alias("pass"), "lon", "lat", F.col("value").alias("soil_moisture"), "p", source.alias("_granule"))
     none = F.lit(None).cast("array<double>")
     rows = clean.clean(rows, none, none, settings)
-    counted = rows.groupBy("source_file", "pass").agg(F.count(F.lit(1)).cast("int").alias("rows"))
-    logged = status.where(F.col("status") != "absent").withColumn("source_file", names.base_name(F.col("granule")))
-    log = logged.join(counted, ["source_file", "pass"], "left")
+    # counted by the whole path: two granules may share a base name
+    counted = rows.groupBy(F.col("_granule").alias("granule"), "pass").agg(F.count(F.lit(1)).cast("int").alias("rows"))
+    log = status.where(F.col("status") != "absent").join(counted, ["granule", "pass"], "left")
     written = F.col("status") == "ok"
-    log = log.select("source_file", "pass", F.when(written, F.coalesce("rows", F.lit(0))).alias("rows"), F.when(~F.col("status").startswith("error"), F.col("output_file")).alias("output_file"), F.when(written, "written").otherwise(F.col("status")).alias("status"))
-    return rows, log
+    log = log.select(names.base_name(F.col("granule")).alias("source_file"), "pass", F.when(written, F.coalesce("rows", F.lit(0))).alias("rows"), F.when(~F.col("status").startswith("error"), F.col("output_file")).alias("output_file"), F.when(written, "written").otherwise(F.col("status")).alias("status"))
+    return rows.drop("_granule"), log
 
 
 def extract_log(rows: DataFrame, settings: Settings = DEFAULT) -> DataFrame:

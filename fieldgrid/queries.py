@@ -19,7 +19,7 @@ from .config import DEFAULT
 from .functions import geo, names
 from .operators import audit, clean, enrich, granules, trend
 from .plans import detrend, extract
-from .sources import io, manifest
+from .sources import io, manifest, scratch
 
 FILL = -9999.0
 ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
@@ -151,12 +151,13 @@ def incremental_skip(spark, sf_dir):
     return todo.unionByName(manifest.skipped(work, done, KEYS).select(*KEYS, "status"))
 
 
-@query(f"""WITH {sql.CLEAN}, b AS (SELECT pass, count(DISTINCT source_file) AS n_before FROM raw GROUP BY pass),
-a AS (SELECT pass, count(DISTINCT source_file) AS n_after FROM clean WHERE soil_moisture > 0.15 AND source_file < 'G_00050' GROUP BY pass)
+@query(f"""WITH {sql.CLEAN}, b AS (SELECT pass, count(DISTINCT source_file || ':' || l_orderkey) AS n_before FROM raw GROUP BY pass),
+a AS (SELECT pass, count(DISTINCT source_file || ':' || l_orderkey) AS n_after FROM clean GROUP BY pass)
 SELECT coalesce(a.pass, b.pass) AS pass, coalesce(n_before, 0) AS n_before, coalesce(n_after, 0) AS n_after, coalesce(n_before, 0) - coalesce(n_after, 0) AS n_missing FROM b FULL JOIN a ON a.pass = b.pass""")
 def stage_reconcile(spark, sf_dir):
-    after = cleaned(spark, sf_dir).where((F.col("soil_moisture") > 0.15) & (F.col("source_file") < "G_00050"))
-    return manifest.reconcile(measurements(spark, sf_dir), after)
+    """A file is what one supplier has in one order: cleaning leaves some without rows."""
+    files = lambda df: df.withColumn("source_file", F.concat_ws(":", "source_file", "l_orderkey"))
+    return manifest.reconcile(files(measurements(spark, sf_dir)), files(cleaned(spark, sf_dir)))
 
 
 @query("SELECT o_orderkey, o_custkey, o_orderpriority FROM orders ORDER BY o_orderkey LIMIT 6")
@@ -242,12 +243,19 @@ def extract_log(spark, sf_dir):
 # ---------------------------------------------------------------- enrichment
 
 
+#: Keys of the metadata are shifted, so that both sides have keys that the other lacks.
+SHIFT = 7
+
+
+def _meta(spark, sf_dir):
+    return table(spark, sf_dir, "customer").withColumn("c_key", F.col("c_custkey") + SHIFT)
+
+
 def _joined(spark, sf_dir):
-    meta = table(spark, sf_dir, "customer").where("c_custkey % 7 <> 0")
-    return enrich.enrich_left(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), meta, "o_custkey", "c_custkey", ["c_name", "c_nationkey", "c_acctbal"])
+    return enrich.enrich_left(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), _meta(spark, sf_dir), "o_custkey", "c_key", ["c_name", "c_nationkey", "c_acctbal"])
 
 
-_JOINED_SQL = "SELECT o_orderkey, o_custkey, c_name, c_nationkey, c_acctbal FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 7 <> 0) ON o_custkey IS NOT DISTINCT FROM c_custkey"
+_JOINED_SQL = f"SELECT o_orderkey, o_custkey, c_name, c_nationkey, c_acctbal FROM orders LEFT JOIN customer ON o_custkey IS NOT DISTINCT FROM c_custkey + {SHIFT}"
 
 
 @query(_JOINED_SQL)
@@ -256,21 +264,21 @@ def enrich_left(spark, sf_dir):
 
 
 def _sides(spark, sf_dir):
-    return table(spark, sf_dir, "orders").where("o_custkey % 5 <> 0"), "o_custkey", table(spark, sf_dir, "customer").where("c_custkey % 7 <> 0"), "c_custkey"
+    return table(spark, sf_dir, "orders"), "o_custkey", _meta(spark, sf_dir), "c_key"
 
 
-@query("SELECT o_custkey AS key FROM orders WHERE o_custkey % 5 <> 0 EXCEPT SELECT c_custkey FROM customer WHERE c_custkey % 7 <> 0")
+@query(f"SELECT o_custkey AS key FROM orders EXCEPT SELECT c_custkey + {SHIFT} FROM customer")
 def keys_only_left(spark, sf_dir):
     return enrich.keys_only_in(*_sides(spark, sf_dir))
 
 
-@query("SELECT c_custkey AS key FROM customer WHERE c_custkey % 7 <> 0 EXCEPT SELECT o_custkey FROM orders WHERE o_custkey % 5 <> 0")
+@query(f"SELECT c_custkey + {SHIFT} AS key FROM customer EXCEPT SELECT o_custkey FROM orders")
 def keys_only_right(spark, sf_dir):
     left, key, right, other = _sides(spark, sf_dir)
     return enrich.keys_only_in(right, other, left, key)
 
 
-@query("""WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_custkey % 5 <> 0), b AS (SELECT DISTINCT c_custkey AS k FROM customer WHERE c_custkey % 7 <> 0)
+@query(f"""WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders), b AS (SELECT DISTINCT c_custkey + {SHIFT} AS k FROM customer)
 SELECT (SELECT count(*) FROM a) AS n_left, (SELECT count(*) FROM b) AS n_right, (SELECT count(*) FROM a JOIN b USING (k)) AS n_matched,
   (SELECT count(*) FROM a WHERE k NOT IN (SELECT k FROM b)) AS n_left_only, (SELECT count(*) FROM b WHERE k NOT IN (SELECT k FROM a)) AS n_right_only""")
 def key_coverage(spark, sf_dir):
@@ -440,18 +448,61 @@ def reconstruction_check(spark, sf_dir):
     return audit.reconstruction(_residuals(spark, sf_dir), DEFAULT.reconstruction_limit).select(*KEYS, r("max_error", 9), "warning")
 
 
-# Files that hold both passes are errors, as the job expects one pass a file.
+# A file a pass; the names of every seventh tell the other pass. Files of suppliers whose number ends in 5
+# also come without any usable row, and one manifest entry a supplier has no rows at all.
 _FILES_SQL = f"""{sql.tested()},
-files AS (SELECT source_file || '_' || pass AS source_file, * EXCLUDE (source_file) FROM test)"""
+named AS (SELECT *, CASE WHEN CAST(substr(source_file, 3) AS BIGINT) % 7 = 0 THEN CASE pass WHEN 'am' THEN 'pm' ELSE 'am' END ELSE pass END AS guess FROM test),
+files AS (SELECT source_file || '_' || guess AS stem, * EXCLUDE (source_file) FROM named),
+sup AS (SELECT DISTINCT source_file FROM test)"""
 
 
-@query(f"WITH {_FILES_SQL} SELECT source_file, pass, CAST(n AS INTEGER) AS rows, 'detrended/' || pass || '/' || source_file || '.rds' AS output_file, trend_removed, round(p, 6) AS p_trend, round(r2, 6) AS r2_trend, 'written' AS status, 'model_fitted' AS note FROM files")
+def _named(rows):
+    other = F.when(F.col("pass") == "am", "pm").otherwise("am")
+    guess = F.when(F.substring("source_file", 3, 10).cast("long") % 7 == 0, other).otherwise(F.col("pass"))
+    return rows.withColumn("source_file", F.concat("source_file", F.lit("_"), guess, F.lit(".csv")))
+
+
+@query(f"""WITH {_FILES_SQL}
+SELECT stem || '.csv' AS source_file, pass, CAST(n AS INTEGER) AS rows, 'detrended/' || pass || '/' || stem || '.rds' AS output_file, trend_removed, round(p, 6) AS p_trend, round(r2, 6) AS r2_trend, 'written' AS status, 'model_fitted' AS note,
+  CASE WHEN pass <> guess THEN 'pass of the name is ' || guess END AS warning FROM files
+UNION ALL SELECT source_file || '_null_am.csv', 'am', NULL, NULL, NULL, NULL, NULL, 'error', 'error: no usable rows', NULL FROM sup WHERE source_file LIKE '%5'
+UNION ALL SELECT source_file || '_empty_pm.csv', 'pm', 0, 'detrended/pm/' || source_file || '_empty_pm.rds', NULL, NULL, NULL, 'written_empty', 'empty_input_csv', NULL FROM sup""")
 def detrend_log(spark, sf_dir):
-    rows = cleaned(spark, sf_dir).withColumn("source_file", F.concat_ws("_", "source_file", "pass"))
-    _, log = detrend.detrend_all(rows, order=ORDER)
+    """The job over a file a pass: good files, names that tell another pass, files of nulls, empty files."""
+    rows = cleaned(spark, sf_dir)
+    first = rows.where((F.col("pass") == "am") & F.col("source_file").endswith("5"))
+    nulls = first.withColumn("source_file", F.concat("source_file", F.lit("_null_am.csv"))).withColumn("soil_moisture", F.lit(None).cast("double"))
+    files = rows.select(F.concat(F.lit("in/"), "source_file", F.lit("_empty_pm.csv")).alias("file_name")).distinct()
+    _, log = detrend.detrend_all(_named(rows).unionByName(nulls), files=files, order=ORDER)
     return log.withColumn("p_trend", F.round("p_trend", 6)).withColumn("r2_trend", F.round("r2_trend", 6))
 
 
+@query(f"WITH {sql.fitted()} SELECT source_file || '_' || pass || '.csv' AS source_file, pass, round(x, 2) AS x, round(y, 2) AS y, round(trend_hat, 6) AS trend_hat, round(resid, 6) AS resid, round(sm_for_kriging, 6) AS sm_for_kriging, CAST(row_number() OVER (PARTITION BY source_file, pass ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS INTEGER) AS pixel_id, 93 AS wkb_bytes, 6933 AS srid FROM fit")
+def detrend_cells(spark, sf_dir):
+    """The cells of the same job over plainly named files."""
+    rows = cleaned(spark, sf_dir).withColumn("source_file", F.concat(F.concat_ws("_", "source_file", "pass"), F.lit(".csv")))
+    cells, _ = detrend.detrend_all(rows, order=ORDER)
+    return cells.select(*KEYS, r("x", 2), r("y", 2), r("trend_hat"), r("resid"), r("sm_for_kriging"), "pixel_id", F.length("geometry").alias("wkb_bytes"), "srid")
+
+
+@query(f"""WITH {sql.CLEAN}, f AS (SELECT DISTINCT source_file, pass, CAST(substr(source_file, 3) AS BIGINT) AS k FROM clean),
+g AS (SELECT DISTINCT CASE k % 3 WHEN 0 THEN source_file || '.csv' ELSE source_file || '_' || pass || '.csv' END AS file, CASE k % 3 WHEN 0 THEN 'am' ELSE pass END AS pass, k FROM f),
+c AS (SELECT source_file, count(DISTINCT pass) AS passes FROM f GROUP BY source_file)
+SELECT file AS source_file, g.pass, CASE WHEN k % 3 = 0 AND passes > 1 THEN 'error: expected exactly one pass, found: am, pm' WHEN k % 3 = 1 THEN 'error: missing required columns: lon, lat' ELSE 'error: unknown pass label: ' || g.pass || '2' END AS note
+FROM g JOIN c ON c.source_file = 'G_' || lpad(CAST(k AS VARCHAR), 5, '0') WHERE k % 3 <> 0 OR passes > 1""")
+def detrend_errors(spark, sf_dir):
+    """The job over files that hold both passes, that lack columns, and whose pass is unknown; each is a log row."""
+    rows = cleaned(spark, sf_dir)
+    k = F.substring("source_file", 3, 10).cast("long") % 3
+    file = F.when(k == 0, F.concat("source_file", F.lit(".csv"))).otherwise(F.concat(F.concat_ws("_", "source_file", "pass"), F.lit(".csv")))
+    rows = rows.withColumn("label", F.when(k == 2, F.concat("pass", F.lit("2"))).otherwise(F.col("pass"))).withColumn("source_file", file).withColumn("pass", F.col("label"))
+    columns = F.array(*[F.lit(c) for c in audit.REQUIRED])
+    number = F.regexp_extract("source_file", "[0-9]+", 0).cast("long") % 3
+    headers = rows.select("source_file").distinct().withColumn("header", F.when(number == 1, F.array_except(columns, F.array(F.lit("lon"), F.lit("lat")))).otherwise(columns))
+    _, log = detrend.detrend_all(rows, headers=headers, order=ORDER)
+    return log.where("status = 'error'").select(*KEYS, "note")
+
+
 @query(f"WITH {sql.CLEAN}, n AS (SELECT source_file, count(DISTINCT pass) AS k FROM clean GROUP BY source_file), l AS (SELECT CASE WHEN CAST(substr(source_file, 3) AS BIGINT) % 3 = 0 AND k > 1 THEN 'error' ELSE 'written' END AS status FROM n, range(2) WHERE k > 0 AND (CAST(substr(source_file, 3) AS BIGINT) % 3 <> 0 OR range = 0)) SELECT status, count(*) AS n FROM l GROUP BY status")
 def status_counts(spark, sf_dir):
     """Every third file keeps both passes, and so is an error; the others are a file a pass."""
@@ -460,3 +511,91 @@ def status_counts(spark, sf_dir):
     rows = rows.withColumn("source_file", F.when(both, F.col("source_file")).otherwise(F.concat_ws("_", "source_file", "pass")))
     _, log = detrend.detrend_all(rows, order=ORDER)
     return audit.status_counts(log)
+
+
+# ---------------------------------------------------------------- extraction: each vector is a granule of 16 x 4
+
+_EXTRACT_SQL = """v AS (SELECT vec_id, unnest(range(64)) AS p, unnest(embedding) AS e FROM embeddings),
+g AS (SELECT vec_id, p, p % 16 AS i, p // 16 AS j, CASE WHEN p % 11 = 0 THEN -9999 ELSE round(4 * CAST(e AS DOUBLE), 3) END AS value, vec_id % 6 AS k FROM v),
+x AS (SELECT 'G' || vec_id || '_20200711.nc4' AS source_file, CASE WHEN k = 4 THEN 'pm' ELSE 'am' END AS pass, k, p, value,
+  -96e0 + CASE k WHEN 3 THEN j ELSE i END / 4e0 AS lon, 40e0 + CASE k WHEN 3 THEN i ELSE j END / 4e0 AS lat FROM g),
+kept AS (SELECT * FROM x WHERE k <> 5 AND value BETWEEN 0 AND 1)"""
+
+
+def _granule_tables(spark, sf_dir):
+    """The array and attribute tables of granules by vec_id % 6: coordinates of the same shape, transposed,
+    axes with the longitude first, with the latitude first, an evening pass, and a shape that doesn't fit."""
+    v = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("in/G"), F.col("vec_id").cast("string"), F.lit("_20200711.nc4")).alias("granule"), (F.col("vec_id") % 6).alias("k"), F.col("embedding").alias("e"))
+    k = F.col("k")
+    upto = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
+    grid = lambda slow, fast, of: F.transform(upto(slow), lambda j: F.transform(upto(fast), lambda i: of(i, j)))
+    lon, lat = lambda n: F.lit(-96.0) + n / 4.0, lambda n: F.lit(40.0) + n / 4.0
+    value = grid(4, 16, lambda i, j: F.when((16 * j + i) % 11 == 0, F.lit(FILL)).otherwise(F.round(4 * F.col("e")[16 * j + i].cast("double"), 3)))
+    axis = lambda n, of: F.array(F.transform(upto(n), of))
+    dims = lambda *d: F.array(*map(F.lit, d)).cast("array<int>")
+    named = lambda stem, sep="_": F.concat(F.lit(stem), F.when(k == 4, f"{sep}pm").otherwise("" if stem != "sm" else "_am"))
+    two = F.when(k == 0, dims(16, 4)).when(k == 1, dims(4, 16))
+    lons = F.when(k == 0, grid(4, 16, lambda i, j: lon(i))).when(k == 1, grid(16, 4, lambda j, i: lon(i))).when(k == 3, axis(4, lon)).otherwise(axis(16, lon))
+    lats = F.when(k == 0, grid(4, 16, lambda i, j: lat(j))).when(k == 1, grid(16, 4, lambda j, i: lat(j))).when(k == 3, axis(16, lat)).when(k == 5, axis(7, lat)).otherwise(axis(4, lat))
+    lon_dims = F.coalesce(two, F.when(k == 3, dims(4)).otherwise(dims(16)))
+    lat_dims = F.coalesce(two, F.when(k == 3, dims(16)).when(k == 5, dims(7)).otherwise(dims(4)))
+    parts = [(named("sm"), dims(16, 4), value), (named("lon"), lon_dims, lons), (named("lat"), lat_dims, lats)]
+    every = F.array(*[F.struct(n.alias("variable"), d.alias("dims"), c.alias("chunks")) for n, d, c in parts])
+    arrays = v.select("granule", F.inline(every)).select("granule", "variable", "dims", F.posexplode("chunks").alias("chunk", "data"))
+    attributes = v.select("granule", named("sm").alias("variable"), F.explode(F.array(F.lit("_FillValue"), F.lit("units"))).alias("attr"), F.array(F.lit(FILL)).alias("values"))
+    return arrays, attributes
+
+
+@query(f"WITH {_EXTRACT_SQL} SELECT source_file, '20200711' AS date_tag, pass, p, lon, lat, value AS soil_moisture FROM kept")
+def extract_job(spark, sf_dir):
+    rows, _ = extract.extract_all(*_granule_tables(spark, sf_dir))
+    return rows.select("source_file", "date_tag", "pass", F.col("p").cast("long").alias("p"), "lon", "lat", "soil_moisture")
+
+
+@query(f"""WITH {_EXTRACT_SQL}, n AS (SELECT source_file, pass, k, CAST(count(*) FILTER (value BETWEEN 0 AND 1) AS INTEGER) AS rows FROM x GROUP BY source_file, pass, k)
+SELECT source_file, pass, CASE WHEN k <> 5 THEN rows END AS rows, CASE WHEN k <> 5 THEN 'extracted/' || pass || '/' || split_part(source_file, '.', 1) || '_' || pass || '.csv' END AS output_file,
+  CASE WHEN k = 5 THEN 'error: shapes [16x4] [16] [7]' ELSE 'written' END AS status FROM n""")
+def extract_job_log(spark, sf_dir):
+    _, log = extract.extract_all(*_granule_tables(spark, sf_dir))
+    return log
+
+
+@query(f"WITH {_EXTRACT_SQL} SELECT 'in/' || source_file AS granule, CASE WHEN k = 4 THEN 'sm_pm' ELSE 'sm_am' END AS variable, p // 16 AS chunk, count(*) AS n, round(sum(value), 3) AS total FROM x GROUP BY source_file, k, p // 16")
+def array_scan(spark, sf_dir):
+    """The array table written and read again, two variables of it."""
+    arrays, _ = _granule_tables(spark, sf_dir)
+    arrays.write.parquet(path := scratch.place(spark, "arrays"))
+    found = io.read_arrays(spark, path, ["sm_am", "sm_pm"])
+    return found.select("granule", "variable", F.col("chunk").cast("long").alias("chunk"), F.size("data").cast("long").alias("n"), F.round(F.aggregate("data", F.lit(0.0), lambda a, x: a + x), 3).alias("total"))
+
+
+@query("SELECT 'in/G' || vec_id || '_20200711.nc4' AS granule, CASE WHEN vec_id % 6 = 4 THEN 'sm_pm' ELSE 'sm_am' END AS variable, -9999e0 AS fill, false AS has_missing FROM embeddings")
+def attribute_scan(spark, sf_dir):
+    _, attributes = _granule_tables(spark, sf_dir)
+    found = granules.attribute_values(attributes)
+    return found.select("granule", "variable", F.col("fill")[0].alias("fill"), F.col("missing").isNotNull().alias("has_missing"))
+
+
+@query(f"WITH {_EXTRACT_SQL} SELECT source_file, pass, p, lon, lat, value AS soil_moisture FROM kept")
+def extract_csv_sink(spark, sf_dir):
+    """The job's rows as delimited files, a folder a pass and file, read again."""
+    rows, _ = extract.extract_all(*_granule_tables(spark, sf_dir))
+    io.write_rows(rows.repartition("pass", "source_file"), path := scratch.place(spark, "csv"), "csv")
+    back = io.read_csv(spark, path, "date_tag string, lon double, lat double, soil_moisture double, p bigint, pass string, source_file string")
+    return back.select("source_file", "pass", "p", "lon", "lat", "soil_moisture")
+
+
+@query(f"WITH {sql.CLEAN} SELECT 'G_' || right(source_file, 1) AS source_file, pass, l_orderkey, l_linenumber, l_partkey, round(soil_moisture, 6) AS soil_moisture FROM clean")
+def object_sink(spark, sf_dir):
+    """Rows as typed objects, a folder a pass and file (suppliers by their last digit), read again."""
+    rows = cleaned(spark, sf_dir).withColumn("source_file", F.concat(F.lit("G_"), F.substring("source_file", -1, 1)))
+    io.write_rows(rows, path := scratch.place(spark, "objects"))
+    return spark.read.parquet(path).select(*KEYS, "l_orderkey", "l_linenumber", "l_partkey", r("soil_moisture"))
+
+
+@query(f"SELECT o_orderkey, o_custkey, c_name, c_nationkey, c_acctbal FROM ({_JOINED_SQL})")
+def joined_sink(spark, sf_dir):
+    """The joined table as delimited text, read again with types found from the data."""
+    io.write_table(_joined(spark, sf_dir), path := scratch.place(spark, "joined"))
+    back = io.read_csv(spark, path)
+    return back.select("o_orderkey", "o_custkey", "c_name", F.col("c_nationkey").cast(_joined(spark, sf_dir).schema["c_nationkey"].dataType).alias("c_nationkey"), "c_acctbal")

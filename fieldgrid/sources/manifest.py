@@ -12,12 +12,12 @@ class NoFiles(ValueError):
     """A manifest is empty."""
 
 
-def granules(arrays: DataFrame, limit: int | None = None, settings: Settings = DEFAULT, must: bool = False) -> DataFrame:
-    """granule: distinct names of granule files in binary order, the first ``limit``; with ``must`` an empty manifest is an error."""
+def granules(arrays: DataFrame, limit: int | None = None, settings: Settings = DEFAULT, must: bool = True) -> DataFrame:
+    """granule: distinct names of granule files in binary order, the first ``limit``; an empty manifest is an error, but for ``must`` off."""
     return _listed(arrays.select("granule").distinct().where(F.col("granule").rlike(settings.granule_pattern)), "granule", limit, must)
 
 
-def extracted(files: DataFrame, label: str, limit: int | None = None, settings: Settings = DEFAULT, must: bool = False) -> DataFrame:
+def extracted(files: DataFrame, label: str, limit: int | None = None, settings: Settings = DEFAULT, must: bool = True) -> DataFrame:
     """file_name of one pass (a partition column, so that other passes are not read)."""
     here = files.where((F.col("pass") == label) & F.col("file_name").rlike(settings.table_pattern))
     return _listed(here.select("file_name").distinct(), "file_name", limit, must)

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from fieldgrid import schemas
 from fieldgrid.functions import geo
 from fieldgrid.operators import granules
 from fieldgrid.plans import extract
+from fieldgrid.sources.manifest import NoFiles
 
 P = "Soil_Moisture_Retrieval_Data_AM"
 
@@ -69,11 +71,19 @@ def test_fill_range_priority_and_limit(spark):
     assert [g[5] for g in got] == [0.0, 1.0] and set(log) == {("a.nc4", "am")}
 
 
-def test_empty_arrays(spark):
-    got, log = run(spark, [])
+def test_no_granules_are_an_error_unless_allowed(spark):
+    with pytest.raises(NoFiles):
+        run(spark, [])
+    got, log = run(spark, [], must=False)
     assert got == [] and log == {}
 
 
+def test_granules_of_one_base_name_are_counted_apart(spark):
+    rows = [r for d in ("x", "y") for r in chunks(f"{d}/a.nc4", "sm_am", V if d == "x" else V + [[1], [0]]) + chunks(f"{d}/a.nc4", "lon", [1, 2]) + chunks(f"{d}/a.nc4", "lat", [5, 6, 7])]
+    _, log = extract.extract_all(spark.createDataFrame(rows, schemas.ARRAYS), spark.createDataFrame([], schemas.ATTRIBUTES))
+    assert sorted((r.source_file, r.rows, r.status) for r in log.collect()) == [("a.nc4", 3, "written"), ("a.nc4", 6, "written")]
+
+
 def test_catalogue(spark):
     df = spark.createDataFrame(chunks("g", "A/x", V) + chunks("g", "b", V), schemas.ARRAYS)
     assert sorted(map(tuple, granules.catalogue(df).collect())) == [("g", "A/x", "A"), ("g", "b", "b")]

@@ -10,7 +10,8 @@ def test_manifest(spark):
     assert [r[0] for r in manifest.granules(arrays).collect()] == ["a.NC", "b.nc4"]
     assert [r[0] for r in manifest.granules(arrays, limit=1).collect()] == ["a.NC"]
     with pytest.raises(manifest.NoFiles):
-        manifest.granules(arrays.where("granule = 'c.txt'"), must=True)
+        manifest.granules(arrays.where("granule = 'c.txt'"))
+    assert manifest.granules(arrays.where("granule = 'c.txt'"), must=False).isEmpty()
 
 
 def test_left_join_multiplies_and_matches_nulls(spark):

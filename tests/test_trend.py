@@ -136,3 +136,19 @@ def test_empty_input(spark):
     cells, log = detrend.detrend_all(rows)
     assert cells.count() == 0 and log.count() == 0
     assert [f.name for f in cells.schema] == [x.split()[0] for x in schemas.CELLS.split(", ")]
+
+
+def test_missing_columns_and_errors_of_other_passes(spark):
+    rows = spark.createDataFrame([("a_am.csv", "am", 0.1), ("b_pm.csv", "pm", 0.1)], "source_file string, pass string, soil_moisture double")
+    cells, log = detrend.detrend_all(rows, label="am")
+    assert cells.count() == 0 and [(r.source_file, r.status, r.note) for r in log.collect()] == [("a_am.csv", "error", "error: missing required columns: date_tag, lon, lat")]
+
+
+def test_the_masks_do_not_repeat_the_value(spark):
+    from pyspark.sql import functions as F
+
+    from fieldgrid.operators import clean
+
+    rows = spark.range(10).select(F.pow("id", F.lit(2.0)).alias("soil_moisture"), F.lit(1.0).alias("lon"), F.lit(2.0).alias("lat"))
+    plan = clean.clean(rows, F.array(F.lit(-9999.0)), F.lit(None).cast("array<double>"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.upper().count("POWER") <= 4
