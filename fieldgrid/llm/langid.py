@@ -110,7 +110,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
             keys, n = np.unique(np.concatenate(parts), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array(keys.view(np.int64)), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
 
-    counts = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = cut(sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     scale = F.create_map(*[x for k, v in totals.items() for x in (F.lit(k), F.lit(float(v)))]) if totals else None
     if scale is None:

@@ -104,26 +104,31 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: float |
     copies = counted.select(*[F.col(f"d.{c}") for c in columns], F.explode(F.sequence(F.lit(1), F.col("__fg_count"))).alias("copy"))
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("copy").cast("string")).cast("binary"))
     shuffled = copies.withColumn("shuffle_key", key)
-    return shuffled.repartitionByRange("shuffle_key").sortWithinPartitions("shuffle_key")
+    # md5 is uniform: its first 28 bits deal out even ranges, without a sample of what is dealt
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = F.floor(F.conv(F.substring("shuffle_key", 1, 7), 16, 10).cast("long") * parts / float(1 << 28)).cast("int")
+    return shuffled.repartitionById(parts, part).sortWithinPartitions("shuffle_key")
 
 
-def mix_sql(seed: int = 17, temperature: float = 0.5, max_rate: float = 8.0) -> str:
-    """The same, in DuckDB SQL over ``documents``, as long as no source's rate is above ``max_rate``."""
-    most = len(poisson_table(max_rate))
+def mix_sql(seed: int = 17, temperature: float = 0.5) -> str:
+    """The same, in DuckDB SQL over ``documents``."""
+    most = len(poisson_table(STEP))
+    u = f"('0x' || md5('{seed}:' || coalesce(CAST(d.doc_id AS VARCHAR), '') || %s)[1:12])::BIGINT::DOUBLE / {float(1 << 48)}"
     return f"""
 WITH RECURSIVE c AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
-r AS (
-  SELECT source, least({float(max_rate)}, power(n::DOUBLE, {float(temperature)}) / (SELECT sum(power(n::DOUBLE, {float(temperature)})) FROM c) * (SELECT sum(n)::DOUBLE FROM c) / n) AS rate
+w AS (
+  SELECT source, power(n::DOUBLE, {float(temperature)}) / (SELECT sum(power(n::DOUBLE, {float(temperature)})) FROM c) * (SELECT sum(n)::DOUBLE FROM c) / n AS rate
   FROM c),
+r AS (SELECT source, CAST(ceil(rate / {STEP}) AS INTEGER) AS parts, rate / ceil(rate / {STEP}) AS rate FROM w),
 p AS (
-  SELECT source, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS total FROM r
+  SELECT source, parts, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS total FROM r
   UNION ALL
-  SELECT source, rate, k + 1, p * rate / (k + 1), total + p * rate / (k + 1) FROM p WHERE k + 1 < {most}),
-t AS (SELECT source, list(total ORDER BY k) AS totals FROM p GROUP BY source),
+  SELECT source, parts, rate, k + 1, p * rate / (k + 1), total + p * rate / (k + 1) FROM p WHERE k + 1 < {most}),
+t AS (SELECT source, any_value(parts) AS parts, list(total ORDER BY k) AS totals FROM p GROUP BY source),
 d AS (
-  SELECT d.doc_id, d.source, d.text,
-    len(list_filter(t.totals, lambda x: x <= ('0x' || md5('{seed}:' || d.doc_id)[1:12])::BIGINT::DOUBLE / {float(1 << 48)})) AS n
+  SELECT d.doc_id, d.source, d.text, CASE WHEN t.parts = 1 THEN len(list_filter(t.totals, lambda x: x <= {u % "''"}))
+    ELSE list_sum(list_transform(range(t.parts), lambda j: len(list_filter(t.totals, lambda x: x <= {u % "':' || j"})))) END AS n
   FROM documents d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-e AS (SELECT doc_id, source, text, unnest(generate_series(1, n)) AS copy FROM d)
-SELECT doc_id, source, text, CAST(copy AS INTEGER) AS copy, md5('{seed}:' || doc_id || ':' || copy) AS shuffle_key FROM e
+e AS (SELECT doc_id, source, text, unnest(generate_series(1, CAST(n AS BIGINT))) AS copy FROM d)
+SELECT doc_id, source, text, CAST(copy AS INTEGER) AS copy, md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || copy) AS shuffle_key FROM e
 """

@@ -15,7 +15,6 @@ ids without reading what stands before it.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 
 import numpy as np
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import Pool, loaded
-from .common import shared_dir, sliced
+from .common import place, sliced
 
 BLOCK_IDS = 1 << 18  # a block is closed when it holds so many ids
 AT_ONCE = 1024  # documents encoded at once
@@ -173,6 +172,6 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFram
 def round_trip(docs: DataFrame, tokenizer_path: str, vocabulary: int, end_id: int = 0) -> DataFrame:
     """Write the ids of ``docs`` to a new place in the shared folder and read them back."""
     spark = docs.sparkSession
-    path = f"{shared_dir(spark)}/ids-{uuid.uuid4().hex}"
+    path = place(spark, "ids")
     write_ids(docs, path, tokenizer_path, vocabulary, end_id)
     return read_ids(spark, path)

@@ -141,8 +141,11 @@ def test_a_small_source_meets_a_large_weight(spark):
     assert len({r.shuffle_key for r in got}) == len(got)
 
 
-def test_sql_agrees(spark):
+@pytest.mark.parametrize("skewed", [False, True])
+def test_sql_agrees(spark, skewed):
     df, rows = mixed_docs(spark)
+    if skewed:  # the rate of the small source is near 50
+        df = spark.createDataFrame([(i, f"t{i}", "tiny" if i < 2 else "big") for i in range(6000)], "doc_id long, text string, source string")
     con = duckdb.connect()
     con.register("documents", df.toPandas())
     want = sorted(map(str, con.sql(mixing.mix_sql()).fetchall()))
