@@ -1,11 +1,16 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-A bounded sample of labelled documents is the index. Its terms are words and word beginnings that
-a chi-square test ties to the label. Every document is a query: blocks of examples are visited in
-order of their upper bound (the sum over the query's terms of query weight times the block's
-largest weight) until no unvisited block can reach the k-th best, so the top k is exact. The
-neighbours vote by cosine, and the vote is calibrated on the examples themselves, each left out
-of its own neighbours.
+A bounded sample of labelled documents is the index, with every term that two of them share:
+words and word beginnings. A term's weight is its IDF, raised by how far the labels of the sample
+are tied to it (chi-square), so that examples are near for what matters; no term is left out, so
+a copy of an example has cosine 1 and hardly any text is without neighbours.
+
+Every document is a query. Terms that many examples hold are one matrix product for a batch of
+documents; the others are postings, by blocks of examples. Blocks are visited in order of their
+upper bound (the largest score so far in the block plus, over the query's other terms, query
+weight times the block's largest weight) until no unvisited block can reach the k-th best, so the
+top k is exact. The neighbours of both labels vote by cosine, and a logistic curve, fitted on the
+examples, each left out of its own neighbours, turns the share of the vote into a probability.
 """
 
 from __future__ import annotations
@@ -21,16 +26,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import sliced, with_fold
+from .common import cut, sliced, with_fold
 
 #: The bound of the labelled sample, and with it of the index: so many documents of label 1 and of label 0.
 TOXIC_DOCS, CLEAN_DOCS = 1_500, 4_500
 NEIGHBOURS = 15
-BLOCK = 64  # examples in a block
-PREFIXES = (4, 5, 6)
-#: A term is used from this chi-square, from this share of the sample's size in it, from so many
-#: documents, and if it is so many times likelier with label 1.
-LEAST_CHI2, LEAST_PHI2, LEAST_DOCS, LEAST_LIFT = 25.0, 0.012, 5, 8.0
+BLOCK = 512  # examples in a block
+PREFIX = 5  # characters of a word's beginning, a term of its own for longer words
+LEAST_DOCS = 2  # a term of one example alone makes no two examples near
+COMMON = 1 / 16  # terms in more than this share of the examples are columns of a matrix
+CHANCE = 15.0  # chi-square that chance alone reaches once in 10,000 terms: only what exceeds it raises a weight
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -39,71 +44,81 @@ def terms(text: str | None) -> Counter:
     """Counts of lower-cased words and of their beginnings (marked by a hyphen)."""
     out = Counter(_WORD.findall(text.lower())) if text else Counter()
     for w, n in list(out.items()):
-        for k in PREFIXES:
-            if len(w) > k:
-                out[w[:k] + "-"] += n
+        if len(w) > PREFIX:
+            out[w[:PREFIX] + "-"] += n
     return out
 
 
 @dataclass
 class Index:
     vocabulary: dict[str, int]
-    idf: np.ndarray
+    weight: np.ndarray  # of each term: IDF and tie to the labels
     ids: np.ndarray  # doc_id of each example
     labels: np.ndarray
-    starts: np.ndarray  # postings of term t: [starts[t], starts[t + 1])
-    examples: np.ndarray  # of each posting, ascending within a term
+    common: np.ndarray  # of each term its column in ``columns``, or -1
+    columns: np.ndarray  # common terms x examples
+    starts: np.ndarray  # [b, t]: first posting of term t in block b, up to [b, t + 1]
+    examples: np.ndarray  # of each posting, its place in the block
     weights: np.ndarray
-    cuts: np.ndarray  # [t, b]: first posting of term t in block b or later
-    tops: np.ndarray  # [t, b]: largest weight of term t in block b
-    curve: tuple[float, float, float] = (0.0, 0.0, 0.0)  # of vote, strength and 1
+    tops: np.ndarray  # [b, t]: largest weight of term t in block b
+    curve: tuple[float, float] = (0.0, 0.0)  # of vote and 1
 
-    def query(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
-        """Terms of the index and their weights, not yet divided by their norm."""
-        found = [(i, n) for i, n in ((self.vocabulary.get(w), n) for w, n in counts.items()) if i is not None]
+    def query(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Terms of the index and their weights, of length 1."""
+        get = self.vocabulary.get
+        found = [(i, n) for i, n in ((get(w), n) for w, n in counts.items()) if i is not None]
         if not found:
             return np.empty(0, np.int64), np.empty(0)
-        t = np.array([i for i, _ in found])
-        q = (1 + np.log(np.array([n for _, n in found], dtype=float))) * self.idf[t]
-        return t, q
-
-    def nearest(self, counts: Counter, k: int = NEIGHBOURS, leave_out: int = -1) -> tuple[np.ndarray, np.ndarray, float]:
-        """Places and cosines of the k nearest examples of positive cosine, ties to the earlier
-        place, and the norm of the query."""
-        t, q = self.query(counts)
-        places, scores = np.empty(0, np.int64), np.empty(0)
-        if not len(t):
-            return places, scores, 0.0
-        norm = float(np.linalg.norm(q))
-        q = q / norm
-        bounds = q @ self.tops[t]
-        for b in np.argsort(-bounds, kind="stable"):
+        t, n = np.array(found, dtype=np.int64).T
+        q = (1 + np.log(n)) * self.weight[t]
+        return t, q / math.sqrt(q @ q)
+
+    def nearest(self, queries: list[dict[str, int]], k: int = NEIGHBOURS, leave_out: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the places and cosines of the k nearest examples of positive cosine, ties to the earlier place."""
+        asked = [self.query(c) for c in queries]
+        dense = np.zeros((len(queries), len(self.columns)))
+        for r, (t, q) in enumerate(asked):
+            at = self.common[t]
+            dense[r, at[at >= 0]] = q[at >= 0]
+        scores = dense @ self.columns
+        out = []
+        for r, (t, q) in enumerate(asked):
+            rare = self.common[t] < 0
+            out.append(self._best(scores[r], t[rare], q[rare], k, leave_out[r] if leave_out else -1))
+        return out
+
+    def _best(self, score: np.ndarray, t: np.ndarray, q: np.ndarray, k: int, leave_out: int) -> tuple[np.ndarray, np.ndarray]:
+        places, best = np.empty(0, np.int64), np.empty(0)
+        if not len(score):
+            return places, best
+        firsts = np.arange(0, len(score), BLOCK)
+        bounds = np.maximum.reduceat(score, firsts) + self.tops[:, t] @ q
+        for b in np.argsort(-bounds, kind="stable").tolist():
             # a block whose bound just equals the k-th best may hold an equal example of earlier place
-            if bounds[b] <= 0 or len(scores) == k and bounds[b] < scores[-1] - 1e-12:
+            if bounds[b] <= 0 or len(best) == k and bounds[b] < best[-1] - 1e-12:
                 break
-            here = np.zeros(BLOCK)
-            for i, w in zip(t, q):
-                at = slice(self.cuts[i, b], self.cuts[i, b + 1])
-                here[self.examples[at] - b * BLOCK] += w * self.weights[at]
-            hit = np.flatnonzero(here > 0)
+            here = score[b * BLOCK : (b + 1) * BLOCK]
+            begin = self.starts[b, t]
+            n = self.starts[b, t + 1] - begin
+            total = int(n.sum())
+            if total:
+                at = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(total)
+                here = here + np.bincount(self.examples[at], self.weights[at] * np.repeat(q, n), len(here))
+            least = best[-1] if len(best) == k else 0.0
+            hit = np.flatnonzero((here > 0) & (here >= least - 1e-12))
             hit = hit[hit + b * BLOCK != leave_out]
-            places, scores = np.concatenate([places, hit + b * BLOCK]), np.concatenate([scores, here[hit]])
-            best = np.lexsort((places, -scores))[:k]
-            places, scores = places[best], scores[best]
-        return places, scores, norm
+            places, best = np.concatenate([places, hit + b * BLOCK]), np.concatenate([best, here[hit]])
+            order = np.lexsort((places, -best))[:k]
+            places, best = places[order], best[order]
+        return places, best
 
-    def vote(self, places: np.ndarray, scores: np.ndarray, norm: float) -> tuple[float, float]:
-        """The share of label 1 among the neighbours, weighted by cosine, and its strength: the
-        same sum before normalisation, on a log scale. One weak shared term gives a high share but
-        little strength."""
-        if not len(places):
-            return 0.0, 0.0
-        toxic = float(scores @ self.labels[places])
-        return toxic / float(scores.sum()), math.log1p(norm * toxic / len(places))
+    def vote(self, places: np.ndarray, scores: np.ndarray) -> float:
+        """The share of label 1 among the neighbours, weighted by cosine; 0 without any."""
+        return float(scores @ self.labels[places]) / float(scores.sum()) if len(places) else 0.0
 
-    def score(self, vote: tuple[float, float]) -> float:
-        a, b, c = self.curve
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, a * vote[0] + b * vote[1] + c))))
+    def score(self, vote: float) -> float:
+        a, b = self.curve
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, a * vote + b))))
 
 
 def sample_of(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC_DOCS, clean: int = CLEAN_DOCS) -> DataFrame:
@@ -118,76 +133,98 @@ def sample_of(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC_DOCS, clean
 
 
 def train(docs: DataFrame, labels: DataFrame, base_rate: float | None = None) -> Index:
-    """Build the index from a bounded sample of labelled documents, calibrated to the labels' own rate."""
-    sample = sample_of(docs, labels)
+    """Build the index from a bounded sample of labelled documents, calibrated to the labels' own rate.
+
+    What comes to the driver are the terms of the sample and its postings, both as numbers."""
 
     def read(batches):
         for batch in sliced(batches):
             counted = [terms(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([list(c) for c in counted], pa.list_(pa.string())), pa.array([list(c.values()) for c in counted], pa.list_(pa.int32()))], names=["doc_id", "toxic", "terms", "counts"])
 
-    counted = sample.mapInArrow(read, "doc_id long, toxic int, terms array<string>, counts array<int>").persist()
-    try:
-        sizes = {r["toxic"]: r["n"] for r in counted.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-        p, n = sizes.get(1, 0), sum(sizes.values())
-        found = counted.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("toxic").alias("a"))
-        a, b = F.col("a").cast("double"), (F.col("df") - F.col("a")).cast("double")
-        c, d = F.lit(float(p)) - a, F.lit(float(n - p)) - b
-        chi2 = F.try_divide(n * (a * d - b * c) * (a * d - b * c), (a + b) * (c + d) * (a + c) * (b + d))
-        # at most the distinct terms of the sample's documents, of which each is in LEAST_DOCS or more
-        used = found.where((F.col("df") >= LEAST_DOCS) & (chi2 >= max(LEAST_CHI2, LEAST_PHI2 * n)) & (a * (n - p) > LEAST_LIFT * b * p)).select("term", "df").orderBy("term").collect()
-        keep = F.array(*[F.lit(r["term"]) for r in used]) if used else F.array().cast("array<string>")
-        pairs = F.filter(F.arrays_zip("terms", "counts"), lambda x: F.array_contains(keep, x["terms"]))
-        examples = counted.select("doc_id", "toxic", pairs.alias("pairs")).orderBy("doc_id").collect()  # the bounded sample
-        rate = base_rate if base_rate is not None else labels.where(F.col("toxic").isin(0, 1)).agg(F.avg("toxic")).first()[0]
-    finally:
-        counted.unpersist()
-    index = build([r["term"] for r in used], [r["df"] for r in used], [(r["doc_id"], r["toxic"], {x["terms"]: x["counts"] for x in r["pairs"]}) for r in examples])
-    calibrate(index, [Counter({x["terms"]: x["counts"] for x in r["pairs"]}) for r in examples], rate or 0.0)
+    counted = cut(sample_of(docs, labels).mapInArrow(read, "doc_id long, toxic int, terms array<string>, counts array<int>"))
+    found = counted.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("toxic").alias("a"))
+    used = found.where(F.col("df") >= LEAST_DOCS).orderBy("term").toPandas()
+    vocabulary = {w: i for i, w in enumerate(used["term"])}
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # bounded by the sample
+
+    def number(batches):
+        get = shared.value.get
+        for batch in sliced(batches):
+            rows = [[(get(w), n) for w, n in zip(t, c) if w in shared.value] for t, c in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([[i for i, _ in r] for r in rows], pa.list_(pa.int32())), pa.array([[n for _, n in r] for r in rows], pa.list_(pa.int32()))], names=["doc_id", "toxic", "terms", "counts"])
+
+    examples = counted.mapInArrow(number, "doc_id long, toxic int, terms array<int>, counts array<int>").orderBy("doc_id").toPandas()
+    rate = base_rate if base_rate is not None else labels.where(F.col("toxic").isin(0, 1)).agg(F.avg("toxic")).first()[0]
+    index = build(vocabulary, used["df"].to_numpy(float), used["a"].to_numpy(float), examples["doc_id"].to_numpy(np.int64), examples["toxic"].to_numpy(float), list(examples["terms"]), list(examples["counts"]))
+    calibrate(index, votes_of(counted, index), rate or 0.0)
     return index
 
 
-def build(vocabulary: list[str], df: list[int], examples: list[tuple[int, int, dict[str, int]]]) -> Index:
-    place = {w: i for i, w in enumerate(vocabulary)}
-    n = len(examples)
-    idf = np.log(1 + n / np.array(df, dtype=float)) if df else np.empty(0)
-    postings: list[list[tuple[int, float]]] = [[] for _ in vocabulary]
-    for e, (_, _, counts) in enumerate(examples):
-        t = [place[w] for w in counts]
-        v = (1 + np.log(np.array(list(counts.values()), dtype=float))) * idf[t] if t else np.empty(0)
-        v = v / np.linalg.norm(v) if len(v) else v
-        for i, w in zip(t, v):
-            postings[i].append((e, float(w)))
+def build(vocabulary: dict[str, int], df: np.ndarray, a: np.ndarray, ids: np.ndarray, labels: np.ndarray, terms_of: list[np.ndarray], counts_of: list[np.ndarray]) -> Index:
+    """df: how many examples hold a term, a: how many of label 1; terms and counts of each example."""
+    n, p, size = len(ids), float(labels.sum()), len(df)
+    b, c, d = df - a, p - a, (n - p) - (df - a)
+    chi2 = n * (a * d - b * c) ** 2 / np.maximum(df * (n - df) * p * (n - p), 1e-9)
+    weight = np.log(1 + n / np.maximum(df, 1)) * (1 + np.sqrt(np.maximum(0.0, chi2 - CHANCE)))
+    common = np.full(size, -1, np.int64)
+    often = np.flatnonzero(df > COMMON * n)
+    common[often] = np.arange(len(often))
+    columns = np.zeros((len(often), n))
+    owner, term, value = [], [], []
+    for e, (t, m) in enumerate(zip(terms_of, counts_of)):
+        t = np.asarray(t, dtype=np.int64)
+        v = (1 + np.log(np.asarray(m, dtype=float))) * weight[t]
+        v = v / math.sqrt(v @ v) if len(v) else v
+        dense = common[t] >= 0
+        columns[common[t[dense]], e] = v[dense]
+        owner.append(np.full(int((~dense).sum()), e))
+        term.append(t[~dense])
+        value.append(v[~dense])
+    whole = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.empty(0, kind)
+    owner, term, value = whole(owner, np.int64), whole(term, np.int64), whole(value, float)
+    order = np.lexsort((owner, term, owner // BLOCK))
+    owner, term, value = owner[order], term[order], value[order]
     blocks = -(-n // BLOCK)
-    starts = np.cumsum([0, *map(len, postings)])
-    ex = np.array([e for p in postings for e, _ in p], dtype=np.int64)
-    w = np.array([x for p in postings for _, x in p])
-    cuts, tops = np.zeros((len(vocabulary), blocks + 1), np.int64), np.zeros((len(vocabulary), blocks))
-    for t in range(len(vocabulary)):
-        own = slice(starts[t], starts[t + 1])
-        cuts[t] = starts[t] + np.searchsorted(ex[own], np.arange(blocks + 1) * BLOCK)
-        np.maximum.at(tops[t], ex[own] // BLOCK, w[own])
-    return Index(place, idf, np.array([i for i, _, _ in examples], dtype=np.int64), np.array([y for _, y, _ in examples], dtype=float), starts, ex, w, cuts, tops)
-
-
-def calibrate(index: Index, counts: list[Counter], rate: float) -> None:
-    """A logistic curve from votes (each example left out of its own) to labels, the examples
-    weighted so that label 1 has the labels' own rate; targets are smoothed as Platt proposes."""
+    keys = owner // BLOCK * size + term
+    starts = np.stack([np.searchsorted(keys, k * size + np.arange(size + 1)) for k in range(blocks)]) if blocks else np.zeros((0, size + 1), np.int64)
+    tops = np.zeros((blocks, size))
+    np.maximum.at(tops, (owner // BLOCK, term), value)
+    return Index(vocabulary, weight, ids, labels, common, columns, starts.astype(np.int32), (owner % BLOCK).astype(np.int32), value, tops)
+
+
+def votes_of(counted: DataFrame, index: Index) -> np.ndarray:
+    """The vote on each example by the others, in the order of the index."""
+    shared = counted.sparkSession.sparkContext.broadcast(index)
+
+    def run(batches):
+        ix = shared.value
+        for batch in sliced(batches):
+            ids = batch.column(0).to_pylist()
+            counts = [dict(zip(t, c)) for t, c in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            found = ix.nearest(counts, leave_out=np.searchsorted(ix.ids, ids).tolist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([ix.vote(*f) for f in found], pa.float64())], names=["doc_id", "vote"])
+
+    votes = counted.mapInArrow(run, "doc_id long, vote double").toPandas()  # one row an example
+    return votes.sort_values("doc_id")["vote"].to_numpy()
+
+
+def calibrate(index: Index, votes: np.ndarray, rate: float) -> None:
+    """A logistic curve from votes to labels, the examples weighted so that label 1 has the labels'
+    own rate; targets are smoothed as Platt proposes."""
     y = index.labels
     pos, neg = int(y.sum()), int(len(y) - y.sum())
+    rate = min(max(rate, 1e-6), 1 - 1e-6)
     if not pos or not neg:
-        p = min(max(rate, 1e-6), 1 - 1e-6)
-        index.curve = (0.0, 0.0, math.log(p / (1 - p)))
+        index.curve = (0.0, math.log(rate / (1 - rate)))
         return
-    votes = np.array([index.vote(*index.nearest(c, leave_out=i)) for i, c in enumerate(counts)])
-    rate = min(max(rate, 1e-6), 1 - 1e-6)
     weight = np.where(y == 1, rate / pos, (1 - rate) / neg) * len(y)
     target = np.where(y == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
-    x, beta = np.column_stack([votes, np.ones(len(votes))]), np.zeros(3)
+    x, beta = np.column_stack([votes, np.ones(len(votes))]), np.zeros(2)
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
         grad = x.T @ (weight * (target - p)) - 1e-3 * beta
-        hess = (x * (weight * np.maximum(p * (1 - p), 1e-9))[:, None]).T @ x + 1e-3 * np.eye(3)
+        hess = (x * (weight * np.maximum(p * (1 - p), 1e-9))[:, None]).T @ x + 1e-3 * np.eye(2)
         step = np.linalg.solve(hess, grad)
         beta = beta + step * min(1.0, 5 / max(1e-9, np.abs(step).max()))
         if np.abs(step).max() < 1e-6:
@@ -208,11 +245,8 @@ def predict(docs: DataFrame, index: Index, least: float = 0.3) -> DataFrame:
     def run(batches):
         ix = shared.value
         for batch in sliced(batches):
-            scores, evidence = [], []
-            for text in batch.column(at).to_pylist():
-                places, cosines, norm = ix.nearest(terms(text))
-                scores.append(ix.score(ix.vote(places, cosines, norm)))
-                evidence.append(ix.ids[places].tolist())
+            found = ix.nearest([terms(text) for text in batch.column(at).to_pylist()])
+            scores, evidence = [ix.score(ix.vote(*f)) for f in found], [ix.ids[f[0]].tolist() for f in found]
             cols = [pa.array(scores, pa.float64()), pa.array([int(s >= least) for s in scores], pa.int32()), pa.array(evidence, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[*names, *[f.name for f in extra]])
 

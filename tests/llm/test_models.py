@@ -1,3 +1,4 @@
+import math
 import random
 from collections import Counter
 
@@ -117,25 +118,56 @@ def test_one_label_only(spark, y):
     assert toxicity.score_documents(df.limit(0), labels).collect() == []
 
 
-def test_block_max_search_is_exact():
-    r = random.Random(2)
-    words = [f"t{k}" for k in range(40)]
-    docs = [(i, r.randint(0, 1), {w: r.randint(1, 3) for w in r.sample(words, r.randint(0, 9))}) for i in range(500)]
-    df = [max(1, sum(w in c for _, _, c in docs)) for w in words]
-    ix = toxicity.build(words, df, docs)
-    idf = {w: np.log(1 + len(docs) / d) for w, d in zip(words, df)}
+def brute_nearest(docs, queries, k):
+    """Cosines by plain dictionaries; docs: (label, counts)."""
+    n, p = len(docs), sum(y for y, _ in docs)
+    df, a = Counter(), Counter()
+    for y, c in docs:
+        df.update(c.keys())
+        a.update(c.keys() if y else ())
+
+    def weight(w):
+        x, b = a[w], df[w] - a[w]
+        chi2 = n * (x * (n - p - b) - b * (p - x)) ** 2 / max(df[w] * (n - df[w]) * p * (n - p), 1e-9)
+        return math.log(1 + n / df[w]) * (1 + math.sqrt(max(0, chi2 - toxicity.CHANCE)))
 
     def vec(c):
-        v = np.array([(1 + np.log(c[w])) * idf[w] if w in c else 0.0 for w in words])
-        return v / np.linalg.norm(v) if v.any() else v
-
-    m = np.stack([vec(c) for _, _, c in docs])
-    for _ in range(60):
-        q = Counter({w: r.randint(1, 4) for w in r.sample([*words, "unknown"], r.randint(0, 7))})
-        places, scores, _ = ix.nearest(q, 15)
-        s = m @ vec(q)
-        want = [p for p in np.lexsort((np.arange(len(s)), -s.round(12)))[:15] if s[p] > 0]
-        assert np.allclose(scores, s[want]) and np.allclose(s[places], s[want])
+        v = {w: (1 + math.log(m)) * weight(w) for w, m in c.items() if df[w] >= toxicity.LEAST_DOCS}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items()}
+
+    held = [vec(c) for _, c in docs]
+    for q in queries:
+        v = vec(q)
+        s = [(-sum(x * h.get(w, 0.0) for w, x in v.items()), e) for e, h in enumerate(held)]
+        yield sorted(x for x in s if x[0] < 0)[:k], dict((e, -x) for x, e in s)
+
+
+@pytest.mark.parametrize("block", [64, 512])
+def test_block_max_search_is_exact(monkeypatch, block):
+    monkeypatch.setattr(toxicity, "BLOCK", block)
+    r = random.Random(2)
+    words = [f"t{k}" for k in range(400)] + ["the", "of"] * 40
+    docs = [(int(r.random() < 0.3), Counter(r.choices(words, k=r.randint(0, 40)))) for _ in range(700)]
+    for y, c in docs:
+        if y:
+            c[r.choice(["bad", "worse"])] += 1
+    df, a = Counter(), Counter()
+    for y, c in docs:
+        df.update(c.keys())
+        a.update(c.keys() if y else ())
+    vocabulary = {w: i for i, w in enumerate(sorted(w for w in df if df[w] >= toxicity.LEAST_DOCS))}
+    ix = toxicity.build(
+        vocabulary, np.array([df[w] for w in vocabulary], float), np.array([a[w] for w in vocabulary], float), np.arange(len(docs)), np.array([y for y, _ in docs], float),
+        [np.array([vocabulary[w] for w in c if w in vocabulary], int) for _, c in docs], [np.array([m for w, m in c.items() if w in vocabulary], int) for _, c in docs],
+    )
+    assert 0 < len(ix.columns) < len(vocabulary)
+    queries = [Counter(r.choices([*words, "bad", "unknown"], k=r.randint(0, 60))) for _ in range(60)] + [c for _, c in docs[:20]]
+    for (places, cosines), (want, every) in zip(ix.nearest(queries, 15), brute_nearest(docs, queries, 15), strict=True):
+        assert np.allclose(cosines, [-x for x, _ in want]) and np.allclose([every[e] for e in places], cosines)
+    for e, (places, cosines) in enumerate(ix.nearest([c for _, c in docs[:20]], 15)):
+        if docs[e][1].keys() & vocabulary.keys():
+            assert math.isclose(cosines[0], 1)  # a copy of an example
 
 
 def test_the_sample_is_bounded(spark):
