@@ -97,4 +97,64 @@ def test_nearest_scores_ties_and_recall(spark, chunk):
 def test_rotations_keep_lengths():
     x = np.random.default_rng(0).normal(size=(5, 16))
     assert np.allclose(np.linalg.norm(search._hadamard(x), axis=1), np.linalg.norm(x, axis=1))
-    assert search.axes(x, 0, 100).shape == (5, 32)
+    both = search.rotated(x, 0, 0)
+    assert np.allclose(np.linalg.norm(both[:, :16], axis=1), np.linalg.norm(x, axis=1))
+    for turns in (1, 2, 3):
+        own, asked = search.code(x, 1, turns), search.probed(x, 1, turns, 40)
+        assert all(c in a for c, a in zip(own, asked.tolist())) and all(len(set(a)) == min(40, 32**turns) for a in asked.tolist())
+    assert [search.turns_for(n, 64) for n in (1, 500, 16_383, 16_384, 2_097_151, 2_097_152)] == [1, 1, 1, 2, 2, 3]
+
+
+def recall_of(spark, v, **more):
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>").repartition(4)
+    got = {}
+    for x in search.nearest(df, **more).collect():
+        got.setdefault(x.query_id, set()).add(x.vec_id)
+    d = v.astype(float)
+    asked = range(0, len(v), 20)
+    assert set(got) == set(asked) and all(len(x) == 20 for x in got.values())
+    hit = 0
+    for q in asked:
+        score = d @ d[q]
+        score[q] = -np.inf
+        hit += len(got[q] & set(np.lexsort((np.arange(len(v)), -score))[:20].tolist()))
+    return hit / (20 * len(asked))
+
+
+def test_recall_of_vectors_of_unequal_length(spark):
+    r = np.random.default_rng(6)
+    v = r.normal(size=(2000, 64))
+    v *= r.lognormal(size=(2000, 1)) / np.linalg.norm(v, axis=1, keepdims=True)
+    assert recall_of(spark, v.astype(np.float32)) >= 0.95
+
+
+def test_recall_with_more_than_one_turn(spark, monkeypatch):
+    monkeypatch.setattr(search, "turns_for", lambda rows, dim: 2)
+    r = np.random.default_rng(7)
+    v = r.normal(size=(1500, 8)).astype(np.float32)  # 256 buckets of two turns
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    monkeypatch.setattr(search, "probes_for", lambda rows, dim, turns: 40)
+    assert recall_of(spark, v, chunk=50) >= 0.9
+
+
+def test_few_rows_give_all(spark):
+    v = np.eye(12, dtype=np.float32)
+    df = spark.createDataFrame([(i, (x * (-1) ** i).tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    assert [(r["rank"], r.vec_id, r.score) for r in search.nearest(df).orderBy("rank").collect()] == [(k, k, 0.0) for k in range(1, 12)]
+
+
+def test_all_ids_are_queries(spark, monkeypatch):
+    v = vectors(5, 120, 6)
+    rows = {50 * i: [int(np.floor(256 * float(x))) for x in v[i]] for i in range(len(v))}
+    monkeypatch.setattr(search, "STRIPE", 7)
+    df = frame(spark, [(50 * i, x.tolist(), "r") for i, x in enumerate(v)])
+    got = {}
+    for r in search.exact_top_k(df, 50, 5, shard=30, tile=20).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert got == brute_top(rows, 50, 5, lambda a, b: sum(x * y for x, y in zip(a, b)))
+
+
+def test_components_beyond_64_bits(spark):
+    df = spark.createDataFrame([(0, [1e20, 1.0]), (50, [1e20, 2.0]), (51, [-1e20, 5.0])], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in search.exact_top_k(df).collect()}
+    assert got == {(0, 1): (50, 2**63 - 1), (0, 2): (51, -(2**63)), (50, 1): (0, 2**63 - 1), (50, 2): (51, -(2**63))}
