@@ -5,6 +5,7 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from fieldgrid.llm import mixing, secrets
 
@@ -48,14 +49,48 @@ def test_markov_models_tell_random_strings_from_identifiers(spark):
     words = ["customer", "account", "handler", "request", "session", "manager", "update", "window", "parser", "reading", "thread", "stream"]
     name = lambda: r.choice(words) + r.choice(words).title() + r.choice(words).title() + r.choice(["", "2"])
     train = [" ".join(name() for _ in range(20)) + f" token={rand(32)}" for _ in range(150)]
-    table = secrets.train(docs(spark, train))
-    secret, plain = [rand(32) for _ in range(60)], [name() for _ in range(60)]
-    got = secrets.digest(secrets.scan(docs(spark, [f"see {x} here" for x in secret + plain]), table)).collect()
+    table, odds = secrets.train(docs(spark, train))
+    assert odds >= secrets.ODDS
+    lower = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    secret, plain = [rand(32) for _ in range(40)] + [lower(24) for _ in range(20)], [name() for _ in range(60)]
+    got = secrets.digest(secrets.scan(docs(spark, [f"see {x} here" for x in secret + plain]), table, odds)).collect()
     hit = {g.doc_id: g.n_markov for g in got}
     assert sum(hit[i] for i in range(60)) >= 54
     assert sum(hit[i] for i in range(60, 120)) <= 3
 
 
+def test_the_ratio_is_brute_force(spark):
+    import collections
+
+    r = random.Random(2)
+    rows = [(r.randint(0, 1), "".join(r.choice("abcXYZ019_-") for _ in range(r.randint(1, 30)))) for _ in range(200)]
+    table = secrets.model(spark.createDataFrame(rows, "random int, token string"))
+    seen = [collections.Counter(), collections.Counter()]
+    for y, t in rows:
+        seen[y].update(zip(t, t[1:]))
+    p = lambda y, a, b: (seen[y][a, b] + 0.5) / (sum(n for (x, _), n in seen[y].items() if x == a) + 33)
+    texts = ["".join(r.choice("abcXYZ019_-qQ") for _ in range(r.randint(1, 40))) for _ in range(50)]
+    got = spark.createDataFrame([(t,) for t in texts], "token string").select("token", secrets.ratio(F.col("token"), table).alias("r")).collect()
+    for g in got:
+        assert abs(g.r - sum(math.log(p(1, a, b) / p(0, a, b)) for a, b in zip(g.token, g.token[1:]))) < 1e-3
+
+
+def test_very_long_texts_take_seconds(spark):
+    import time
+
+    texts = ["0123456789abcdef0 " * 50_000, "aB3" * 330_000, "token=0123456789ab " * 20_000]
+    began = time.time()
+    got = {g.doc_id: g for g in secrets.digest(secrets.scan(docs(spark, texts), table=[0.0] * 16384)).collect()}
+    assert got[0].n_hex == 50_000 and got[2].n_assign == 20_000 and time.time() - began < 60
+    assert got[0].spans.endswith(f"hex:{18 * 49_999}:{18 * 49_999 + 17}")
+
+
+def test_blanked_texts_keep_their_length(spark):
+    got = docs(spark, TEXTS).select("text", secrets.outside(F.col("text")).alias("out")).collect()
+    assert all(g.out is None if g.text is None else len(g.out) == len(g.text) for g in got)
+    assert "deadbeef" not in got[7].out and got[3].out.count("token:abc") == 1
+
+
 def test_redaction(spark):
     found = secrets.scan(docs(spark, TEXTS).withColumnRenamed("secrets", "other"), table=[0.0] * 16384)
     got = {r.doc_id: r.text for r in secrets.redact(found).collect()}
