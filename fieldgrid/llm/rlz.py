@@ -5,16 +5,19 @@ Every document is parsed into reference blocks that its content alone cuts: each
 windows of one anchor form a block. Equal windows therefore lie in blocks with equal anchor, at
 the same place beside it, in whatever document they stand.
 
-1. Blocks are indexed by (anchor hash, content hash) with the smallest doc_id that holds each. A
-   document is factored greedily against all of them: a block that an earlier document holds
-   whole is matched whole, and neighbouring matches run together into one factor.
-2. At factor boundaries a block matches no earlier one whole, but windows in it still may. Only
+1. Blocks are indexed by (anchor hash, content hash) with the smallest doc_id that holds each and
+   the place where it stands there. A block that an earlier document holds whole is matched whole.
+2. Where a factor ends, a block matches no earlier one whole, but windows in it still may. Only
    for anchors that other blocks share too, one representative of each distinct block is read
    again and its windows are looked up one by one.
-
-Both steps together find a window exactly if its word sequence starts in a document of smaller
-doc_id; the words of such windows are duplicate spans. Content hashes are taken over the words'
-bytes. Groups of copies meet as counts and minima, never as lists or pairs.
+3. Each document is then factored greedily (``parse``): from where it stands, the match that
+   reaches furthest is taken, extended as long as the next match goes on in the same reference
+   document at the same distance. Where no match covers the place, the parse moves on to the next.
+   Factors have ``window`` words at least; their words are the duplicate spans.
+
+The matches hold a window exactly if its word sequence starts in a document of smaller doc_id.
+Content hashes are taken over the words' bytes. Groups of copies meet as counts and minima, never
+as lists or pairs.
 """
 
 from __future__ import annotations
@@ -141,7 +144,7 @@ def _narrow(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def window_matches(docs: DataFrame, reps: DataFrame, window: int) -> DataFrame:
-    """doc_id, text_key, lo, hi, ref of the single windows of ``reps`` that an earlier document holds too."""
+    """doc_id, text_key, lo, hi, ref, at of the single windows of ``reps`` that an earlier document holds too."""
     lists = reps.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("anchor", "lo", "hi")).alias("blocks"))
     lists = cut(lists)
     texts = _narrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), lists.select("doc_id").distinct())
@@ -167,13 +170,14 @@ def window_matches(docs: DataFrame, reps: DataFrame, window: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[x.split()[0] for x in schema.split(", ")])
 
     windows = cut(asked.mapInArrow(run, schema))
-    first = windows.groupBy("anchor", "content").agg(F.min("doc_id").alias("ref"), F.max("doc_id").alias("other")).where(F.col("ref") < F.col("other")).drop("other")
+    first = windows.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "lo")).alias("r"), F.max("doc_id").alias("other")).where(F.col("r.doc_id") < F.col("other"))
+    first = first.select("anchor", "content", F.col("r.doc_id").alias("ref"), F.col("r.lo").alias("at"))
     found = windows.join(first, ["anchor", "content"]).where(F.col("doc_id") > F.col("ref"))
-    return found.select("doc_id", "text_key", F.col("lo"), F.col("lo").alias("hi"), "ref")
+    return found.select("doc_id", "text_key", F.col("lo"), F.col("lo").alias("hi"), "ref", "at")
 
 
 def duplicate_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """doc_id, text_key, lo, hi, ref: runs of window starts whose windows document ``ref``, of smaller id, holds too.
+    """doc_id, text_key, lo, hi, ref, at: runs of window starts whose windows document ``ref``, of smaller id, holds too, from place ``at``.
 
     A window that occurs more than once in its own document stands in the list once for each block
     it lies in, or, found alone, at its first place in a block."""
@@ -181,9 +185,9 @@ def duplicate_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -
     where = F.struct("doc_id", "text_key", F.element_at("los", 1).alias("lo"), F.element_at("his", 1).alias("hi"))
     index = blocks.groupBy("anchor", "content").agg(F.min(where).alias("rep"), F.max("doc_id").alias("last"))
     index = cut(index)
-    shared = index.where(F.col("rep.doc_id") < F.col("last")).select("anchor", "content", F.col("rep.doc_id").alias("ref"))
+    shared = index.where(F.col("rep.doc_id") < F.col("last")).select("anchor", "content", F.col("rep.doc_id").alias("ref"), F.col("rep.lo").alias("at"))
     whole = blocks.join(shared, ["anchor", "content"]).where(F.col("doc_id") > F.col("ref"))
-    whole = whole.select("doc_id", "text_key", F.inline(F.arrays_zip(F.col("los").alias("lo"), F.col("his").alias("hi"))), "ref")
+    whole = whole.select("doc_id", "text_key", F.inline(F.arrays_zip(F.col("los").alias("lo"), F.col("his").alias("hi"))), "ref", "at")
     several = index.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("rep.doc_id").alias("least"), F.max("last").alias("most"))
     several = several.where((F.col("n") > 1) & (F.col("least") < F.col("most"))).select("anchor")
     reps = index.join(several, "anchor").select("anchor", "rep.*")
@@ -194,14 +198,14 @@ def remove_duplicates(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -
     """Add n_words, n_removed, kept_text, kept_sha256 and factors to every row.
 
     Removed are the words that a window of ``window`` words covers whose word sequence also starts
-    in a document of smaller doc_id, judged on the input. ``factors`` lists the duplicate spans as
-    (start, end, ref) in words, neighbouring matches run together where they overlap. A null or
+    in a document of smaller doc_id, judged on the input. ``factors`` lists the factors of the
+    parse as (start, end, ref, ref_start) in words; neighbours overlap where windows cross a boundary. A null or
     empty text has no words; texts shorter than a window lose none; a null doc_id is no reference
     and loses none; rows that repeat a doc_id don't count against each other. All rows and columns
     stay; columns with the added names are replaced.
     """
     found = duplicate_windows(docs, window, gram)
-    spans = found.groupBy(F.col("doc_id").alias("__fg_id"), F.col("text_key").alias("__fg_key")).agg(F.collect_list(F.struct("lo", "hi", "ref")).alias("__fg_spans"))
+    spans = found.groupBy(F.col("doc_id").alias("__fg_id"), F.col("text_key").alias("__fg_key")).agg(F.collect_list(F.struct("lo", "hi", "ref", "at")).alias("__fg_spans"))
     spans = spans.groupBy("__fg_id").agg(F.collect_list(F.struct("__fg_key", "__fg_spans")).alias("__fg_found"))
     docs = docs.drop("n_words", "n_removed", "kept_text", "kept_sha256", "factors")
     names = docs.columns
@@ -211,7 +215,7 @@ def remove_duplicates(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -
         T.StructField("n_removed", T.LongType()),
         T.StructField("kept_text", T.StringType()),
         T.StructField("kept_sha256", T.StringType()),
-        T.StructField("factors", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("ref", T.LongType())]))),
+        T.StructField("factors", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("ref", T.LongType()), T.StructField("ref_start", T.IntegerType())]))),
     ]
     joined = docs.join(spans, docs["doc_id"].cast("long") == F.col("__fg_id"), "left").drop("__fg_id")
 
@@ -226,27 +230,54 @@ def remove_duplicates(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -
                     spans = next((f["__fg_spans"] for f in found if f["__fg_key"] == key), [])
                 kept, factors = words, []
                 if spans:
-                    spans = _everywhere(text, spans, window)
+                    factors = parse(_everywhere(text, spans, window), window)
                     edge = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(edge, [s["lo"] for s in spans], 1)
-                    np.add.at(edge, [s["hi"] + window for s in spans], -1)
+                    np.add.at(edge, [f["start"] for f in factors], 1)
+                    np.add.at(edge, [f["end"] for f in factors], -1)
                     gone = np.cumsum(edge[:-1]) > 0
                     kept = [words[i] for i in np.flatnonzero(~gone).tolist()]
-                    for s in sorted(spans, key=lambda s: (s["lo"], s["hi"])):
-                        a, z = s["lo"], s["hi"] + window
-                        if factors and factors[-1]["ref"] == s["ref"] and a <= factors[-1]["end"]:
-                            factors[-1]["end"] = max(z, factors[-1]["end"])
-                        else:
-                            factors.append({"start": a, "end": z, "ref": s["ref"]})
                 text = b" ".join(kept)
                 for col, v in zip(cols, (len(words), len(words) - len(kept), text.decode(), hashlib.sha256(text).hexdigest(), factors)):
                     col.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("ref", pa.int64())]))]
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("ref", pa.int64()), ("ref_start", pa.int32())]))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *[pa.array(c, k) for c, k in zip(cols, kinds)]], names=[*names, *[f.name for f in extra]])
 
     return joined.mapInArrow(run, T.StructType([*docs.schema.fields, *extra]))
 
 
+def parse(matches: list[dict], window: int) -> list[dict]:
+    """Greedy factors (start, end, ref, ref_start) of a document's matches (lo, hi, ref, at).
+
+    A match is extended by those that go on in the same reference at the same distance and leave
+    no word between; of the extended matches that cover the end of the last factor, or else of
+    those that begin next, the one that reaches furthest is the next factor. Every word that a
+    match covers is in a factor."""
+    extended: list[tuple[int, int, int, int]] = []  # start, end, ref, ref_start
+    last = None
+    for m in sorted(matches, key=lambda m: (m["ref"], m["at"] - m["lo"], m["lo"])):
+        end = m["hi"] + window
+        if last == (m["ref"], m["at"] - m["lo"]) and m["lo"] <= extended[-1][1]:
+            start, reached, ref, at = extended[-1]
+            extended[-1] = (start, max(reached, end), ref, at)
+        else:
+            extended.append((m["lo"], end, m["ref"], m["at"]))
+        last = (m["ref"], m["at"] - m["lo"])
+    extended.sort()
+    factors, k, here = [], 0, 0
+    while k < len(extended):
+        if extended[k][0] > here:
+            here = extended[k][0]
+        best = None
+        while k < len(extended) and extended[k][0] <= here:
+            if extended[k][1] > here and (best is None or extended[k][1] > best[1]):
+                best = extended[k]
+            k += 1
+        if best is not None:
+            factors.append(dict(zip(("start", "end", "ref", "ref_start"), best)))
+            here = best[1]
+    return factors
+
+
 def _everywhere(text: str, spans: list[dict], window: int) -> list[dict]:
     """Spans with the other places of single windows: a window found once is a duplicate wherever
     its text has it."""
@@ -264,5 +295,5 @@ def _everywhere(text: str, spans: list[dict], window: int) -> list[dict]:
     for s in np.flatnonzero(np.isin(sums, np.array(list(wanted), dtype=np.uint64))).tolist():
         like = wanted[int(sums[s])]
         if s != like["lo"] and p.joined[p.starts[s] : p.ends[s + window - 1]] == p.joined[p.starts[like["lo"]] : p.ends[like["lo"] + window - 1]]:
-            out.append({"lo": s, "hi": s, "ref": like["ref"]})
+            out.append({"lo": s, "hi": s, "ref": like["ref"], "at": like["at"]})
     return out

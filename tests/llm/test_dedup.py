@@ -52,7 +52,7 @@ def test_substring_dedup_factors_and_columns(spark):
     assert len(got) == 5 and set(got[0].asDict()) == {"doc_id", "text", "n_words", "n_removed", "kept_text", "kept_sha256", "factors"}
     for r in got:
         if r.doc_id == 9 and r.text != "other text":
-            assert (r.n_removed, r.kept_text) == (80, "new tail") and [tuple(f) for f in r.factors] == [(1, 81, 5)]
+            assert (r.n_removed, r.kept_text) == (80, "new tail") and [tuple(f) for f in r.factors] == [(1, 81, 5, 0)]
         else:
             assert r.n_removed == 0
 
@@ -131,3 +131,33 @@ def test_components(spark):
     got = {r.id: r.component for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
     assert all(got[k] == 1 for k in range(1, 41)) and got[100] == got[60] == got[50] == 50
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_factors_are_greedy_and_stand_in_their_references(spark):
+    from fieldgrid.llm import rlz
+
+    r = random.Random(11)
+    word = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    a, b = word(200), word(120)
+    texts = [a, b, word(10) + a[20:150] + word(5) + b[:100], a[:90] + b[30:110] + word(3), a[100:150] + a[100:150], word(300)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {x.doc_id: [(f.start, f.end, f.ref, f.ref_start) for f in x.factors] for x in rlz.remove_duplicates(df, 50, 25).collect()}
+    assert got[0] == got[1] == got[5] == []
+    assert got[2] == [(10, 140, 0, 20), (145, 245, 1, 0)]
+    assert got[3] == [(0, 90, 0, 0), (90, 170, 1, 30)]
+    assert got[4] == [(0, 50, 0, 100), (50, 100, 0, 100)]
+    for i, factors in got.items():
+        for start, end, ref, at in factors:
+            assert ref < i and end - start >= 50 and texts[i][start:end] == texts[ref][at : at + end - start]
+
+
+def test_every_matched_word_is_in_a_factor():
+    from fieldgrid.llm import rlz
+
+    r = random.Random(12)
+    for _ in range(300):
+        matches = [{"lo": lo, "hi": lo + r.randint(0, 6), "ref": r.randint(0, 2), "at": lo + r.choice([0, 3])} for lo in (r.randint(0, 60) for _ in range(r.randint(0, 12)))]
+        covered = {w for m in matches for w in range(m["lo"], m["hi"] + 5)}
+        factors = rlz.parse(matches, 5)
+        assert {w for f in factors for w in range(f["start"], f["end"])} == covered
+        assert all(x["end"] < y["end"] and x["start"] <= y["start"] for x, y in zip(factors, factors[1:]))

@@ -1,5 +1,6 @@
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -70,6 +71,40 @@ def test_filters_have_no_false_negatives(spark):
     assert (masks[n / n.sum() > 0.01] & 1).all()
 
 
+def test_predictions_are_those_of_plain_sets(spark):
+    """The whole query against dictionaries of n-grams in place of filters: the filters' false
+    positives are few, so predictions agree and scores are near."""
+    df, rows = lang_docs(spark, 150)
+    out = langid.identify(df, 3, 1).collect()
+    import zlib
+
+    def grams(text):
+        c = " " + re.sub(r"[\W\d_]+", " ", text.lower()).strip() + " "
+        return Counter((n, c[k : k + n]) for n in langid.SIZES for k in range(len(c) - n + 1))
+
+    counts = {}
+    for i, t, lang, _ in rows:
+        fold = zlib.crc32(str(i).encode()) % 3 if i is not None else 0
+        if lang and t is not None and fold != 1:
+            counts.setdefault(lang, Counter()).update(grams(t))
+    share = {x: {g: n / sum(c.values()) for g, n in c.items()} for x, c in counts.items()}
+    top = Counter()
+    for c in share.values():
+        for g, v in c.items():
+            top[g] = max(top[g], v)
+    known = {x: {g for g, v in c.items() if v >= langid.LEAST_FREQUENCY and v >= top[g] * langid.LEAST_SHARE} for x, c in share.items()}
+    for r in out:
+        if not r.text or not re.search(r"[^\W\d_]", r.text):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        g = grams(r.text)
+        total = sum(g.values())
+        real = {x: sum(n for y, n in g.items() if y in s) / total for x, s in known.items()}
+        best = max(sorted(real), key=real.get)
+        odds = {x: math.exp(min(40.0, 4.0 + math.sqrt(total)) * (v - real[best])) for x, v in real.items()}
+        assert r.lang_pred == best and abs(r.score - odds[best] / sum(odds.values())) < 0.05
+
+
 def test_grams_do_not_depend_on_case_or_marks():
     assert np.array_equal(langid.grams("The TEA, 12 is!"), langid.grams("the tea is"))
 
