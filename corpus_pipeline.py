@@ -1,7 +1,8 @@
 """A training-corpus pipeline of five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` applies them in turn to
-``documents``. All but the last return the columns of ``documents``.
+``documents``, and writes what a stage returns as Parquet, to the shared folder, before the next
+one reads it. All but the last return the columns of ``documents``.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from fieldgrid.llm import bpe, langid, minhash, mixing, secrets
 from fieldgrid.llm.common import set_aside
 from fieldgrid.llm.queries import tokenizer
 from fieldgrid.session import ship
+from fieldgrid.sources.scratch import cut
 
 #: Below this score the language of a document is not clear and it goes.
 LEAST_LANGUAGE_SCORE = 0.5
@@ -69,6 +71,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
