@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -192,19 +193,31 @@ def test_block_max_search_is_exact(monkeypatch, block):
         df.update(c.keys())
         a.update(c.keys() if y else ())
     vocabulary = {w: i for i, w in enumerate(sorted(w for w in df if df[w] >= toxicity.LEAST_DOCS))}
-    ix = toxicity.build(
-        vocabulary, np.array([df[w] for w in vocabulary], float), np.array([a[w] for w in vocabulary], float), np.arange(len(docs)), np.array([y for y, _ in docs], float),
+    packed = toxicity.build(
+        list(vocabulary), np.array([df[w] for w in vocabulary], float), np.array([a[w] for w in vocabulary], float), np.arange(len(docs)), np.array([y for y, _ in docs], float),
         [np.array([vocabulary[w] for w in c if w in vocabulary], int) for _, c in docs], [np.array([m for w, m in c.items() if w in vocabulary], int) for _, c in docs],
     )
+    ix = toxicity.Index(packed)
     assert 0 < len(ix.columns) < len(vocabulary)
     queries = [Counter(r.choices([*words, "bad", "unknown"], k=r.randint(0, 60))) for _ in range(60)] + [c for _, c in docs[:20]]
-    for (places, cosines), (want, every) in zip(ix.nearest(queries, 15), brute_nearest(docs, queries, 15), strict=True):
+
+    def nearest(some):
+        rows = [(d, vocabulary[w], m) for d, c in enumerate(some) for w, m in c.items() if w in vocabulary]
+        return ix.nearest(len(some), *np.array(rows).T, k=15)
+
+    for (places, cosines), (want, every) in zip(nearest(queries), brute_nearest(docs, queries, 15), strict=True):
         assert np.allclose(cosines, [-x for x, _ in want]) and np.allclose([every[e] for e in places], cosines)
-    for e, (places, cosines) in enumerate(ix.nearest([c for _, c in docs[:20]], 15)):
+    for e, (places, cosines) in enumerate(nearest([c for _, c in docs[:20]])):
         if docs[e][1].keys() & vocabulary.keys():
             assert math.isclose(cosines[0], 1)  # a copy of an example
 
 
+def test_terms_of_texts():
+    names, text, term, n = toxicity.terms(pa.array(["Tea, tea 2 Biscuits", None, "", "_É-b"]))
+    assert [(int(d), names[t], int(m)) for d, t, m in sorted(zip(text, term, n), key=lambda x: (x[0], names[x[1]]))] == [(0, "biscu-", 1), (0, "biscuits", 1), (0, "tea", 2), (3, "b", 1), (3, "é", 1)]
+    assert [len(x) for x in toxicity.terms(pa.array([], pa.string()))] == [0, 0, 0, 0]
+
+
 def test_the_sample_is_bounded(spark):
     df, labels, _, _ = toxic_docs(spark)
     got = toxicity.sample_of(df, labels, 10, 20).collect()
