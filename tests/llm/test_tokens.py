@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
 P = pytest.importorskip("public_tokenizers")
@@ -19,7 +19,10 @@ def test_halves_of_text_agree_with_the_library():
     whole = bpe.load(P.path("word_bpe_49k.json"))
     for leaf in (2, 3, 17):
         own = bpe.Chunks(P.path("word_bpe_49k.json"), leaf=leaf)
+        r = random.Random(leaf)
+        long = ["".join(r.choices(PARTS, k=400)) for _ in range(4)]  # drawn texts are short, few of them are cut
 
+        @example(long)
         @settings(max_examples=60, deadline=None)
         @given(st.lists(st.lists(st.sampled_from(PARTS), max_size=60).map("".join), min_size=1, max_size=4))
         def check(texts):
