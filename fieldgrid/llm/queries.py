@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, minhash, mixing, packed, rlz, search, secrets, toxicity
+from . import bpe, langid, minhash, mixing, packed, rlz, search, secrets, toxicity, whitening
 from .common import read_table
 
 
@@ -77,6 +77,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted", "evidence")
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"), components=4)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_language": op2_language,
@@ -88,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_top_k": op8_exact_top_k,
     "op9_cross_polytope": op9_cross_polytope,
     "op10_toxicity": op10_toxicity,
+    "op12_whitening": op12_whitening,
 }
 
 SQL: dict[str, str] = {"op7_mixing": mixing.mix_sql(), "op8_exact_top_k": OP8_SQL}
