@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, minhash, mixing, packed, rlz, search, secrets, toxicity, whitening
+from . import bpe, crosstok, langid, minhash, mixing, packed, rlz, search, secrets, toxicity, whitening
 from .common import read_table
 
 
@@ -81,6 +81,10 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(read_table(spark, sf_dir, "embeddings"), components=4)
 
 
+def op13_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosstok.align(read_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_language": op2_language,
@@ -93,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_cross_polytope": op9_cross_polytope,
     "op10_toxicity": op10_toxicity,
     "op12_whitening": op12_whitening,
+    "op13_cross_tokenizer": op13_cross_tokenizer,
 }
 
 SQL: dict[str, str] = {"op7_mixing": mixing.mix_sql(), "op8_exact_top_k": OP8_SQL}
