@@ -24,7 +24,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from itertools import accumulate
+from array import array
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +37,8 @@ from .bpe import load
 from .common import cut, sliced
 
 CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
-#: White space other than single spaces and line feeds between words; such texts are cut by ``CUT``.
-ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|[ \n][ \n]|\\A[ \n]|[ \n]\\Z")
-KEPT = 350_000  # chunks that a worker keeps
-KEPT_BYTES = 64 << 20  # of their texts and groups
+KEPT = 600_000  # chunks that a worker keeps
+KEPT_BYTES = 96 << 20  # of their texts and groups
 LINKS = 2_000_000  # links of a bucket
 AT_ONCE = 4 << 20  # bytes of texts held at once
 PREFIX = " x"  # stands before chunks that are encoded together, so that none is the text's start
@@ -70,15 +69,17 @@ class Aligner:
         self.b_is_byte = np.array([self.b.is_byte(i) for i in range(n)])
         self.b_bytes = [bytes([int(p[3:5], 16)]) if byte else p.replace("▁", " ").encode() for p, byte in zip(map(self.b.id_to_piece, range(n)), self.b_is_byte)]
         self.a_len, self.b_len = (np.array([len(x) for x in t]) for t in (self.a_bytes, self.b_bytes))
+        names = lambda size, end: np.array([f"{i}{end}" for i in range(size)], object)
+        self.a_name, self.b_name = ([names(len(t), end) for end in ends] for t, ends in ((self.a_bytes, ",|"), (self.b_bytes, ",;\n")))
         self.kept, self.refined = kept, 0
         self.clear()
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
-        self.sizes: list[tuple[int, int]] = []
+        self.n_a, self.n_b = array("q"), array("q")
         self.groups: list[bytes | None] = []  # None: the decoded bytes differ
-        self.links: list[np.ndarray] = []
-        self.held = 0
+        self.links: list[bytes] = []  # of 64-bit numbers
+        self.held, self.differing = 0, False
 
     def encode(self, text: str):
         """Ids and byte ends of both tokenizers' tokens of ``text``, which starts with a space; None
@@ -90,10 +91,10 @@ class Aligner:
             return None
         points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         place = np.append(0, np.cumsum(1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)))  # byte of each character
-        a, off = np.array(enc.ids, np.int64), np.array(enc.offsets, np.int64).reshape(-1, 2)
+        a, off = np.array(enc.ids, np.int64), np.fromiter(chain.from_iterable(enc.offsets), np.int64, 2 * len(enc.ids)).reshape(-1, 2)
         whole = np.append(off[1:, 0] >= off[:-1, 1], True)
         a_end = self._refine(place[off[:, 1]], whole, self.a_len[a])
-        b = np.array(pieces, np.int64).reshape(-1, 3)
+        b = np.fromiter(chain.from_iterable(pieces), np.int64, 3 * len(pieces)).reshape(-1, 3)
         return a, a_end, b[:, 0], self._refine(b[:, 2] + 1, ~self.b_is_byte[b[:, 0]], self.b_len[b[:, 0]])
 
     def _refine(self, coarse: np.ndarray, exact: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -106,14 +107,16 @@ class Aligner:
         base = np.append(0, np.where(exact, coarse, 0))
         return np.where(exact, coarse, base[last] + done[1:] - done[last])
 
-    def _add(self, key: str | None, sizes: tuple[int, int], groups: bytes | None, links: np.ndarray) -> int:
+    def _add(self, key: str | None, n_a: int, n_b: int, groups: bytes | None, links: bytes) -> int:
         k = len(self.groups)
         if key is not None:
             self.at[key] = k
-        self.sizes.append(sizes)
+        self.n_a.append(n_a)
+        self.n_b.append(n_b)
         self.groups.append(groups)
         self.links.append(links)
-        self.held += len(key or "") + len(groups or b"")
+        self.differing |= groups is None
+        self.held += len(key or "") + len(groups or b"") + len(links)
         return k
 
     def _block(self, keys: list[str | None], chunks: list[str], prefix: str) -> bool:
@@ -123,21 +126,29 @@ class Aligner:
             return False
         a, a_end, b, b_end = found
         ends = np.intersect1d(a_end, b_end, assume_unique=True)
-        ia, ib = np.searchsorted(a_end, ends) + 1, np.searchsorted(b_end, ends) + 1
+        ia, ib = np.searchsorted(a_end, ends), np.searchsorted(b_end, ends)  # the last tokens of each group
         edges = np.array(list(accumulate([len(prefix), *(len(c.encode()) for c in chunks)])))
-        cuts = np.searchsorted(ends, edges)
-        if (ends[np.minimum(cuts, len(ends) - 1)] != edges)[0 if prefix else 1 :].any():
+        last = np.searchsorted(ends, edges)  # each chunk's last group, that of the prefix first
+        if (ends[np.minimum(last, len(ends) - 1)] != edges)[0 if prefix else 1 :].any():
             return False
-        first = (cuts + 1).tolist()  # groups before the end of each chunk
-        if not prefix:
-            first[0] = 0
-        ja, jb = [0, *ia.tolist()], [0, *ib.tolist()]
-        sa, sb = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        links = (a[ia - 1] << 32) | b[ib - 1]
+        # names of all tokens in order of groups, A's before B's; what follows each ends token, side, group or chunk
+        a_mark, b_mark = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        a_mark[ia], b_mark[ib] = 1, 1
+        b_mark[ib[last[1:]]] = 2
+        if prefix:
+            b_mark[ib[last[0]]] = 2
+        a_group, b_group = np.cumsum(a_mark) - a_mark, np.cumsum(b_mark > 0) - (b_mark > 0)
+        text = np.empty(len(a) + len(b), object)
+        for tokens_, mark, group, names, before in ((a, a_mark, a_group, self.a_name, np.append(0, ib + 1)), (b, b_mark, b_group, self.b_name, ia + 1)):
+            place = np.arange(len(tokens_)) + before[group]
+            for m, name in enumerate(names):
+                text[place[mark == m]] = name[tokens_[mark == m]]
+        texts = "".join(text.tolist()).split("\n")[1 if prefix else 0 :]
+        links = ((a[ia] << 32) | b[ib]).tobytes()
+        first = np.append(last[0] + 1 if prefix else 0, last[1:] + 1)
+        of_a, of_b, at = (np.append(0, i + 1)[first].tolist() for i in (ia, ib, np.arange(len(ends))))
         for k, key in enumerate(keys):
-            x, y = first[k], first[k + 1]
-            text = ";".join([f"{','.join(sa[ja[g] : ja[g + 1]])}|{','.join(sb[jb[g] : jb[g + 1]])}" for g in range(x, y)])
-            self._add(key, (ja[y] - ja[x], jb[y] - jb[x]), text.encode(), links[x:y].copy())
+            self._add(key, of_a[k + 1] - of_a[k], of_b[k + 1] - of_b[k], texts[k].encode(), links[8 * at[k] : 8 * at[k + 1]])
         return True
 
     def learn(self, new: list[str]) -> None:
@@ -148,35 +159,35 @@ class Aligner:
             regular = []
         for k in [*regular, *(k for k in new if k[0] == " " or k[-1].isspace())]:
             if not self._block([k], [chunk(k)], "" if k[0] == " " else PREFIX):
-                self._add(k, (0, 0), None, np.empty(0, np.int64))
+                self._add(k, 0, 0, None, b"")
 
     def whole(self, text: str) -> int:
         """A text that is no plain sequence of chunks, as one."""
         if not self._block([None], [" " + text], ""):
-            return self._add(None, (0, 0), None, np.empty(0, np.int64))
+            return self._add(None, 0, 0, None, b"")
         return len(self.groups) - 1
 
-    def texts(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Places of each text's chunks in ``sizes``, ``groups`` and ``links``; none where it has no tokens."""
+    def texts(self, texts: list[str | None]) -> list[list[int]]:
+        """Places of each text's chunks in what is kept; none where it has no tokens."""
         if len(self.at) > self.kept or self.held > KEPT_BYTES:
             self.clear()
         keys = [keys_of(t) if t else [] for t in texts]
-        new = list(dict.fromkeys(k for ks in keys for k in ks if k not in self.at))
+        new = list(set(chain.from_iterable(keys)).difference(self.at))
         for k in range(0, len(new), 1 << 14):
             self.learn(new[k : k + (1 << 14)])
         out = []
         for t, ks in zip(texts, keys):
             at = list(map(self.at.__getitem__, ks))
-            if None in map(self.groups.__getitem__, at):
+            if self.differing and None in map(self.groups.__getitem__, at):
                 at = [self.whole(t)]
                 at = [] if self.groups[at[0]] is None else at
-            out.append(np.array(at, np.int64))
+            out.append(at)
         return out
 
 
 def keys_of(text: str) -> list[str]:
     """Keys of a text's chunks: the chunk, but without its space where only one stands before it."""
-    if not ODD.search(text):
+    if " ".join(text.split()) == text.replace("\n", " "):  # single spaces and line feeds between words alone
         return text.replace("\n", " \n").split(" ")
     return [c[1:] if c[0] == " " and not c[1:2].isspace() and len(c) > 1 else c for c in CUT.split(" " + text)]
 
@@ -220,19 +231,16 @@ def tokens(docs: DataFrame, a_path: str, b_path: str, most: int = LINKS) -> Data
         for batch in (part for b in sliced(batches) for part in _by_size(b)):
             texts = batch.column(1).to_pylist()
             found = al.texts(texts)
-            flat = np.concatenate([np.empty(0, np.int64), *found])
-            links = [al.links[k] for k in flat.tolist()]
-            owner = np.repeat(np.repeat(np.arange(len(texts)), [len(f) for f in found]), [len(x) for x in links])
-            known, at = np.unique(np.concatenate([np.empty(0, np.int64), *links]), return_inverse=True)
+            per_text = [b"".join(map(al.links.__getitem__, f)) for f in found]
+            owner = np.repeat(np.arange(len(texts)), [len(x) // 8 for x in per_text])
+            known, at = np.unique(np.frombuffer(b"".join(per_text), np.int64), return_inverse=True)
             both, n = np.unique(owner * max(1, len(known)) + at, return_counts=True)
             edges = np.searchsorted(both, np.arange(len(texts) + 1) * max(1, len(known)))
             pair = known[both % max(1, len(known))] if len(known) else known
             for k, f in enumerate(found):
-                f = f.tolist()
-                groups = b";".join([al.groups[x] for x in f])
-                sizes = [al.sizes[x] for x in f]
                 x, y = edges[k], edges[k + 1]
-                rows.append((sum(s[0] for s in sizes), sum(s[1] for s in sizes), int(n[x:y].sum()), hashlib.sha256(groups).hexdigest() if f else ""))
+                digest = hashlib.sha256(b";".join(map(al.groups.__getitem__, f))).hexdigest() if f else ""
+                rows.append((sum(map(al.n_a.__getitem__, f)), sum(map(al.n_b.__getitem__, f)), len(per_text[k]) // 8, digest))
                 pairs.append(pair[x:y])
                 times.append(n[x:y])
             ids += batch.column(0).to_pylist()

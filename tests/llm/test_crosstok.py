@@ -77,8 +77,8 @@ def expected(rows):
 
 
 def aligned(al, text):
-    at = al.texts([text])[0].tolist()
-    return sum(al.sizes[k][0] for k in at), sum(al.sizes[k][1] for k in at), b";".join(al.groups[k] for k in at).decode()
+    at = al.texts([text])[0]
+    return sum(al.n_a[k] for k in at), sum(al.n_b[k] for k in at), b";".join(al.groups[k] for k in at).decode()
 
 
 HARD = [
