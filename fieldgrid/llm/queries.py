@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, crosstok, langid, minhash, mixing, packed, rlz, search, secrets, toxicity, whitening
+from . import bpe, brown, crosstok, langid, minhash, mixing, packed, rlz, search, secrets, toxicity, whitening
 from .common import read_table
 
 
@@ -77,6 +77,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted", "evidence")
 
 
+def op11_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score_documents(read_table(spark, sf_dir, "documents"), folds=5, held_out=1)
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(read_table(spark, sf_dir, "embeddings"), components=4)
 
@@ -96,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_top_k": op8_exact_top_k,
     "op9_cross_polytope": op9_cross_polytope,
     "op10_toxicity": op10_toxicity,
+    "op11_brown": op11_brown,
     "op12_whitening": op12_whitening,
     "op13_cross_tokenizer": op13_cross_tokenizer,
 }
