@@ -233,7 +233,7 @@ def exchange(own: list[int], nexts: np.ndarray, prevs: np.ndarray, loops: np.nda
         m[r, :] -= after
         m[:, r] -= before
         m[r, r] -= loop
-        rows, cols = m.sum(axis=1), m.sum(axis=0)
+        rows, cols = m.sum(axis=1) + before, m.sum(axis=0) + after  # its neighbours stay where they are
         gain = (_phi(m + after) - _phi(m)).sum(axis=1) + (_phi(m + before[:, None]) - _phi(m)).sum(axis=0)
         d = np.diagonal(m)  # the cell of the class with itself takes both sides at once
         gain += _phi(d + after + before + loop) + _phi(d) - _phi(d + after) - _phi(d + before)
