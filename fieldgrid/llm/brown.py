@@ -44,9 +44,9 @@ CORE = 1 << 14
 ROUNDS = 6
 TRUST = 20.0
 MODEL_SHARE = 0.95
-BUCKET = 3_000_000  # tokens
+BUCKET = 1_500_000  # tokens
 AT_ONCE = 4 << 20  # bytes of texts split at once
-BIN_BYTES = 32 << 20  # of text for each bin of words
+BIN_BYTES = 16 << 20  # of text for each bin of words
 CORE_BINS = 48
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
 
@@ -97,8 +97,11 @@ def buckets(batches, most: int):
             texts.append((split.flatten(), np.diff(split.offsets.to_numpy())))
             held += len(texts[-1][0])
             if held >= most:
-                yield Bucket(number, parts, texts)
+                full = Bucket(number, parts, texts)
                 number, parts, texts, held = number + 1, [], [], 0
+                yield full
+                del full
+                pa.default_memory_pool().release_unused()
     if parts:
         yield Bucket(number, parts, texts)
 
