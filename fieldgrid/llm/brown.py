@@ -44,8 +44,8 @@ CORE = 1 << 14
 ROUNDS = 6
 TRUST = 20.0
 MODEL_SHARE = 0.95
-BUCKET = 1_500_000  # tokens
-AT_ONCE = 4 << 20  # bytes of texts split at once
+BUCKET = 900_000  # tokens
+AT_ONCE = 2 << 20  # bytes of texts split at once
 BIN_BYTES = 16 << 20  # of text for each bin of words
 CORE_BINS = 48
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
