@@ -55,8 +55,42 @@ def _double_bytes(value: Column) -> Column:
     return F.concat(*[F.substring(signed, k, 2) for k in range(15, 0, -2)])
 
 
-def well_known_binary(vertices: Column, count: int = 5) -> Column:
+def _head(count: int) -> str:
+    """Byte order, kind, one ring and its number of vertices, as hexadecimal text."""
+    return "01" + b"".join(n.to_bytes(4, "little") for n in (3, 1, count)).hex()
+
+
+def well_known_binary(ring: Column, count: int = 5) -> Column:
     """Little-endian WKB of a polygon of one ring with ``count`` vertices."""
-    head = "01" + (3).to_bytes(4, "little").hex() + (1).to_bytes(4, "little").hex() + count.to_bytes(4, "little").hex()
-    parts = [c for k in range(count) for c in (_double_bytes(vertices[k]["x"]), _double_bytes(vertices[k]["y"]))]
-    return F.unhex(F.concat(F.lit(head), *parts))
+    parts = [c for k in range(count) for c in (_double_bytes(ring[k]["x"]), _double_bytes(ring[k]["y"]))]
+    return F.unhex(F.concat(F.lit(_head(count)), *parts))
+
+
+def square_binary(x: Column, y: Column, size: float) -> Column:
+    """``well_known_binary`` of ``square``: its five vertices have four different numbers, each made
+    into bytes once."""
+    h = size / 2
+    left, right, low, high = (_double_bytes(c) for c in (x - h, x + h, y - h, y + h))
+    return F.unhex(F.concat(F.lit(_head(5)), left, low, right, low, right, high, left, high, left, low))
+
+
+def _double_of(text: Column, at: Column) -> Column:
+    """The double whose eight bytes, lowest first, stand in ``text`` (hexadecimal) from ``at`` (1-based)."""
+    turned = F.concat(*[F.substr(text, at + F.lit(k), F.lit(2)) for k in range(14, -1, -2)])
+    number = lambda first, n: F.conv(F.substring(turned, first, n), 16, 10).cast("long")
+    top, fraction = number(1, 3), number(4, 13)
+    size = (1 + fraction / float(1 << 52)) * F.pow(F.lit(2.0), (top % 2048 - 1023).cast("double"))
+    size = F.when((top % 2048 == 0) & (fraction == 0), 0.0).otherwise(size)
+    return F.when(top >= 2048, -size).otherwise(size)
+
+
+def vertices(wkb: Column) -> Column:
+    """The vertices of a little-endian WKB polygon of one ring, as ``square`` gives them; null for any
+    other geometry and for a value whose length is not that of its vertices. Exact for normal numbers."""
+    text = F.hex(wkb)
+    byte = lambda k: F.conv(F.substring(text, 2 * k + 1, 2), 16, 10).cast("int")
+    count = byte(9) + 256 * byte(10) + 65536 * byte(11)
+    fine = (F.substring(text, 1, 18) == _head(0)[:18].upper()) & (F.length(text) == 26 + 32 * count) & (byte(12) == 0)
+    at = lambda k, part: 27 + 32 * k + 16 * part
+    points = F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.struct(_double_of(text, at(k, 0)).alias("x"), _double_of(text, at(k, 1)).alias("y")))
+    return F.when(fine & (count > 0), points)

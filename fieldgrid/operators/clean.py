@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Settings
 
 # Texts that stand for a missing value in delimited files.
-NA_TOKENS = ("", "NA", "N/A", "NaN", "nan", "NULL", "null", "None", "n/a", "<NA>", "#N/A", "-NaN", "-nan")
+NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
 
 def to_double(text: Column) -> Column:

@@ -19,7 +19,7 @@ from .config import DEFAULT
 from .functions import geo, names
 from .operators import audit, clean, enrich, granules, trend
 from .plans import detrend, extract
-from .sources import io, manifest, scratch
+from .sources import io, manifest, named, scratch
 
 FILL = -9999.0
 ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
@@ -599,3 +599,138 @@ def joined_sink(spark, sf_dir):
     io.write_table(_joined(spark, sf_dir), path := scratch.place(spark, "joined"))
     back = io.read_csv(spark, path)
     return back.select("o_orderkey", "o_custkey", "c_name", F.col("c_nationkey").cast(_joined(spark, sf_dir).schema["c_nationkey"].dataType).alias("c_nationkey"), "c_acctbal")
+
+
+# ---------------------------------------------------------------- files: what the logs name and what is there
+
+
+def _extracted(spark, sf_dir):
+    """Clean rows with the path of their file."""
+    rows = cleaned(spark, sf_dir).select("source_file", "date_tag", "pass", "lon", "lat", "soil_moisture")
+    return rows.withColumn("output_file", names.extracted_path(F.col("source_file"), F.col("pass")))
+
+
+_PATH = "'extracted/' || pass || '/' || source_file || '_' || pass || '.csv'"
+
+
+@query(f"WITH {sql.CLEAN} SELECT {_PATH} AS output_file, pass, CAST(count(*) AS INTEGER) AS rows, CAST(count(*) AS INTEGER) AS rows_in_file, 'written' AS status FROM clean GROUP BY source_file, pass")
+def named_csv_sink(spark, sf_dir):
+    """One file a granule and pass, at the path of the log: the log beside what the folder holds. A file
+    that only one side has would be a row with nulls."""
+    named.write_named(_extracted(spark, sf_dir), root := scratch.place(spark, "files"))
+    found = manifest.rows_on_disk(spark, root).withColumnRenamed("rows", "rows_in_file")
+    return extract.extract_log(cleaned(spark, sf_dir)).join(found, "output_file", "full").select("output_file", "pass", "rows", "rows_in_file", "status")
+
+
+@query(f"WITH {sql.CLEAN}, w AS (SELECT DISTINCT source_file, pass, {_PATH} AS output_file FROM clean) SELECT source_file, pass, output_file, CASE WHEN output_file = (SELECT min(output_file) FROM w) THEN 'pending' ELSE 'skipped_existing' END AS status FROM w")
+def skip_by_files(spark, sf_dir):
+    """What is done is what has a file: all files are written and the first is deleted."""
+    rows = _extracted(spark, sf_dir)
+    work = scratch.cut(rows.select("source_file", "pass", "output_file").distinct())
+    named.write_named(rows, root := scratch.place(spark, "files"))
+    named.Store(spark, root).delete(work.agg(F.min("output_file")).first()[0])
+    there = manifest.on_disk(spark, root)
+    todo = manifest.pending(work, there, ["output_file"], replace(DEFAULT, overwrite=False)).withColumn("status", F.lit("pending"))
+    return todo.unionByName(work.join(manifest.skipped(work, there, ["output_file"]).select("output_file", "status"), "output_file"))
+
+
+@query(f"WITH {sql.CLEAN}, n AS (SELECT pass, count(DISTINCT source_file) AS n_before FROM clean GROUP BY pass) SELECT pass, n_before, n_before - CAST(pass = 'am' AS BIGINT) AS n_after, CAST(pass = 'am' AS BIGINT) AS n_missing FROM n")
+def reconcile_by_files(spark, sf_dir):
+    """Two stages compared by the files of their folders: the second stage's first file is deleted."""
+    rows = _extracted(spark, sf_dir)
+    named.write_named(rows, root := scratch.place(spark, "files"))
+    later = rows.select("source_file", "pass", "soil_moisture").withColumn("output_file", names.detrended_path(F.concat_ws("_", "source_file", "pass"), F.col("pass")))
+    named.write_named(later, root, form="parquet")
+    named.Store(spark, root).delete(later.agg(F.min("output_file")).first()[0])
+    stage = lambda name: manifest.stage_files(manifest.on_disk(spark, root).where(F.col("output_file").startswith(name)))
+    return manifest.reconcile(stage("extracted"), stage("detrended"))
+
+
+#: Columns of the files of suppliers by number % 6: in order, turned around, one more, two fewer; 4: in order, but the last line is cut off; 5: no table.
+_LAYOUTS = (
+    ("source_file", "date_tag", "pass", "lon", "lat", "soil_moisture"),
+    ("soil_moisture", "lat", "lon", "pass", "date_tag", "source_file"),
+    ("source_file", "date_tag", "pass", "lon", "lat", "soil_moisture", "l_orderkey"),
+    ("source_file", "date_tag", "pass", "soil_moisture"),
+)
+
+
+def _mixed_folder(spark, sf_dir):
+    """Delimited files of all kinds in one folder, a file a supplier and pass."""
+    rows = cleaned(spark, sf_dir).withColumn("k", F.substring("source_file", 3, 10).cast("long") % 6)
+    rows = rows.withColumn("output_file", names.extracted_path(F.col("source_file"), F.col("pass")))
+    root = scratch.place(spark, "mixed")
+    for k, columns in enumerate(_LAYOUTS):
+        named.write_named(rows.where(F.col("k") == k).select(*columns, "output_file"), root)
+    texts = rows.where("k > 3").select("output_file", "k", F.concat_ws(",", *_LAYOUTS[0]).alias("line"))
+    first = texts.groupBy("output_file", "k").agg(F.max("line").alias("line"))
+    # the greatest line comes once more, without its last field; what is no table is bytes of hashes
+    torn = first.where("k = 4").select("output_file", F.explode(F.array(F.lit(",".join(_LAYOUTS[0])), F.col("line"), F.substring_index("line", ",", 5))).alias("value"))
+    noise = first.where("k = 5").select("output_file", F.decode(F.unhex(F.sha2("line", 512)), "ISO-8859-1").alias("value"))
+    named.write_named(torn.repartition("output_file").sortWithinPartitions("output_file", F.desc(F.col("value") == ",".join(_LAYOUTS[0]))), root, form="text")
+    named.write_named(noise, root, form="text")
+    return root
+
+
+_MIXED_SQL = f"""{sql.CLEAN}, f AS (SELECT source_file || '_' || pass || '.csv' AS file_name, source_file, pass, CAST(substr(source_file, 3) AS BIGINT) % 6 AS k, count(*) AS n FROM clean GROUP BY source_file, pass)"""
+
+
+@query(f"""WITH {_MIXED_SQL} SELECT file_name AS source_file, array_to_string(CASE k {' '.join(f"WHEN {k} THEN {list(c)}" for k, c in enumerate(_LAYOUTS))} ELSE {list(_LAYOUTS[0])} END, ',') AS header,
+  CASE WHEN k = 3 THEN 'error: missing required columns: lon, lat' ELSE 'ok' END AS status FROM f WHERE k <> 5""")
+def header_scan(spark, sf_dir):
+    """Required columns by the files' own first lines; files that are no tables are left out here."""
+    found = io.read_headers(spark, _mixed_folder(spark, sf_dir))
+    checked = audit.required_columns(found.select(F.col("file_name").alias("source_file"), "header"))
+    return checked.where(F.array_contains("header", "pass")).select("source_file", F.array_join("header", ",").alias("header"), "status")
+
+
+@query(f"WITH {sql.CLEAN}, k AS (SELECT *, CAST(substr(source_file, 3) AS BIGINT) % 6 AS k FROM clean) SELECT source_file || '_' || pass || '.csv' AS file_name, pass, CASE WHEN k = 3 THEN NULL ELSE round(lon, 6) END AS lon, CASE WHEN k = 3 THEN NULL ELSE round(lat, 6) END AS lat, round(soil_moisture, 6) AS soil_moisture, CASE WHEN k = 2 THEN l_orderkey END AS l_orderkey FROM k WHERE k < 4")
+def delimited_union(spark, sf_dir):
+    """Files of different columns as one table, types found over all of them."""
+    root = _mixed_folder(spark, sf_dir)
+    headers = io.read_headers(spark, root)
+    tables = headers.join(io.read_delimited(spark, root, ["pass"], headers).where("malformed").select("file_name").distinct(), "file_name", "left_anti").where(F.array_contains("header", "pass"))
+    read = io.inferred(io.read_delimited(spark, root, ["pass", "lon", "lat", "soil_moisture", "l_orderkey"], tables).drop("malformed"), keep=("file_name", "pass"))
+    return read.select("file_name", "pass", r("lon"), r("lat"), r("soil_moisture"), "l_orderkey")
+
+
+@query(f"""WITH {_MIXED_SQL} SELECT file_name AS source_file, pass, CASE WHEN k < 3 THEN CAST(n AS INTEGER) END AS rows, CASE WHEN k < 3 THEN 'detrended/' || pass || '/' || source_file || '_' || pass || '.rds' END AS output_file, CASE WHEN k < 3 THEN 'written' ELSE 'error' END AS status,
+  CASE WHEN k < 3 THEN 'model_fitted' WHEN k = 3 THEN 'error: missing required columns: lon, lat' WHEN k = 4 THEN 'error: 1 malformed records' ELSE 'error: missing required columns: source_file, date_tag, pass, lon, lat, soil_moisture' END AS note FROM f""")
+def detrend_files_log(spark, sf_dir):
+    """The job over a folder of good, reordered, short, torn and unreadable files: a log row each."""
+    _, log = detrend.detrend_files(spark, _mixed_folder(spark, sf_dir))
+    return log.select("source_file", "pass", "rows", "output_file", "status", "note")
+
+
+@query(f"""WITH {sql.CLEAN}, f AS (SELECT source_file, pass, CAST(count(*) AS INTEGER) AS n FROM clean GROUP BY source_file, pass)
+SELECT 'detrended/' || pass || '/' || source_file || '_' || pass || '.rds' AS output_file, n AS rows_in_file, 'written' AS status FROM f
+UNION ALL SELECT DISTINCT 'detrended/pm/' || source_file || '_empty_pm.rds', 0, 'written_empty' FROM f""")
+def typed_empty_output(spark, sf_dir):
+    """Every file of the log is there, an empty one with all columns and no row."""
+    rows = cleaned(spark, sf_dir)
+    files = rows.select(F.concat(F.lit("in/"), "source_file", F.lit("_empty_pm.csv")).alias("file_name")).distinct()
+    whole = rows.withColumn("source_file", F.concat(F.concat_ws("_", "source_file", "pass"), F.lit(".csv")))
+    cells, log = detrend.detrend_all(whole, files=files, order=ORDER)
+    detrend.write_cells(cells, log, root := scratch.place(spark, "cells"))
+    found = manifest.rows_on_disk(spark, root, "parquet").withColumnRenamed("rows", "rows_in_file")
+    return log.select("output_file", "status").join(found, "output_file", "full").select("output_file", "rows_in_file", "status")
+
+
+@query(f"""WITH {sql.PROJECTED}, h AS (SELECT *, 4512.155e0 AS h FROM xy)
+SELECT source_file, pass, l_orderkey, l_linenumber, l_partkey, 6933 AS srid, 5 AS n_vertices, round(x - h, 2) AS x0, round(y - h, 2) AS y0, round(x + h, 2) AS x1, round(y - h, 2) AS y1, round(x + h, 2) AS x2, round(y + h, 2) AS y2, round(x - h, 2) AS x3, round(y + h, 2) AS y3, true AS closed FROM h""")
+def geometry_round_trip(spark, sf_dir):
+    """Cells written as typed objects with their geometry, read again and taken apart."""
+    at = placed(spark, sf_dir)
+    cells = at.select(*KEYS, "l_orderkey", "l_linenumber", "l_partkey", geo.square_binary(F.col("x"), F.col("y"), DEFAULT.cell_size).alias("geometry"), F.lit(DEFAULT.projected_srid).alias("srid"))
+    named.write_named(cells.withColumn("output_file", names.detrended_path(F.col("source_file"), F.col("pass"))), root := scratch.place(spark, "cells"), form="parquet")
+    back = spark.read.option("recursiveFileLookup", True).parquet(root).withColumn("s", geo.vertices(F.col("geometry")))
+    corners = [F.round(F.col("s")[k][c], 2).alias(f"{c}{k}") for k in range(4) for c in "xy"]
+    return back.select(*KEYS, "l_orderkey", "l_linenumber", "l_partkey", "srid", F.size("s").alias("n_vertices"), *corners, (F.col("s")[0] == F.col("s")[4]).alias("closed"))
+
+
+@query(f"""WITH {_EXTRACT_SQL}, n AS (SELECT source_file, pass, k, CAST(count(*) FILTER (value BETWEEN 0 AND 1) AS INTEGER) AS rows FROM x GROUP BY source_file, pass, k)
+SELECT source_file, pass, CASE WHEN k <> 5 THEN rows END AS rows, CASE WHEN k <> 5 THEN 'extracted/' || pass || '/' || split_part(source_file, '.', 1) || '_' || pass || '.csv' END AS output_file,
+  CASE WHEN k = 5 THEN 'error: shapes [16x4] [16] [7]' ELSE 'written' END AS status FROM n""")
+def extract_files_log(spark, sf_dir):
+    """The extract job with its files; rows are counted in the files."""
+    return extract.extract_to_files(*_granule_tables(spark, sf_dir), scratch.place(spark, "files"))

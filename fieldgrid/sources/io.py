@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import csv
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..operators.clean import na_to_null
+from .scratch import cut
 
 
 def read_arrays(spark: SparkSession, path: str, variables: list[str] | None = None) -> DataFrame:
@@ -16,19 +20,89 @@ def read_arrays(spark: SparkSession, path: str, variables: list[str] | None = No
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """A delimited table with a header; without a schema types are inferred from a scan of the data."""
+    """A delimited table with a header, the same in all files; without a schema types are inferred
+    from a scan of the data."""
     reader = spark.read.option("header", True)
     if schema:
         return na_to_null(reader.schema(schema).csv(path))
-    texts = na_to_null(reader.csv(path))
-    kinds = {}
-    for c in texts.columns:  # one aggregate pass over all columns decides
-        kinds[c] = [F.count_if(F.col(c).isNotNull() & F.col(c).try_cast(t).isNull()).alias(f"{i}_{k}") for k, (t, i) in enumerate((("bigint", len(kinds)), ("double", len(kinds))))]
-    if not kinds:
+    return inferred(na_to_null(reader.csv(path)))
+
+
+def inferred(texts: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Text columns as bigint, double or string, whichever holds all their values; one pass over all
+    columns decides. ``keep`` stay as they are."""
+    at = [c for c in texts.columns if c not in keep]
+    if not at:
         return texts
-    bad = texts.agg(*[x for v in kinds.values() for x in v]).first()
-    pick = lambda i: "bigint" if not bad[f"{i}_0"] else "double" if not bad[f"{i}_1"] else "string"
-    return texts.select(*[F.col(c).cast(pick(i)).alias(c) for i, c in enumerate(texts.columns)])
+    fails = lambda c, kind: F.count_if(F.col(c).isNotNull() & F.col(c).try_cast(kind).isNull())
+    bad = texts.agg(*[fails(c, kind).alias(f"{i}_{kind}") for i, c in enumerate(at) for kind in ("bigint", "double")]).first()
+    pick = lambda i: "bigint" if not bad[f"{i}_bigint"] else "double" if not bad[f"{i}_double"] else "string"
+    return texts.select(*[F.col(c).cast(pick(at.index(c))).alias(c) if c in at else c for c in texts.columns])
+
+
+#: A file this small is read to its end once its first line is known; of a larger one a batch of lines is.
+SMALL_FILE = 1 << 20
+#: A field in quotes, which may hold commas.
+_QUOTED = '"([^"]|"")*"'
+
+
+def _lines(spark: SparkSession, root: str) -> DataFrame:
+    where = [F.col(f"_metadata.{c}").alias(c) for c in ("file_path", "file_name", "file_block_start", "file_size")]
+    return spark.read.option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).text(root).select("value", *where)
+
+
+def read_headers(spark: SparkSession, root: str) -> DataFrame:
+    """file_path, file_name, line, header (its names) of every file below ``root`` that has a first
+    line; the rest of a file is not read. Files that can't be read have no row.
+
+    One split is one task here, which ends at the first line; so the job runs now and its rows are
+    written to the shared folder."""
+
+    def first(batches):
+        for batch in batches:
+            if batch.num_rows and batch.column(3)[0].as_py() == 0:
+                text = batch.column(0)[0].as_py().lstrip("\ufeff").rstrip("\r")
+                names = [c.strip() for c in next(csv.reader([text]), [])]
+                yield pa.RecordBatch.from_arrays([batch.column(1)[:1], batch.column(2)[:1], batch.column(0)[:1], pa.array([names], pa.list_(pa.string()))], names=["file_path", "file_name", "line", "header"])
+            if batch.num_rows and batch.column(4)[0].as_py() > SMALL_FILE:
+                return
+            for _ in batches:
+                pass
+
+    schema = "file_path string, file_name string, line string, header array<string>"
+    old = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    try:
+        lines = _lines(spark, root).select("value", "file_path", "file_name", "file_block_start", "file_size")
+        return cut(lines.mapInArrow(first, schema))
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", old)
+
+
+def read_delimited(spark: SparkSession, root: str, columns: list[str] | None = None, headers: DataFrame | None = None) -> DataFrame:
+    """All comma-delimited files below ``root``, whatever the order and number of their columns, as
+    one table of texts: file_name, malformed (the line has more or fewer fields than its file's
+    header) and ``columns`` (default: every name that a header has, in order of name). A column that
+    a file lacks is null in its rows. A line is a row: no field holds a line feed.
+
+    One scan: each line is split once and its fields are picked by the place of the name in its own
+    file's header, a join by path. ``inferred`` finds types over all files."""
+    headers = read_headers(spark, root) if headers is None else headers
+    if columns is None:
+        columns = [r[0] for r in headers.select(F.explode("header").alias("c")).distinct().orderBy("c").collect()]
+    width = headers.agg(F.max(F.size("header"))).first()[0] or 1
+    rows = _lines(spark, root).select("value", "file_path").join(headers.select("file_path", "file_name", "line", "header"), "file_path")
+    rows = rows.where((F.col("value") != F.col("line")) & (F.trim("value") != ""))
+    n_fields = F.size(F.split(F.regexp_replace("value", _QUOTED, ""), ",", -1))
+    fields = F.from_csv(F.rtrim(F.col("value"), F.lit("\r")), ", ".join(f"c{k} string" for k in range(width)))
+    rows = rows.select("file_name", "header", (n_fields != F.size("header")).alias("malformed"), fields.alias("f"))
+    rows = rows.select("file_name", "header", "malformed", F.array(*[F.col(f"f.c{k}") for k in range(width)]).alias("f"))
+
+    def by_name(c: str):
+        at = F.array_position("header", c).cast("int")
+        return F.when(at > 0, F.try_element_at("f", F.when(at > 0, at).otherwise(1))).alias(c)
+
+    return na_to_null(rows.select("file_name", "malformed", *[by_name(c) for c in columns]))
 
 
 def write_rows(df: DataFrame, path: str, form: str = "parquet") -> None:

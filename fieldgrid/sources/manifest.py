@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
+from ..functions import names
+from . import named
 
 
 class NoFiles(ValueError):
@@ -36,6 +38,51 @@ def files_in(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     return found.where(F.substring_index("path", "/", -1).rlike(pattern))
 
 
+def on_disk(spark: SparkSession, root: str, pattern: str = ".") -> DataFrame:
+    """output_file (path below ``root``) and length of the files there whose names match; only names
+    are read. A folder that is not there has none."""
+    store = named.Store(spark, root)
+    if not store.exists():
+        return spark.createDataFrame([], "output_file string, length long")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
+    return found.where(F.substring_index("path", "/", -1).rlike(pattern))
+
+
+def on_disk(spark: SparkSession, root: str, pattern: str = ".") -> DataFrame:
+    """output_file (path below ``root``) and length of the files there whose names match; only names
+    are read. A folder that is not there has none."""
+    store = named.Store(spark, root)
+    if not store.exists():
+        return spark.createDataFrame([], "output_file string, length long")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
+    base = store.fs.makeQualified(store.at("")).toString().rstrip("/")  # paths are given in this form
+    tail = F.substring(F.col("path"), len(base) + 2, 1 << 20)
+    return found.where(F.substring_index("path", "/", -1).rlike(pattern)).select(store.below(F.col("path")).alias("output_file"), "length")
+
+
+def rows_on_disk(spark: SparkSession, root: str, form: str = "csv", pattern: str = ".") -> DataFrame:
+    """output_file and rows of every file below ``root``, 0 for one without any: lines but the header
+    of delimited files, else what the format counts."""
+    listed = on_disk(spark, root, pattern).select("output_file")
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*")
+    if listed.isEmpty():
+        return listed.withColumn("rows", F.lit(0))
+    read = (reader.text(root) if form == "csv" else reader.format(form).load(root)).select(F.col("_metadata.file_path").alias("path"))
+    counted = read.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+    counted = counted.select(named.Store(spark, root).below(F.col("path")).alias("output_file"), (F.col("n") - int(form == "csv")).alias("n"))
+    return listed.join(counted, "output_file", "left").select("output_file", F.coalesce("n", F.lit(0)).cast("int").alias("rows"))
+
+
+def stage_files(listed: DataFrame) -> DataFrame:
+    """pass and source_file (the stem) of files ``<stage>/<pass>/<stem>.<extension>``."""
+    return listed.select(F.element_at(F.split("output_file", "/"), -2).alias("pass"), names.stem(F.col("output_file")).alias("source_file"))
+
+
+def done_on_disk(work: DataFrame, listed: DataFrame) -> DataFrame:
+    """source_file and pass of the work whose ``output_file`` is there: what jobs take as ``done``."""
+    return work.join(listed.select("output_file").distinct(), "output_file", "left_semi").select("source_file", "pass")
+
+
 def pending(work: DataFrame, done: DataFrame, keys: list[str], settings: Settings = DEFAULT) -> DataFrame:
     """The work still to do: all of it when outputs are overwritten, else what no log row has."""
     return work if settings.overwrite else work.join(done.select(*keys).distinct(), keys, "left_anti")
