@@ -44,20 +44,14 @@ def on_disk(spark: SparkSession, root: str, pattern: str = ".") -> DataFrame:
     store = named.Store(spark, root)
     if not store.exists():
         return spark.createDataFrame([], "output_file string, length long")
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
-    return found.where(F.substring_index("path", "/", -1).rlike(pattern))
-
-
-def on_disk(spark: SparkSession, root: str, pattern: str = ".") -> DataFrame:
-    """output_file (path below ``root``) and length of the files there whose names match; only names
-    are read. A folder that is not there has none."""
-    store = named.Store(spark, root)
-    if not store.exists():
-        return spark.createDataFrame([], "output_file string, length long")
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
-    base = store.fs.makeQualified(store.at("")).toString().rstrip("/")  # paths are given in this form
-    tail = F.substring(F.col("path"), len(base) + 2, 1 << 20)
-    return found.where(F.substring_index("path", "/", -1).rlike(pattern)).select(store.below(F.col("path")).alias("output_file"), "length")
+    whole = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    found = whole.select(store.below(F.col("path")).alias("output_file"), "length")
+    known = whole.inputFiles()
+    if len(known) > found.count():  # Spark's scans pass over files of no bytes
+        every = spark.createDataFrame([(n,) for n in known], "path string")
+        none = every.select(store.below(F.col("path"), encoded=True).alias("output_file")).join(found, "output_file", "left_anti")
+        found = found.unionByName(none.withColumn("length", F.lit(0).cast("long")))
+    return found.where(F.substring_index("output_file", "/", -1).rlike(pattern))
 
 
 def rows_on_disk(spark: SparkSession, root: str, form: str = "csv", pattern: str = ".") -> DataFrame:
@@ -69,7 +63,7 @@ def rows_on_disk(spark: SparkSession, root: str, form: str = "csv", pattern: str
         return listed.withColumn("rows", F.lit(0))
     read = (reader.text(root) if form == "csv" else reader.format(form).load(root)).select(F.col("_metadata.file_path").alias("path"))
     counted = read.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
-    counted = counted.select(named.Store(spark, root).below(F.col("path")).alias("output_file"), (F.col("n") - int(form == "csv")).alias("n"))
+    counted = counted.select(named.Store(spark, root).below(F.col("path"), encoded=True).alias("output_file"), (F.col("n") - int(form == "csv")).alias("n"))
     return listed.join(counted, "output_file", "left").select("output_file", F.coalesce("n", F.lit(0)).cast("int").alias("rows"))
 
 

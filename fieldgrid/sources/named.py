@@ -30,9 +30,11 @@ class Store:
     def at(self, path: str):
         return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{path}" if path else self.root)
 
-    def below(self, path: Column) -> Column:
-        """A full path, however its scheme is written, as the path below the folder."""
+    def below(self, path: Column, encoded: bool = False) -> Column:
+        """A full path, however its scheme is written, as the path below the folder. ``encoded``:
+        characters stand as in an address (%20)."""
         base = self.fs.makeQualified(self.at("")).toUri().getPath().rstrip("/")
+        path = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))) if encoded else path
         return F.substr(path, F.locate(base, path) + F.lit(len(base) + 1))
 
     def exists(self, path: str = "") -> bool:
