@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import cut
+
 
 def catalogue(arrays: DataFrame) -> DataFrame:
     """granule, variable, group: the distinct variables; the group is what stands before the slash."""
@@ -118,5 +120,16 @@ def flatten_axes(value: DataFrame, lon: DataFrame, lat: DataFrame, lon_first: bo
 
 
 def pixel_ids(df: DataFrame, order: list[str], keys: tuple[str, ...] = ("source_file", "pass")) -> DataFrame:
-    """``pixel_id``: a running number from 1 in each file, by an explicit order."""
-    return df.withColumn("pixel_id", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    """``pixel_id``: a running number from 1 in each file, by an explicit order.
+
+    In two levels, so that no file is one task's work: rows are dealt into ranges of file and order,
+    numbered within their range, and lifted by the rows of the file's earlier ranges, which are one
+    count a file and range. The dealt rows are written once, for the counts and the numbers."""
+    dealt = cut(df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()))
+    counts = dealt.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*keys, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    here = dealt.withColumn("_at", F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order)))
+    same = [F.col(f"_d.{k}").eqNullSafe(F.col(f"_s.{k}")) for k in (*keys, "_range")]
+    out = here.alias("_d").join(starts.alias("_s"), same)
+    return out.select(*[F.col(f"_d.{c}") for c in df.columns], (F.col("_before") + F.col("_at")).cast("int").alias("pixel_id"))

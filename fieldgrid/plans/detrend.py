@@ -27,6 +27,7 @@ def detrend_all(
     done: DataFrame | None = None,
     settings: Settings = DEFAULT,
     faults: DataFrame | None = None,
+    numbered: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """Cells (schema CELLS) and log (schema DETREND_LOG, with ``warning``): a log row for every file.
 
@@ -38,7 +39,8 @@ def detrend_all(
     ``label`` is the pass to do: other files, and their errors, are left out. ``order`` gives the
     rows' order for pixel_id (default: p, or place and value). ``done`` with overwrite off skips
     files of an earlier log. ``faults`` (source_file, note) are files that could not be read or whose
-    records are bad: each is one error row, and nothing of it goes further.
+    records are bad: each is one error row, and nothing of it goes further. Numbering pixels writes the
+    cells once; ``numbered`` off leaves pixel_id null, for callers that want the log alone.
 
     Rows are read once for the groups' counts and means, once for the fit and once for the cells.
     """
@@ -51,7 +53,7 @@ def detrend_all(
         rows = rows.join(bad, "source_file", "left_anti") if "source_file" in rows.columns else rows
         listed = None if listed is None else listed.join(bad, "source_file", "left_anti")
         headers = None if headers is None else headers.join(bad, "source_file", "left_anti")
-        cells, log = detrend_all(rows, label, None if listed is None else listed.select(F.col("source_file").alias("file_name")), headers, order, done, settings)
+        cells, log = detrend_all(rows, label, None if listed is None else listed.select(F.col("source_file").alias("file_name")), headers, order, done, settings, None, numbered)
         return cells, log.unionByName(_failed(named(faults).where(wanted)))
     lacking = audit.missing_columns(rows)
     if lacking:
@@ -81,7 +83,7 @@ def detrend_all(
     rows = rows.where(usable)
     models = cut(trend.models_of(rows, settings=settings, stats=some))
     out = trend.residuals(rows, models)
-    out = granules.pixel_ids(out, order or (["p"] if "p" in rows.columns else ["lon", "lat", "soil_moisture"]))
+    out = granules.pixel_ids(out, order or (["p"] if "p" in rows.columns else ["lon", "lat", "soil_moisture"])) if numbered else out.withColumn("pixel_id", F.lit(None).cast("int"))
     out = out.withColumn("geometry", geo.square_binary(F.col("x"), F.col("y"), settings.cell_size)).withColumn("srid", F.lit(settings.projected_srid))
     cells = out.select("source_file", "date_tag", "pass", "lon", "lat", "x", "y", "soil_moisture", "trend_hat", "resid", "sm_for_kriging", "trend_removed", "p_trend", "r2_trend", "trend_ind", "pixel_id", "geometry", "srid")
 
@@ -103,7 +105,7 @@ def detrend_all(
     return cells, log
 
 
-def detrend_files(spark: SparkSession, root: str, label: str | None = None, order: list[str] | None = None, done: DataFrame | None = None, settings: Settings = DEFAULT) -> tuple[DataFrame, DataFrame]:
+def detrend_files(spark: SparkSession, root: str, label: str | None = None, order: list[str] | None = None, done: DataFrame | None = None, settings: Settings = DEFAULT, numbered: bool = True) -> tuple[DataFrame, DataFrame]:
     """The job over all delimited files below ``root``: cells and log, a log row a file.
 
     Headers are read from the files themselves, and columns may stand in any order. A file that can't
@@ -126,7 +128,7 @@ def detrend_files(spark: SparkSession, root: str, label: str | None = None, orde
         lacking = lacking.unionByName(bad.select("source_file", F.format_string("error: %d malformed records", F.col("n")).alias("note")))
         rows = read.drop("malformed")
     faults = cut(faults.unionByName(lacking))
-    return detrend_all(rows, label, listed.select(F.col("source_file").alias("file_name")), None, order, done, settings, faults)
+    return detrend_all(rows, label, listed.select(F.col("source_file").alias("file_name")), None, order, done, settings, faults, numbered)
 
 
 def write_cells(cells: DataFrame, log: DataFrame, root: str, settings: Settings = DEFAULT) -> int:

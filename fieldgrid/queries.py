@@ -9,8 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -397,30 +395,14 @@ def _sums(spark, sf_dir):
 @query(f"""WITH {sql.sums()}, d AS (SELECT *, g11 * g22 - g12 * g12 AS det FROM g), b AS (SELECT *, (m1 * g22 - m2 * g12) / det AS b1, (m2 * g11 - m1 * g12) / det AS b2 FROM d), q AS (SELECT *, tss - b1 * m1 - b2 * m2 AS rss FROM b)
 SELECT source_file, pass, round(b1, 6) AS b1, round(b2, 6) AS b2, round(rss, 6) AS rss, round(1 - rss / tss, 6) AS r2, round(power(rss / tss, (n - 3) / 2e0), 6) AS p FROM q""")
 def trend_plane(spark, sf_dir):
-    """The plane alone, by Cramer's rule on the centred sums; its p is a closed form."""
-    s = _sums(spark, sf_dir)
-    det = F.col("s20") * F.col("s02") - F.col("s11") * F.col("s11")
-    s = s.withColumn("b1", (F.col("t10") * F.col("s02") - F.col("t01") * F.col("s11")) / det).withColumn("b2", (F.col("t01") * F.col("s20") - F.col("t10") * F.col("s11")) / det)
-    s = s.withColumn("rss", F.col("tss") - F.col("b1") * F.col("t10") - F.col("b2") * F.col("t01"))
-    p = F.pow(F.col("rss") / F.col("tss"), (F.col("s00") - 3) / 2.0)
-    return s.select(*KEYS, r("b1"), r("b2"), r("rss"), F.round(1 - F.col("rss") / F.col("tss"), 6).alias("r2"), F.round(p, 6).alias("p"))
+    """The plane alone; its p is a closed form."""
+    return trend.fit_planes(_sums(spark, sf_dir)).select(*KEYS, r("b1"), r("b2"), r("rss"), r("r2"), r("p"))
 
 
 @query(f"WITH {sql.selection()} SELECT source_file, pass, n, round(rss7, 6) AS rss, round(1 - rss7 / tss, 6) AS r2 FROM rss")
 def trend_fit(spark, sf_dir):
     """The full quadratic surface: residual sum of squares and R2."""
-    s = _sums(spark, sf_dir)
-    names_ = [c for c in s.columns if c not in KEYS]
-
-    @F.pandas_udf("double")
-    def full(row: pd.DataFrame) -> pd.Series:
-        gram = np.stack([np.stack([row[f"s{a + c}{b + d}"].to_numpy() for c, d in trend.TERMS], axis=1) for a, b in trend.TERMS], axis=1)
-        moment = np.stack([row[f"t{a}{b}"].to_numpy() for a, b in trend.TERMS], axis=1)
-        coef = np.linalg.solve(gram, moment[:, :, None])[:, :, 0]
-        return pd.Series(row["tss"].to_numpy() - (coef * moment).sum(axis=1))
-
-    out = s.withColumn("rss", full(F.struct(*names_)))
-    return out.select(*KEYS, F.col("s00").cast("long").alias("n"), r("rss"), F.round(1 - F.col("rss") / F.col("tss"), 6).alias("r2"))
+    return trend.fit_surfaces(_sums(spark, sf_dir)).select(*KEYS, "n", r("rss"), r("r2"))
 
 
 @query(f"WITH {sql.selection()} SELECT source_file, pass, kept, CAST(rank AS INTEGER) AS rank, round(rss, 6) AS rss FROM sel")
@@ -473,7 +455,7 @@ def detrend_log(spark, sf_dir):
     first = rows.where((F.col("pass") == "am") & F.col("source_file").endswith("5"))
     nulls = first.withColumn("source_file", F.concat("source_file", F.lit("_null_am.csv"))).withColumn("soil_moisture", F.lit(None).cast("double"))
     files = rows.select(F.concat(F.lit("in/"), "source_file", F.lit("_empty_pm.csv")).alias("file_name")).distinct()
-    _, log = detrend.detrend_all(_named(rows).unionByName(nulls), files=files, order=ORDER)
+    _, log = detrend.detrend_all(_named(rows).unionByName(nulls), files=files, order=ORDER, numbered=False)
     return log.withColumn("p_trend", F.round("p_trend", 6)).withColumn("r2_trend", F.round("r2_trend", 6))
 
 
@@ -499,7 +481,7 @@ def detrend_errors(spark, sf_dir):
     columns = F.array(*[F.lit(c) for c in audit.REQUIRED])
     number = F.regexp_extract("source_file", "[0-9]+", 0).cast("long") % 3
     headers = rows.select("source_file").distinct().withColumn("header", F.when(number == 1, F.array_except(columns, F.array(F.lit("lon"), F.lit("lat")))).otherwise(columns))
-    _, log = detrend.detrend_all(rows, headers=headers, order=ORDER)
+    _, log = detrend.detrend_all(rows, headers=headers, order=ORDER, numbered=False)
     return log.where("status = 'error'").select(*KEYS, "note")
 
 
@@ -509,7 +491,7 @@ def status_counts(spark, sf_dir):
     rows = cleaned(spark, sf_dir)
     both = F.substring("source_file", 3, 10).cast("long") % 3 == 0
     rows = rows.withColumn("source_file", F.when(both, F.col("source_file")).otherwise(F.concat_ws("_", "source_file", "pass")))
-    _, log = detrend.detrend_all(rows, order=ORDER)
+    _, log = detrend.detrend_all(rows, order=ORDER, numbered=False)
     return audit.status_counts(log)
 
 
@@ -698,7 +680,7 @@ def delimited_union(spark, sf_dir):
   CASE WHEN k < 3 THEN 'model_fitted' WHEN k = 3 THEN 'error: missing required columns: lon, lat' WHEN k = 4 THEN 'error: 1 malformed records' ELSE 'error: missing required columns: source_file, date_tag, pass, lon, lat, soil_moisture' END AS note FROM f""")
 def detrend_files_log(spark, sf_dir):
     """The job over a folder of good, reordered, short, torn and unreadable files: a log row each."""
-    _, log = detrend.detrend_files(spark, _mixed_folder(spark, sf_dir))
+    _, log = detrend.detrend_files(spark, _mixed_folder(spark, sf_dir), numbered=False)
     return log.select("source_file", "pass", "rows", "output_file", "status", "note")
 
 

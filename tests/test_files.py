@@ -89,7 +89,7 @@ def test_a_folder_of_good_and_bad_files_gives_a_log_row_each(spark, tmp_path):
     line = lambda k, lat=40.0: f"g,20200711,am,{-96 + k / 10},{lat},{0.2 + k / 100}"
     good = "\n".join([HEADER, *map(line, range(5))]) + "\n"
     turned = "\n".join(",".join(reversed(x.split(","))) for x in good.split("\n") if x) + "\n"
-    put(tmp_path, good_am=good, turned_am=turned, torn_am=good[:-8], short_am="source_file,pass\ng,am\n", binary_pm=bytes(range(256)) * 4, nothing_pm="", head_pm=HEADER + "\n", words_am=good.replace("0.2", "x"))
+    put(tmp_path, good_am=good, turned_am=turned, torn_am=good.rsplit(",", 1)[0], short_am="source_file,pass\ng,am\n", binary_pm=bytes(range(256)) * 4, nothing_pm="", head_pm=HEADER + "\n", words_am=good.replace("0.2", "x"))
     (tmp_path / "notes.txt").write_text("left out")
     cells, log = detrend.detrend_files(spark, str(tmp_path))
     got = {r.source_file[:-4]: (r["pass"], r.status, r["rows"], r.note) for r in log.collect()}

@@ -152,3 +152,81 @@ def test_the_masks_do_not_repeat_the_value(spark):
     rows = spark.range(10).select(F.pow("id", F.lit(2.0)).alias("soil_moisture"), F.lit(1.0).alias("lon"), F.lit(2.0).alias("lat"))
     plan = clean.clean(rows, F.array(F.lit(-9999.0)), F.lit(None).cast("array<double>"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.upper().count("POWER") <= 4
+
+
+def test_all_groups_at_once_are_each_group_alone():
+    """Stacked systems, among them aliased, empty and exact ones, against a plain loop over terms."""
+
+    def alone(gram, moment, tss, n):
+        def fit(terms):
+            kept = []
+            for t in terms:
+                trial = [*kept, t]
+                g = gram[np.ix_(trial, trial)]
+                rest = g[-1, -1] - (g[-1, :-1] @ np.linalg.solve(g[:-1, :-1], g[:-1, -1]) if kept else 0.0)
+                kept = trial if rest > trend.RANK_TOLERANCE * max(g[-1, -1], 1e-300) else kept
+            return max(0.0, tss - float(np.linalg.solve(gram[np.ix_(kept, kept)], moment[kept]) @ moment[kept])) if kept else tss, kept
+
+        aic = lambda f: n * math.log(f[0] / n) + 2 * len(f[1]) if f[0] > 0 else -math.inf
+        now = fit(range(6))
+        terms = [t for t in range(6) if t < 3 or t in now[1]]
+        while True:
+            tried = [(aic(fit([x for x in terms if x != t])), t) for t in terms if t > 2]
+            if not tried or min(tried)[0] >= aic(now):
+                return terms[3:], now
+            terms.remove(min(tried)[1])
+            now = fit(terms)
+
+    r = np.random.default_rng(11)
+    systems = []
+    for k in range(300):
+        n = int(r.integers(6, 60))
+        u, v = r.normal(size=n), r.normal(size=n)
+        if k % 5 == 0:
+            v = 2 * u  # on a line: y, y2 and xy are aliased
+        if k % 7 == 0:
+            u = np.sign(u)  # x2 is the constant
+        w = 0.3 * u - 0.2 * v + (k % 3) * 0.2 * u * v + r.normal(0, 0.3, n)
+        w -= w.mean()
+        a = np.column_stack([u**i * v**j for i, j in trend.TERMS])
+        systems.append((a.T @ a, a.T @ w, float(w @ w), n))
+    out = trend.solve_groups(*(np.stack([s[k] for s in systems]) for k in range(2)), *(np.array([s[k] for s in systems]) for k in (2, 3)))
+    for k, s in enumerate(systems):
+        terms, (rss, kept) = alone(*s)
+        assert trend.KEPT[out["bits"][k]] == ("+".join(trend.OPTIONAL[t - 3] for t in terms) or "none")
+        assert math.isclose(out["rss"][k], rss, rel_tol=1e-6, abs_tol=1e-9) and out["rank"][k] == len(kept)
+    zero = trend.solve_groups(np.zeros((1, 6, 6)), np.zeros((1, 6)), np.zeros(1), np.ones(1, int))
+    assert np.isnan(zero["p"][0]) and zero["rank"][0] == 0
+
+
+def test_surface_of_a_singular_group_has_its_rank(spark):
+    line = [(k * 1e3, k * 2e3, 0.1 + 0.01 * k + (0.001 if k % 2 else 0)) for k in range(12)]
+    rows = rows_of(spark, {"line": line, "cloud": cloud(4)})
+    sums = trend.group_sums(rows, trend.guarded(trend.group_stats(rows)))
+    got = {r.source_file: r for r in trend.fit_surfaces(sums).collect()}
+    assert got["line"]["rank"] == 3 and got["cloud"]["rank"] == 6 and math.isclose(got["cloud"].rss, lstsq(cloud(4), ["x2", "y2", "xy"])[1], rel_tol=1e-7)
+    assert [r.b1 is None for r in trend.fit_planes(sums).orderBy("source_file").collect()] == [False, True]
+
+
+def test_means_are_joined_back_and_null_keys_are_a_group(spark):
+    df = spark.createDataFrame([("a", "am", 1.0), ("a", "am", 3.0), (None, "am", 5.0), (None, "am", None)], "source_file string, pass string, soil_moisture double")
+    got = sorted(map(tuple, trend.mean_residuals(df).collect()), key=str)
+    assert got == sorted([("a", "am", 1.0, 2.0, -1.0), ("a", "am", 3.0, 2.0, 1.0), (None, "am", 5.0, 5.0, 0.0), (None, "am", None, 5.0, None)], key=str)
+
+
+def test_pixel_ids_of_a_large_file_are_many_tasks(spark):
+    from pyspark.sql import functions as F
+
+    from fieldgrid.operators import granules
+
+    df = spark.range(4000).select(F.when(F.col("id") % 10 == 0, "small").otherwise("large").alias("source_file"), F.lit("am").alias("pass"), (F.col("id") * 7919 % 4001).alias("o"), "id")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = granules.pixel_ids(df, ["o"])
+        parts = {r[0] for r in out.where("source_file = 'large'").select(F.spark_partition_id()).distinct().collect()}
+        got = sorted((r.source_file, r.o, r.pixel_id) for r in out.collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for f in ("large", "small"):
+        assert [p for s, _, p in got if s == f] == list(range(1, 1 + sum(s == f for s, _, _ in got)))
+    assert len(parts) > 1 and out.columns == [*df.columns, "pixel_id"]
