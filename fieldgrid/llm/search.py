@@ -23,6 +23,12 @@ STRIPE = 512  # queries of a tile whose scores are held at once
 FAN_IN = 16  # lists merged at once in the tree
 PAIRS = 1 << 16  # pairs of a query and a candidate whose vectors are held at once
 CHUNK = 4096  # candidates in a part of a cell
+SAMPLE = 64  # queries, of each length of vectors, whose true neighbours set the number of probes
+WANTED = 0.96  # share of these neighbours that the probes must meet
+ASK = 8  # asking for one more bucket costs as much as comparing so many rows
+BUCKETS = 1 << 28  # of one table
+HELD = 1 << 21  # sums of what buckets lack that are held at once while queries are hashed
+HEADS = 1 << 14  # sums of what the first rotations lack, sorted
 LOUD = 1.25  # rows longer than this many times the 90th percentile of all lengths are searched whole
 
 
@@ -160,18 +166,62 @@ def probed(unit: np.ndarray, table: int, turns: int, probes: int, seed: int = 7)
     return codes
 
 
-def turns_for(rows: int, dim: int) -> int:
-    """Rotations of one table: as many as keep its buckets, (2 d) ** turns, no more than the rows."""
-    axes = 2 << max(0, dim - 1).bit_length()
-    return max(1, int(math.log(max(2, rows)) / math.log(axes) + 1e-9))
-
+def _axes(dim: int) -> int:
+    """Signed axes of a rotation: two for each dimension, padded to a power of two."""
+    return 2 << max(0, dim - 1).bit_length()
 
-def probes_for(rows: int, dim: int, turns: int) -> int:
-    """How many buckets of a table a query asks for: fewer as more rows bring nearer neighbours.
 
-    Measured on vectors without any clusters: finds 0.9 and more of the 20 nearest in 10 tables."""
-    axes = 2 << max(0, dim - 1).bit_length()
-    return 12 if turns == 1 else max(150, int(400 * math.sqrt(axes**turns / rows)))
+def turns_for(rows: int, dim: int) -> int:
+    """The most rotations of one table: its buckets, (2 d) ** turns, are no more than the rows, and
+    no more than ``BUCKETS``."""
+    return max(1, int(math.log(max(2, min(rows, BUCKETS))) / math.log(_axes(dim)) + 1e-9))
+
+
+def probes_needed(unit: np.ndarray, who: np.ndarray, codes: np.ndarray, turns: int, seed: int = 7) -> np.ndarray:
+    """For each pair of a query (``unit[who]``) and a row (its ``codes``, one a table, of ``turns``
+    rotations): how many buckets the query must ask for in every table to meet the row in one.
+
+    That is the least, over the tables, of the place that the row's bucket has in the query's order
+    (``probed``). Places are counted without listing the buckets: the sums of what the first
+    rotations lack are sorted, and those of the rest are looked up in them."""
+    least = np.full(len(who), np.iinfo(np.int64).max)
+    for table in range(codes.shape[1]):
+        lacks = []
+        for t in range(turns):
+            both = rotated(unit, table, t, seed)
+            lacks.append((both.max(axis=1, keepdims=True) - both) ** 2)
+        axes = lacks[0].shape[1]
+        own = np.stack([codes[:, table] // axes ** (turns - 1 - t) % axes for t in range(turns)])
+        for q in np.unique(who).tolist():
+            mine = np.flatnonzero(who == q)
+            heads, tails = np.zeros(1), np.zeros(1)
+            for lack in lacks:
+                if len(heads) * axes <= HEADS:
+                    heads = (heads[:, None] + lack[q]).ravel()
+                else:
+                    tails = (tails[:, None] + lack[q]).ravel()
+            heads.sort()
+            total = sum(lack[q, own[t, mine]] for t, lack in enumerate(lacks)) + 1e-12  # equal sums come first
+            place = np.array([np.searchsorted(heads, s - tails, side="right").sum() for s in total])
+            least[mine] = np.minimum(least[mine], place)
+    return least
+
+
+def plan_for(unit: np.ndarray, who: np.ndarray, codes: np.ndarray, rows: int, most: int, seed: int = 7) -> tuple[int, int]:
+    """Rotations and probes that meet ``WANTED`` of the pairs of queries and their true neighbours
+    with the least work: rows compared, and buckets asked for, each as dear as ``ASK`` rows.
+
+    ``codes`` are of ``most`` rotations; a code of fewer is its leading part."""
+    if not len(who):
+        return most, 1
+    axes, best = _axes(unit.shape[1]), None
+    for turns in range(1, most + 1):
+        needed = np.sort(probes_needed(unit, who, codes // axes ** (most - turns), turns, seed))
+        probes = int(needed[math.ceil(WANTED * len(needed)) - 1])
+        work = probes * (rows / axes**turns + ASK)
+        if best is None or work < best[0]:
+            best = work, turns, probes
+    return best[1:]
 
 
 def _likely(q: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
@@ -280,9 +330,11 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, tables: int = 10,
     """The k nearest (largest inner product) found for each row whose id is divisible by ``every``.
 
     Every row is indexed: in each of ``tables`` tables one or more pseudo-rotations, more as the
-    table grows (``turns_for``), assign its unit vector to their nearest signed axes, and these axes
-    together are its bucket. A query asks for the buckets nearest to it (``probes_for``) and is
-    compared with their rows alone, in double precision on the original vectors, ties to the smaller
+    table grows, assign its unit vector to their nearest signed axes, and these axes together are
+    its bucket. How many rotations and how many buckets a query asks for is measured (``_plans``):
+    ``SAMPLE`` queries are first compared with every row, and the least work that meets ``WANTED`` of
+    their neighbours is taken, so recall holds at any number of rows and for any shape of the data.
+    A query asks for the buckets nearest to it and is compared with their rows alone, in double precision on the original vectors, ties to the smaller
     id; the query itself is no candidate. Buckets that agree in all axes but the last share a cell;
     a large cell is dealt out in chunks, so one that holds a third of all rows is many tasks.
 
@@ -322,8 +374,13 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, tables: int = 10,
     if not usual:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     limit = F.element_at(F.create_map(*[F.lit(x) for kv in usual.items() for x in kv]), F.col("dim"))
-    axes = F.lit(2) * F.pow(F.lit(2), F.ceil(F.log2(F.col("dim").cast("double")))).cast("long")
-    in_table = index.where(F.col("length") <= limit).select("ids", "vector", "dim", F.posexplode("codes").alias("tab", "code"))
+    quiet = index.where(F.col("length") <= limit)
+    queries = rows.where(F.col("vec_id") % every == 0).select("vec_id", "embedding", "dim")
+    plans = _plans(queries, quiet, n, k, seed)
+    per_dim = lambda value: F.element_at(F.create_map(*[F.lit(x) for d in usual for x in (d, value(d))]), F.col("dim"))
+    axes = per_dim(_axes)
+    spare = per_dim(lambda d: _axes(d) ** (turns_for(n, d) - plans[d][0]) if d in plans else 1)  # the last rotations, if left out
+    in_table = quiet.select("ids", "vector", "dim", F.posexplode("codes").alias("tab", "code")).withColumn("code", F.floor(F.col("code") / spare))
     in_table = in_table.select("ids", "vector", "dim", "tab", F.floor(F.col("code") / axes).alias("cell"), (F.col("code") % axes).cast("int").alias("last"))
     cell = ["dim", "tab", "cell"]
     parts = in_table.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("parts"))
@@ -337,23 +394,23 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, tables: int = 10,
             ids, embedding, dims = batch.column(0).to_numpy(), batch.column(1), batch.column(2).to_numpy()
             ends, flat = embedding.offsets.to_numpy(), embedding.values.to_numpy()
             for d in np.unique(dims).tolist():
-                turns, every_at = turns_for(n, d), np.flatnonzero(dims == d)
-                wide = 2 << max(0, d - 1).bit_length()
-                for k0 in range(0, len(every_at), 64):
-                    at = every_at[k0 : k0 + 64]
+                (turns, probes), every_at = plans[d], np.flatnonzero(dims == d)
+                wide = _axes(d)
+                step = max(1, min(64, HELD // (probes * wide)))
+                for k0 in range(0, len(every_at), step):
+                    at = every_at[k0 : k0 + step]
                     v = flat[ends[at][:, None] + np.arange(d)]
                     unit = v / np.abs(v).max(axis=1, keepdims=True)
                     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
                     vectors_ = pa.array([x.tobytes() for x in v], pa.binary())
                     for t in range(tables):
-                        found = np.sort(probed(unit, t, turns, probes_for(n, d, turns), seed), axis=1)
+                        found = np.sort(probed(unit, t, turns, probes, seed), axis=1)
                         who, codes = np.repeat(np.arange(len(at)), found.shape[1]), found.ravel()
                         cells = codes // wide
                         new = np.flatnonzero(np.append(True, (cells[1:] != cells[:-1]) | (who[1:] != who[:-1])))
                         lasts = pa.ListArray.from_arrays(pa.array(np.append(new, len(codes)), pa.int32()), pa.array(codes % wide, pa.int32()))
                         yield pa.RecordBatch.from_arrays([pa.array(ids[at][who[new]]), vectors_.take(pa.array(who[new])), pa.array(np.full(len(new), d), pa.int32()), pa.array(np.full(len(new), t), pa.int32()), pa.array(cells[new]), lasts], names=["vec_id", "vector", "dim", "tab", "cell", "lasts"])
 
-    queries = rows.where(F.col("vec_id") % every == 0).select("vec_id", "embedding", "dim")
     asked = queries.mapInArrow(asking, "vec_id long, vector binary, dim int, tab int, cell long, lasts array<int>")
     asked = asked.join(parts, cell).select(*cell, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("chunk"), "vec_id", "vector", "lasts")
     keys = [*cell, "chunk"]
@@ -380,6 +437,60 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, tables: int = 10,
     return found.join(enough, found["query_id"] == enough["vec_id"], "left_semi").unionByName(again)
 
 
+def _plans(queries: DataFrame, index: DataFrame, n: int, k: int, seed: int) -> dict[int, tuple[int, int]]:
+    """Rotations and probes (``plan_for``) for each length of vectors that queries have.
+
+    A sample of ``SAMPLE`` queries a length, by a hash of the id, is compared with every row of
+    ``index`` in one pass; each task keeps the k + 1 best of each query, which are merged in two
+    steps. Sample and neighbours, bounded by k, come to the driver."""
+    by_hash = Window.partitionBy("dim").orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id")
+    drawn = queries.withColumn("n", F.row_number().over(by_hash)).where(F.col("n") <= SAMPLE).collect()
+    units: dict[int, list] = {}
+    names: dict[int, list[int]] = {}
+    for row in sorted(drawn, key=lambda r: (r["dim"], r["n"])):
+        v = np.array(row["embedding"], np.float64)
+        v /= np.abs(v).max()
+        units.setdefault(row["dim"], []).append(v / np.linalg.norm(v))
+        names.setdefault(row["dim"], []).append(row["vec_id"])
+    sample = {d: np.stack(v) for d, v in units.items()}
+
+    def compared(batches):
+        best: dict[int, tuple] = {}
+        for batch in batches:
+            dims = batch.column(2).to_numpy()
+            for d in np.unique(dims).tolist():
+                if d not in sample:
+                    continue
+                at = np.flatnonzero(dims == d)
+                v = np.frombuffer(b"".join(batch.column(1).take(pa.array(at)).to_pylist()), np.float64).reshape(len(at), d)
+                q, c = np.divmod(np.arange(len(sample[d]) * len(at)), len(at))
+                score = (sample[d] @ v.T).ravel()
+                top = _likely(q, score, k + 1)
+                q, c, score = q[top], c[top], score[top]
+                ids, codes = batch.column(0).take(pa.array(at[c])).to_pylist(), batch.column(4).take(pa.array(at[c])).to_pylist()
+                old = best.get(d, (np.empty(0, np.int64), np.empty(0), [], []))
+                q, score, ids, codes = np.append(old[0], q), np.append(old[1], score), old[2] + ids, old[3] + codes
+                top = _top(q, np.array([x[0] for x in ids], np.int64), score, k + 1)
+                best[d] = q[top], score[top], [ids[x] for x in top], [codes[x] for x in top]
+        for d, (q, score, ids, codes) in best.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(q), d), pa.int32()), pa.array(q, pa.int32()), pa.array(score), pa.array(ids, pa.list_(pa.int64())), pa.array(codes, pa.list_(pa.int64()))], names=["dim", "q", "score", "ids", "codes"])
+
+    kept = index.select("ids", "vector", "dim", "length", "codes").mapInArrow(compared, "dim int, q int, score double, ids array<long>, codes array<long>")
+    kept = kept.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(64)))
+    for by in (["dim", "q", "part"], ["dim", "q"]):
+        order = Window.partitionBy(*by).orderBy(F.desc("score"), F.col("ids")[0])
+        kept = kept.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).drop("n")
+    pairs: dict[int, list] = {d: [] for d in sample}
+    for row in kept.select("dim", "q", "ids", "codes").collect():
+        if names[row["dim"]][row["q"]] not in row["ids"]:  # a row that is no other than the query
+            pairs[row["dim"]].append((row["q"], row["codes"]))
+    out = {}
+    for d, found in pairs.items():
+        who, codes = np.array([q for q, _ in found], np.int64), np.array([c for _, c in found], np.int64)
+        out[d] = plan_for(sample[d], who, codes, n, turns_for(n, d), seed)
+    return out
+
+
 def _packed(batches):
     for batch in batches:
         rows = [np.array(x, np.float64).tobytes() for x in batch.column(1).to_pylist()]

@@ -130,11 +130,55 @@ def test_recall_of_vectors_of_unequal_length(spark):
 
 def test_recall_with_more_than_one_turn(spark, monkeypatch):
     monkeypatch.setattr(search, "turns_for", lambda rows, dim: 2)
+    monkeypatch.setattr(search, "ASK", 0)  # only rows compared count, so two turns (256 buckets) win
     r = np.random.default_rng(7)
-    v = r.normal(size=(1500, 8)).astype(np.float32)  # 256 buckets of two turns
+    v = r.normal(size=(1500, 8)).astype(np.float32)
     v /= np.linalg.norm(v, axis=1, keepdims=True)
-    monkeypatch.setattr(search, "probes_for", lambda rows, dim, turns: 40)
+    plans = []
+    monkeypatch.setattr(search, "plan_for", lambda *a, plan=search.plan_for: plans.append(plan(*a)) or plans[-1])
     assert recall_of(spark, v, chunk=50) >= 0.9
+    assert [turns for turns, _ in plans] == [2]
+
+
+@pytest.mark.parametrize("turns", [1, 2, 3])
+def test_probes_needed_are_the_places_of_buckets(monkeypatch, turns):
+    monkeypatch.setattr(search, "HEADS", 64)  # of three turns of 16 axes, one is a head
+    r = np.random.default_rng(turns)
+    q, c = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in r.normal(size=(2, 12, 8)))
+    c = (q + c) / np.linalg.norm(q + c, axis=1, keepdims=True)
+    codes = np.stack([search.code(c, t, turns) for t in range(3)], axis=1)
+    needed = search.probes_needed(q, np.arange(12), codes, turns)
+
+    def met(i, probes):
+        return any(codes[i, t] in search.probed(q[i : i + 1], t, turns, probes)[0] for t in range(3)) if probes else False
+
+    assert all(met(i, p) and not met(i, p - 1) for i, p in enumerate(needed.tolist()))
+
+
+def neighbours(rows, seed, asked=64, k=20, d=64):
+    """Queries and rows at the cosines that the k nearest of so many even vectors have."""
+    r = np.random.default_rng(seed)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    q, w = unit(r.normal(size=(asked, d))), r.normal(size=(asked, k, d))
+    w = unit(w - (w * q[:, None]).sum(-1, keepdims=True) * q[:, None])
+    t = np.sqrt(1 - (np.arange(1, k + 1) * d / rows) ** (2 / (d - 1)))  # tail of the cosine, roughly
+    return q, np.repeat(np.arange(asked), k), (t[None, :, None] * q[:, None] + np.sqrt(1 - t**2)[None, :, None] * w).reshape(-1, d)
+
+
+def test_recall_and_work_where_another_turn_comes_in():
+    work = {}
+    for rows in (16_383, 16_384, 100_000, 2_097_151, 2_097_152):
+        most = search.turns_for(rows, 64)
+        q, who, c = neighbours(rows, 1)
+        codes = np.stack([search.code(c, t, most) for t in range(10)], axis=1)
+        turns, probes = search.plan_for(q, who, codes, rows, most)
+        q, who, c = neighbours(rows, 2)
+        codes = np.stack([search.code(c, t, turns) for t in range(10)], axis=1)
+        recall = (search.probes_needed(q, who, codes, turns) <= probes).mean()
+        assert recall >= 0.9, (rows, turns, probes, recall)
+        work[rows] = probes * (rows / 128**turns + search.ASK)
+    assert work[16_384] <= 1.1 * work[16_383] and work[2_097_152] <= 1.1 * work[2_097_151]
+    assert work[2_097_152] / 2_097_152 < 0.8 * work[100_000] / 100_000  # a smaller share of more rows
 
 
 def test_few_rows_give_all(spark):
