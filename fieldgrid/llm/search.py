@@ -8,6 +8,7 @@ different length are never compared. An empty table gives an empty result.
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -20,6 +21,7 @@ from .common import cut
 SHARD = 8192  # candidates in a tile
 TILE = 4096  # queries in a tile
 STRIPE = 512  # queries of a tile whose scores are held at once
+COLUMNS = 1024  # candidates whose sums of limbs are held at once
 FAN_IN = 16  # lists merged at once in the tree
 PAIRS = 1 << 16  # pairs of a query and a candidate whose vectors are held at once
 CHUNK = 4096  # candidates in a part of a cell
@@ -44,29 +46,84 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()) if len(column) else np.empty((0, 0))
 
 
+def _integers(m: np.ndarray, scale: float) -> np.ndarray:
+    """floor(scale * x) of every component: doubles, which hold such integers as they are, or, if one
+    is beyond 64 bits, Python integers, also where scale * x is beyond doubles."""
+    with np.errstate(over="ignore"):
+        w = np.floor(m * scale)
+    giant = np.abs(w) >= 2.0**63
+    if not giant.any():
+        return w
+    out = np.array([[int(x) for x in row] for row in np.where(giant, 0.0, w)], dtype=object).reshape(w.shape)
+    for i, j in zip(*np.nonzero(giant)):
+        out[i, j] = int(w[i, j]) if np.isfinite(w[i, j]) else math.floor(Fraction(float(m[i, j])) * Fraction(scale))
+    return out
+
+
 def _tile_scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Integer inner products; exact: doubles while every partial sum is below 2**53, else Python integers."""
+    """Integer inner products of what ``_integers`` gives, exact; beyond 64 bits the nearest number of 64 bits.
+
+    One product of doubles while no partial sum can reach 2**53, else products of limbs; rows with
+    a component beyond 64 bits are summed as Python integers."""
+    if object in (q.dtype, c.dtype):
+        small = [np.array([all(abs(x) < 2**63 for x in row) for row in m], bool) if m.dtype == object else np.ones(len(m), bool) for m in (q, c)]
+        whole = [m if m.dtype == object else m.astype(np.int64).astype(object) for m in (q, c)]
+        out = np.empty((len(q), len(c)), np.int64)
+        out[np.ix_(*small)] = _tile_scores(q[small[0]].astype(np.float64), c[small[1]].astype(np.float64))
+        for rows, cols in ((~small[0], np.ones(len(c), bool)), (small[0], ~small[1])):
+            sums = whole[0][rows] @ whole[1][cols].T
+            out[np.ix_(rows, cols)] = np.array([max(-(2**63), min(2**63 - 1, s)) for s in sums.ravel()], np.int64).reshape(sums.shape)
+        return out
     bound = np.abs(q).max(initial=0) * np.abs(c).max(initial=0) * q.shape[1]
     if bound < 2**53:
         return q @ c.T
-    limit = 2**63 - 1
-    exact = q.astype(object) @ c.astype(object).T
-    return np.vectorize(lambda s: max(-limit - 1, min(limit, int(s))), otypes=[object])(exact)
+    return np.concatenate([_limb_scores(q, c[at : at + COLUMNS]) for at in range(0, len(c), COLUMNS)], axis=1)
+
+
+def _limb_scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Exact products of integers of 64 bits: each is cut into limbs so narrow that a product of
+    limbs, summed over all dimensions, stays below 2**53; carries then go from sum to sum."""
+    bits = (53 - q.shape[1].bit_length()) // 2
+    n, mask = math.ceil(64 / bits), (1 << bits) - 1
+
+    def limbs(m: np.ndarray) -> list[np.ndarray]:
+        whole = m.astype(np.int64)
+        return [((whole >> (bits * i)) & mask if i < n - 1 else whole >> (bits * i)).astype(np.float64) for i in range(n)]
+
+    ql, cl = limbs(q), limbs(c)
+    sums = [sum((ql[i] @ cl[s - i].T).astype(np.int64) for i in range(max(0, s - n + 1), min(s, n - 1) + 1)) for s in range(2 * n - 1)]
+    for s in range(2 * n - 2):
+        sums[s + 1] += sums[s] >> bits
+        sums[s] &= mask
+    low = np.zeros(sums[0].shape, np.uint64)  # the sum modulo 2**64
+    for s, part in enumerate(sums):
+        if s * bits < 64:
+            low += part.astype(np.uint64) << np.uint64(s * bits)
+    low = low.view(np.int64)
+    # what is above 63 bits is all zeros, or all ones below zero, if the sum fits
+    at, cut_off = divmod(63, bits)
+    top = sums[-1]
+    over = (top != 0) & (top != -1)
+    sign = np.where(top < 0, mask, 0)
+    for part in sums[at + 1 : -1]:
+        over |= part != sign
+    over |= (sums[at] >> cut_off) != (sign >> cut_off)
+    low[over] = np.where(top[over] < 0, -(2**63), 2**63 - 1)
+    return low
 
 
 def _best(scores: np.ndarray, k: int) -> np.ndarray:
     """Columns of the k largest of each row; columns stand in order of id, and ties go to the first."""
+    down = ~scores if scores.dtype == np.int64 else -scores
     if scores.shape[1] <= k:
-        return np.argsort(-scores, axis=1, kind="stable")
-    if scores.dtype != object:
-        # at least the k-th value everywhere; ties at that value are kept until the stable sort
-        least = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
-        out = np.empty((len(scores), k), dtype=np.int64)
-        for r in range(len(scores)):
-            near = np.flatnonzero(scores[r] >= least[r])
-            out[r] = near[np.argsort(-scores[r, near], kind="stable")[:k]]
-        return out
-    return np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        return np.argsort(down, axis=1, kind="stable")
+    # at least the k-th value everywhere; ties at that value are kept until the stable sort
+    least = np.partition(down, k - 1, axis=1)[:, k - 1 : k]
+    out = np.empty((len(scores), k), dtype=np.int64)
+    for r in range(len(scores)):
+        near = np.flatnonzero(down[r] <= least[r])
+        out[r] = near[np.argsort(down[r, near], kind="stable")[:k]]
+    return out
 
 
 def _merge(lists: DataFrame, keys: list[str], k: int) -> DataFrame:
@@ -77,7 +134,7 @@ def _merge(lists: DataFrame, keys: list[str], k: int) -> DataFrame:
 def exact_top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: float = 256.0, shard: int = SHARD, tile: int = TILE) -> DataFrame:
     """The k candidates of highest integer inner product for each row whose id is divisible by ``every``.
 
-    Components become floor(scale * x), as integers of any size. Queries, as many as there are, are
+    Components become floor(scale * x), integers of any size, and scores are exact. Queries, as many as there are, are
     dealt into tiles and candidates into shards, both of bounded size by a hash of the id; each
     (tile, shard) pair is one matrix product, in stripes of queries, with partial selection, and
     per-query lists are merged in a tree of fan-in 16. Ties go to the smaller vec_id; a query is no
@@ -97,8 +154,7 @@ def exact_top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: float =
         if len(q) and len(c):
             c = c.sort_values("cand_id")
             ids, qids = c["cand_id"].to_numpy(), q["vec_id"].to_numpy()
-            whole = lambda column: np.floor(_matrix(column) * scale)
-            wanted, held = whole(q["v"]), whole(c["c"])
+            wanted, held = _integers(_matrix(q["v"]), scale), _integers(_matrix(c["c"]), scale)
             for at in range(0, len(qids), STRIPE):
                 scores = _tile_scores(wanted[at : at + STRIPE], held)
                 cols = _best(scores, k + 1)  # one more, as the query itself may be there

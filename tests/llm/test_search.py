@@ -202,3 +202,50 @@ def test_components_beyond_64_bits(spark):
     df = spark.createDataFrame([(0, [1e20, 1.0]), (50, [1e20, 2.0]), (51, [-1e20, 5.0])], "vec_id long, embedding array<double>")
     got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in search.exact_top_k(df).collect()}
     assert got == {(0, 1): (50, 2**63 - 1), (0, 2): (51, -(2**63)), (50, 1): (0, 2**63 - 1), (50, 2): (51, -(2**63))}
+
+
+def clamped(q, c):
+    return [[max(-(2**63), min(2**63 - 1, sum(int(x) * int(y) for x, y in zip(a, b)))) for b in c] for a in q]
+
+
+@pytest.mark.parametrize("bits", [27, 32, 40, 63])
+def test_tile_scores_are_exact_integers(monkeypatch, bits):
+    assert search._tile_scores(np.array([[2.0**31 + 1, 3]]), np.array([[2.0**31 + 3, 1]])).tolist() == [[4611686027017322502]]
+    monkeypatch.setattr(search, "COLUMNS", 5)
+    r = np.random.default_rng(bits)
+    for d in (1, 3, 64, 700):
+        q, c = (np.floor(r.uniform(-1, 1, (n, d)) * 2.0**bits) // 2 * 2 + (bits < 53) for n in (7, 12))
+        c[3], q[2] = -(2.0**63), -(2.0**63)
+        assert search._tile_scores(q, c).tolist() == clamped(q, c)
+        mixed = search._integers(np.vstack([q, np.full((1, d), 1e306), np.full((1, d), -1e19)]), 256.0)
+        assert mixed.dtype == object
+        assert search._tile_scores(mixed, c).tolist() == clamped(mixed, c) and search._tile_scores(c, mixed).tolist() == clamped(c, mixed)
+
+
+def test_limbs_at_the_edge_of_64_bits():
+    q = np.array([[2.0**62, 1.0], [-(2.0**62), 1.0], [2.0**61, 2.0**53]])
+    c = np.array([[2.0, -1.0], [2.0, 0.0], [-2.0, -1.0], [4.0, -1.0], [1.0, 1.0], [3.0, 2.0**9]])
+    got = search._limb_scores(q, c)
+    assert got.tolist() == clamped(q, c)
+    assert search._best(np.array([[-(2**63), 2**63 - 1, 0, 2**63 - 1]]), 3).tolist() == [[1, 3, 2]]
+
+
+def test_large_odd_components_in_query_and_sql(spark, tmp_path):
+    r = np.random.default_rng(9)
+    v = (r.integers(2**30, 2**31, size=(120, 6)) * 2 + 1) / 256 * r.choice([-1, 1], size=(120, 6))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    df.write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = {}
+    for x in queries.op8_exact_top_k(spark, str(tmp_path)).orderBy("query_id", "rank").collect():
+        got.setdefault(x.query_id, []).append((x["rank"], x.vec_id, x.score))
+    ints = {i: [int(256 * float(x)) for x in row] for i, row in enumerate(v)}
+    assert got == brute_top(ints, 50, 5, lambda a, b: max(-(2**63), min(2**63 - 1, sum(x * y for x, y in zip(a, b)))))
+    assert sorted((q, *x) for q, rows in got.items() for x in rows) == sorted(con.sql(queries.SQL["op8_exact_top_k"]).fetchall())
+
+
+def test_a_component_beyond_doubles_once_scaled(spark):
+    df = spark.createDataFrame([(0, [1e306, 1.0]), (50, [1.0, 2.0]), (51, [-1e306, 5.0]), (52, [2.0, 0.0])], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in search.exact_top_k(df).collect()}
+    assert got == {(0, 1): (50, 2**63 - 1), (0, 2): (52, 2**63 - 1), (0, 3): (51, -(2**63)), (50, 1): (0, 2**63 - 1), (50, 2): (52, 2 * 65536), (50, 3): (51, -(2**63))}
