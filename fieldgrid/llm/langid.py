@@ -2,9 +2,9 @@
 
 One table of slots holds all languages' filters at once: each slot has as many 64-bit words as
 the languages need, and bit l % 64 of word l // 64 belongs to language l. Each n-gram has a few slots; the AND of their bits is the set of languages whose
-training text holds the n-gram. A document adds up those bits over its n-grams; each language's
-count is corrected for the share of false positives that its fill predicts, and the largest
-corrected count decides.
+training text holds the n-gram, with no false negatives. A document adds up those bits over its
+n-grams; each language's count is corrected for the share of false positives that its fill
+predicts, and the largest corrected count decides.
 """
 
 from __future__ import annotations
@@ -15,21 +15,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import cut, mix64, sliced, with_fold
 
-SLOT_BITS = 20
+#: A table has the least power of two of slots that is this many times the n-grams of its largest
+#: language (at most 39 % of a language's bits are set then), within these powers. Beyond the last
+#: one no n-gram goes: the fill rises, and with it the correction.
+SLOTS_EACH = 6
+LEAST_BITS, MOST_BITS = 16, 24
 HASHES = 3
 SIZES = (2, 3, 4, 5)
 #: The model is fitted on about so many labelled documents of each language, by a hash of doc_id.
 SAMPLE_DOCS = 4_000
-#: An n-gram is of a language if its relative frequency there is at least this,
-LEAST_FREQUENCY = 2e-6
-#: and at least this share of its highest relative frequency in any language.
-LEAST_SHARE = 0.25
+#: An n-gram of a language's sample is held to be another language's, quoted there, if its relative
+#: frequency is under this share of its highest one in any language. No other n-gram is left out.
+LEAST_SHARE = 1 / 16
 WORD_BITS = 64
 UNDEFINED = "und"
 #: At once through numpy; longer texts are cut there, n-grams that cross a cut included.
@@ -61,9 +64,16 @@ def grams(text: str) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
-def slots_of(h: np.ndarray, k: int, bits: int = SLOT_BITS) -> np.ndarray:
-    """Slot k of each n-gram; the slots are parts of one 64-bit hash."""
-    return ((h >> np.uint64(k * 20)) & np.uint64((1 << bits) - 1)).astype(np.int64)
+def slots_of(h: np.ndarray, k: int, size: int) -> np.ndarray:
+    """Slot k of each n-gram in a table of ``size`` slots, a power of two: double hashing by the
+    halves of the 64-bit hash. ``_slot`` is the same as a column expression."""
+    low, step = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
+    return ((low + np.uint64(k) * step) & np.uint64(size - 1)).astype(np.int64)
+
+
+def _slot(gram: Column, k: int, size: int) -> Column:
+    low, step = gram.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(gram, 32).bitwiseOR(F.lit(1).cast("long"))
+    return (low + F.lit(k) * step).bitwiseAND(F.lit(size - 1).cast("long"))
 
 
 def bits_of(words: np.ndarray, language: int) -> np.ndarray:
@@ -71,22 +81,29 @@ def bits_of(words: np.ndarray, language: int) -> np.ndarray:
     return (words[:, language // WORD_BITS] >> np.uint64(language % WORD_BITS)) & np.uint64(1)
 
 
+def masks_of(h: np.ndarray, model: Model) -> np.ndarray:
+    """The words of the languages whose filters hold each n-gram."""
+    masks = model.table[slots_of(h, 0, len(model.table))]
+    for k in range(1, HASHES):
+        masks &= model.table[slots_of(h, k, len(model.table))]
+    return masks
+
+
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     """Learn from text and non-null lang of ``docs``.
 
     About ``sample_docs`` documents of each language (drawn by a hash of doc_id) are counted by
-    Spark; only n-grams frequent enough in some language come to the driver, at most
-    len(SIZES) / LEAST_FREQUENCY for each language and those of 64 languages at once, and the table
-    has one word a slot for each 64 languages. No labelled document gives a model without languages.
+    Spark, and every n-gram of them goes into its language's filter, but for those that quotations
+    bring there (``LEAST_SHARE``), however rare. Spark also sets the bits; what
+    comes to the driver is one word for each slot that is not empty and 64 languages, at most 2 **
+    ``MOST_BITS`` for each 64 languages. No labelled document gives a model without languages.
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = sorted(sizes)
-    bits = SLOT_BITS
     words = max(1, math.ceil(len(languages) / WORD_BITS))
-    table = np.zeros((1 << bits, words), dtype=np.uint64)
     if not languages:
-        return Model([], table, np.zeros(0))
+        return Model([], np.zeros((1 << LEAST_BITS, words), np.uint64), np.zeros(0))
     picks = F.create_map(*[v for x in languages for v in (F.lit(x), F.lit(min(1.0, sample_docs / sizes[x])))])
     draw = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1 << 30)) / float(1 << 30)
     sample = labelled.where(draw < F.coalesce(F.try_element_at(picks, F.col("lang")), F.lit(0.0))).select("lang", "text")
@@ -112,21 +129,22 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
 
     counts = cut(sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    scale = F.create_map(*[x for k, v in totals.items() for x in (F.lit(k), F.lit(float(v)))]) if totals else None
-    if scale is None:
-        return Model(languages, table, np.zeros(len(languages)))
-    shares = counts.select("lang", "gram", (F.col("n") / scale[F.col("lang")]).alias("share")).where(F.col("share") >= LEAST_FREQUENCY)
-    top = shares.groupBy("gram").agg(F.max("share").alias("top"))
-    kept = shares.join(top, "gram").where(F.col("share") >= F.col("top") * LEAST_SHARE).select("lang", "gram")
-    if words > 1:
-        kept = cut(kept)
-    where = {x: i for i, x in enumerate(languages)}
-    for w in range(words):
-        here = kept if words == 1 else kept.where(F.col("lang").isin(languages[w * WORD_BITS : (w + 1) * WORD_BITS]))
-        for lang, group in here.toPandas().groupby("lang"):
-            h = group["gram"].to_numpy(np.int64).view(np.uint64)
-            for k in range(HASHES):
-                table[slots_of(h, k), w] |= np.uint64(1 << where[lang] % WORD_BITS)
+    total = F.create_map(*[v for x in languages for v in (F.lit(x), F.lit(float(totals.get(x, 1))))])[F.col("lang")]
+    shares = counts.groupBy("gram").agg(F.collect_list(F.struct("lang", (F.col("n") / total).alias("share"))).alias("shares"))  # an entry a language
+    top = F.array_max(F.transform("shares", lambda x: x["share"])) * LEAST_SHARE
+    kept = cut(shares.withColumn("least", top).select("gram", F.explode(F.filter("shares", lambda x: x["share"] >= F.col("least"))["lang"]).alias("lang")))
+    most = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+    size = 1 << min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(SLOTS_EACH * most))))
+    table = np.zeros((size, words), dtype=np.uint64)
+    nth = F.create_map(*[v for i, x in enumerate(languages) for v in (F.lit(x), F.lit(i))])[F.col("lang")]
+    bits = kept.select(
+        F.floor(nth / WORD_BITS).cast("int").alias("word"),
+        F.call_function("shiftleft", F.lit(1).cast("long"), nth % WORD_BITS).alias("bit"),
+        F.explode(F.array(*[_slot(F.col("gram"), k, size) for k in range(HASHES)])).alias("slot"),
+    )
+    found = bits.groupBy("word", "slot").agg(F.bit_or("bit").alias("bits")).toArrow()
+    word, slot, held = (found.column(c).to_numpy() for c in ("word", "slot", "bits"))
+    table[slot, word] = held.view(np.uint64)
     fill = np.array([float(bits_of(table, i).mean()) for i in range(len(languages))])
     return Model(languages, table, fill)
 
@@ -139,9 +157,7 @@ def judge(text: str | None, model: Model) -> tuple[str, float]:
     hits, total = np.zeros(n), 0
     for k in range(0, len(text), WINDOW):
         h = grams(text[k : k + WINDOW + max(SIZES) - 1])
-        masks = model.table[slots_of(h, 0)]
-        for j in range(1, HASHES):
-            masks &= model.table[slots_of(h, j)]
+        masks = masks_of(h, model)
         total += len(h)
         if n <= 12:  # few languages: count each set of languages once
             seen = np.bincount(masks[:, 0].astype(np.int64), minlength=1 << n)

@@ -60,16 +60,45 @@ def test_more_languages_than_bits_of_a_word(spark):
     assert {x.lang for x in held} == {x.lang_pred for x in held} and all(x.lang == x.lang_pred for x in held)
 
 
+def known_grams(texts):
+    """lang -> n-gram hashes that its filter must hold, of (lang, text)."""
+    seen = {}
+    for lang, t in texts:
+        if lang and t is not None:
+            seen.setdefault(lang, Counter()).update(langid.grams(t).tolist())
+    share = {x: {g: n / sum(c.values()) for g, n in c.items()} for x, c in seen.items()}
+    top = Counter()
+    for c in share.values():
+        for g, v in c.items():
+            top[g] = max(top[g], v)
+    return {x: {g for g, v in c.items() if v >= top[g] * langid.LEAST_SHARE} for x, c in share.items()}
+
+
 def test_filters_have_no_false_negatives(spark):
+    """Every n-gram of the sample, however rare, finds all its languages; few others do."""
     df, rows = lang_docs(spark, 60)
+    rare = "zwjxzwx"
+    df = df.unionByName(spark.createDataFrame([(777, rare, "aa", "s")], df.schema))
     model = langid.train(df)
     assert model.languages == ["aa", "bb", "cc"] and (model.fill > 0).all()
-    text = " ".join(t for _, t, lang, _ in rows if lang == "aa" and t)
-    keys, n = np.unique(langid.grams(text), return_counts=True)
-    masks = model.table[langid.slots_of(keys, 0)]
-    for k in range(1, langid.HASHES):
-        masks = masks & model.table[langid.slots_of(keys, k)]
-    assert (masks[n / n.sum() > 0.01] & 1).all()
+    known = known_grams([(lang, t) for _, t, lang, _ in rows] + [("aa", rare)])
+    assert set(langid.grams(rare).tolist()) <= known["aa"]
+    for i, lang in enumerate(model.languages):
+        held = lambda keys: langid.masks_of(np.array(sorted(keys), np.uint64), model)[:, 0] >> np.uint64(i) & np.uint64(1)  # noqa: B023, E731
+        assert held(known[lang]).all()
+        absent = held(set().union(*known.values()) - known[lang])
+        assert absent.mean() <= model.fill[i] ** langid.HASHES + 0.02
+
+
+def test_tables_grow_with_their_ngrams(spark, monkeypatch):
+    df, rows = lang_docs(spark, 60)
+    monkeypatch.setattr(langid, "LEAST_BITS", 1)
+    model = langid.train(df)
+    most = max(map(len, known_grams([(lang, t) for _, t, lang, _ in rows]).values()))
+    assert len(model.table) / 2 < langid.SLOTS_EACH * most <= len(model.table) and model.fill.max() < 0.4
+    monkeypatch.setattr(langid, "MOST_BITS", 8)  # beyond the last power no n-gram goes
+    full = langid.train(df)
+    assert len(full.table) == 256 and (full.fill > model.fill).all()
 
 
 def test_predictions_are_those_of_plain_sets(spark):
@@ -93,7 +122,7 @@ def test_predictions_are_those_of_plain_sets(spark):
     for c in share.values():
         for g, v in c.items():
             top[g] = max(top[g], v)
-    known = {x: {g for g, v in c.items() if v >= langid.LEAST_FREQUENCY and v >= top[g] * langid.LEAST_SHARE} for x, c in share.items()}
+    known = {x: {g for g, v in c.items() if v >= top[g] * langid.LEAST_SHARE} for x, c in share.items()}
     for r in out:
         if not r.text or not re.search(r"[^\W\d_]", r.text):
             assert (r.lang_pred, r.score) == ("und", 0.0)
