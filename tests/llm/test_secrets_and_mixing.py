@@ -59,6 +59,25 @@ def test_markov_models_tell_random_strings_from_identifiers(spark):
     assert sum(hit[i] for i in range(60, 120)) <= 3
 
 
+def test_false_alarms_and_recall_by_alphabet(spark):
+    """Trained on prose of made-up words: ordinary identifiers that no sample holds stay, however long."""
+    r = random.Random(4)
+    prose = [" ".join("".join(r.choice(["an", "th", "er", "on", "ti", "re", "ou", "is"]) for _ in range(r.randint(1, 6))) for _ in range(80)) for _ in range(120)]
+    table, odds = secrets.train(docs(spark, prose))
+    plain = ["AbstractSingletonProxyFactoryBean", "electroencephalographically", "MAX_CONNECTION_POOL_SIZE", "XMLHttpRequestFactory", "InternationalizationHelper", "getUserPreferencesById"]
+    plain += ["org/apache/hadoop/mapreduce", "kubernetes-controller-manager", "antidisestablishmentarianism", "NullPointerException", "otorhinolaryngologist", "-" * 40, "=" * 16, "_" * 79]
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    alphabets = {"mixed": upper + lower + digits, "base64": upper + lower + digits + "+/", "HEX": digits + "ABCDEF", "lower": lower, "upper": upper, "UPPER1": upper + digits, "lower1": lower + digits}
+    rows = [("plain", 0, x) for x in plain]
+    rows += [(k, n, "".join(r.choice(a) for _ in range(n))) for k, a in alphabets.items() for n in (12, 16, 24) for _ in range(60)]
+    got = spark.createDataFrame(rows, "kind string, n int, token string").select("kind", "n", "token", (secrets.ratio(F.col("token"), table) >= odds).alias("hit")).collect()
+    assert [g.token for g in got if g.kind == "plain" and g.hit] == []
+    for k in alphabets:
+        for n, least in ((12, 0.6), (16, 0.8), (24, 0.95)):
+            hits = [g.hit for g in got if (g.kind, g.n) == (k, n)]
+            assert sum(hits) >= least * len(hits), (k, n, sum(hits), len(hits))
+
+
 def test_the_ratio_is_brute_force(spark):
     import collections
 
