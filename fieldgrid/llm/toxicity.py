@@ -2,8 +2,9 @@
 
 A bounded sample of labelled documents is the index, with every term that three of them share:
 words and word beginnings. A term's weight is its IDF, raised by how far the labels of the sample
-are tied to it (chi-square), so that examples are near for what matters; no term is left out, so
-a copy of an example has cosine 1 and hardly any text is without neighbours.
+are tied to it (chi-square), so that examples are near for what matters. A term of fewer than
+``LEAST_DOCS`` examples has no weight: a copy of an example has cosine 1 only if some of its terms
+are held by more, and a text without such terms has no neighbours.
 
 Every document is a query. Terms that many examples hold are one matrix product for a batch of
 documents; the others are postings, by blocks of examples. Blocks are visited in order of their
