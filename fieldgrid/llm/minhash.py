@@ -6,14 +6,17 @@ the least value among the shingles' places shifted by k, so a shingle's contribu
 coordinates are one contiguous stretch of the table.
 
 1. Documents with equal shingle sets are one class; its smallest doc_id stands for it.
-2. Classes that agree on all rows of some band meet in a bucket. In each bucket every member is
-   paired with the smallest and the largest id; pairs whose signatures can't be near are
-   dropped. The rest tie classes into candidate groups. Where a bucket's members are still in
-   several groups, all pairs of it across groups are compared by signature, in cells of bounded
-   size, so that no pair of a bucket is passed over.
+2. Classes that agree on all rows of some band meet in a bucket. Every class is paired with the
+   smallest id of all its buckets, and then with the smallest and the largest of each bucket where
+   they are not yet in its group; pairs whose signatures can't be near are dropped. The rest tie
+   classes into candidate groups. Where a bucket's members are still in several groups, all pairs
+   of it across groups are compared by signature, in cells of bounded size, so that no pair of a
+   bucket is passed over.
 3. Inside a candidate group all classes are compared exactly, on their full shingle sets, in cells
-   of bounded size: large groups are dealt into chunks, and each pair of chunks is a task of its
-   own. A cell reports a spanning forest of its links, never all pairs.
+   of bounded size. Groups of more than one chunk are compared chunk by chunk first, and their ties
+   are checked; where that leaves several parts, the members of all but the largest part meet all
+   members, and each pair of chunks is a task of its own. A cell reports a spanning forest of its
+   links between parts, never all pairs.
 4. Links make components.
 """
 
@@ -116,11 +119,8 @@ def _share(equal: np.ndarray) -> np.ndarray:
     return (equal.mean(axis=1) - 1 / 256) / (1 - 1 / 256)
 
 
-def candidate_pairs(reps: DataFrame, buckets: DataFrame) -> DataFrame:
-    """u, v: members of buckets paired with the least and the greatest of the bucket, if sizes and
-    signatures allow a link."""
-    met = buckets.select("id", F.explode(F.array("least", "most")).alias("end")).where("id <> end")
-    pairs = met.select(F.least("id", "end").alias("u"), F.greatest("id", "end").alias("v")).distinct()
+def near_pairs(reps: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of the pairs u, v whose sizes and signatures allow a link."""
     side = lambda name: reps.select(F.col("id").alias(name), F.col("n").alias(f"n_{name}"), F.col("sig").alias(f"sig_{name}"))
     both = pairs.join(side("u"), "u").join(side("v"), "v").where(F.least("n_u", "n_v") * 100 >= F.greatest("n_u", "n_v") * SIMILARITY)
 
@@ -130,7 +130,21 @@ def candidate_pairs(reps: DataFrame, buckets: DataFrame) -> DataFrame:
             a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, size) for k in (2, 3))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["u", "v"]).filter(pa.array(_share(a == b) >= NEAR))
 
-    return both.select("u", "v", "sig_u", "sig_v").mapInArrow(near, "u long, v long")
+    return both.select("u", "v", "sig_u", "sig_v").mapInArrow(near, "u long, v long").distinct()
+
+
+def candidate_pairs(reps: DataFrame, buckets: DataFrame) -> DataFrame:
+    """u, v: near pairs that make the same groups as every member of a bucket with the bucket's least
+    and greatest. The first tie is with the least id of all of a member's buckets; the others are
+    for ends that those ties leave in another group, so a group has about one tie a member."""
+    hooks = buckets.groupBy("id").agg(F.min("least").alias("u")).where("u < id").select("u", F.col("id").alias("v"))
+    first = cut(near_pairs(reps, hooks))
+    members = buckets.select("key", "id").join(components(first), "id", "left").select("key", "id", F.coalesce("component", "id").alias("label"))
+    node = F.struct("id", "label")
+    ends = members.groupBy("key").agg(F.min(node).alias("lo"), F.max(node).alias("hi"), F.min("label").alias("a"), F.max("label").alias("b")).where("a < b")
+    apart = members.join(ends, "key").select("id", "label", F.explode(F.array("lo", "hi")).alias("end")).where("label <> end.label")
+    rest = apart.select(F.least("id", "end.id").alias("u"), F.greatest("id", "end.id").alias("v")).distinct()
+    return first.unionByName(near_pairs(reps, rest))
 
 
 def near_of(n: np.ndarray, sigs: np.ndarray, label: np.ndarray, left: np.ndarray, right: np.ndarray, own: np.ndarray) -> list[tuple[int, int]]:
@@ -203,13 +217,15 @@ class _Forest:
         return new
 
 
-def links_of(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the links between members of ``left`` and of ``right`` (places in sets)."""
+def links_of(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest, over the groups in ``label``, of the links between members of ``left`` and of
+    ``right`` (places in sets)."""
     sizes = np.array([len(s) for s in sets])
     starts = np.cumsum(sizes) - sizes
     _, codes = np.unique(np.concatenate(sets), return_inverse=True)
     flags = np.zeros(codes.max() + 1, np.int32)
     forest, out = _Forest(len(sets)), []
+    forest.of = np.unique(label, return_inverse=True)[1]
     for i in left.tolist():
         apart = forest.of[right] != forest.of[i]
         if not apart.any():
@@ -219,49 +235,86 @@ def links_of(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> lis
         common = np.add.reduceat(flags[codes], starts)
         flags[own] = 0
         linked = right[apart & (100 * common[right] >= SIMILARITY * (sizes[right] + sizes[i] - common[right]))]
-        out += [(i, j) for j in forest.join(i, linked[linked != i])]
+        out += [(i, j) for j in forest.join(i, linked)]
     return out
 
 
-def verified_links(docs: DataFrame, reps: DataFrame, groups: DataFrame) -> DataFrame:
-    """u, v: a spanning forest of the exact links inside the candidate groups (id, component)."""
-    sized = groups.join(reps.select("id", "n"), "id")
-    totals = sized.groupBy("component").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("docs"))
-    dealt = sized.select("id", "component").join(totals, "component")
-    dealt = dealt.withColumn("chunks", F.ceil(F.col("total") / CELL).cast("int"))
-    bins = max(1, math.ceil(groups.count() / BIN_DOCS))
-    dealt = dealt.select("id", "component", "chunks", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"))
-    dealt = cut(dealt)
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    ids = dealt.select("id").distinct()
-    if small_enough(ids, BROADCAST_IDS):
-        texts = texts.join(F.broadcast(ids), "id", "left_semi")
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
-    cells = dealt.join(texts, "id").select("id", "text", "component", "chunks", "chunk", other)
-    cells = cells.select("id", "text", "component", "chunk", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), "chunks")
-    # groups of one chunk share tasks, a cell of a larger group is a task's own
-    bin_ = F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("component"), F.lit(bins))).otherwise(F.xxhash64("component", "a", "b"))
+def _compared(cells: DataFrame, texts: DataFrame) -> DataFrame:
+    """u, v: a spanning forest, over the groups in ``label``, of the exact links between the left and the right of each cell.
+
+    ``cells`` has bin, cell (a struct), id, label, left, right; the cells of one bin share a task."""
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         us, vs = [], []
-        for _, cell in pdf.groupby(["component", "a", "b"], sort=False):
-            if len(cell) < 2:
-                continue
-            ids, chunk = cell["id"].to_numpy(), cell["chunk"].to_numpy()
+        for _, cell in pdf.groupby(["group", "a", "b"], sort=False):
+            ids, label, left, right = (cell[c].to_numpy() for c in ("id", "label", "left", "right"))
             sets = [shingles(t) for t in cell["text"]]
-            full = np.array([len(s) > 0 for s in sets])
-            ids, chunk, sets = ids[full], chunk[full], [s for s in sets if len(s)]
-            order = np.argsort(ids, kind="stable")
-            ids, chunk, sets = ids[order], chunk[order], [sets[k] for k in order.tolist()]
-            if len(ids) < 2:
+            order = np.array([k for k in np.argsort(ids, kind="stable").tolist() if len(sets[k])], dtype=np.int64)
+            if len(order) < 2:
                 continue
-            a, b = int(cell["a"].iloc[0]), int(cell["b"].iloc[0])
-            for i, j in links_of(sets, np.flatnonzero(chunk == a), np.flatnonzero(chunk == b)):
-                us.append(ids[i])
-                vs.append(ids[j])
+            for i, j in links_of([sets[k] for k in order.tolist()], np.flatnonzero(left[order]), np.flatnonzero(right[order]), label[order]):
+                us.append(ids[order[i]])
+                vs.append(ids[order[j]])
         return pd.DataFrame({"u": np.array(us, dtype=np.int64), "v": np.array(vs, dtype=np.int64)})
 
-    return cells.withColumn("bin", bin_).groupBy("bin").applyInPandas(compare, "u long, v long")
+    return cells.select("bin", "cell.group", "cell.a", "cell.b", "id", "label", "left", "right").join(texts, "id").groupBy("bin").applyInPandas(compare, "u long, v long")
+
+
+def verified_ties(texts: DataFrame, sizes: DataFrame, ties: DataFrame) -> DataFrame:
+    """u, v: those of the ties that are links. The ties of one u are dealt into cells of bounded size."""
+    sized = ties.join(sizes.select(F.col("id").alias("v"), "n"), "v")
+    hubs = cut(sized.groupBy("u").agg(F.ceil(F.sum("n") / CELL).cast("int").alias("chunks"), F.count(F.lit(1)).alias("ties")))
+    bins = max(1, math.ceil((hubs.agg(F.sum("ties")).first()[0] or 0) / BIN_DOCS))
+    chunk = F.pmod(F.xxhash64("v"), F.col("chunks")).cast("int")
+    row = lambda id_, left: (F.col(id_).alias("id"), F.col(id_).alias("label"), F.lit(left).alias("left"), F.lit(not left).alias("right"))
+    members = ties.join(hubs, "u").select("u", "chunks", chunk.alias("chunk"), *row("v", False))
+    centres = hubs.select("u", "chunks", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), *row("u", True))
+    bin_ = F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("u"), F.lit(bins))).otherwise(F.xxhash64("u", "chunk"))
+    cells = members.unionByName(centres).withColumn("bin", bin_).withColumn("cell", F.struct(F.col("u").alias("group"), F.lit(0).alias("a"), F.col("chunk").alias("b")))
+    return _compared(cells, texts)
+
+
+def other_links(texts: DataFrame, sizes: DataFrame, groups: DataFrame, linked: DataFrame) -> DataFrame:
+    """u, v: links inside the candidate groups (id, component) between the parts that ``linked`` leaves.
+
+    Of two parts one at least is not the group's largest: the members of all but the largest meet
+    every member of the group, chunk by chunk. Groups of one part have no cells."""
+    parts = groups.join(linked.select("id", F.col("component").alias("label")), "id", "left").withColumn("label", F.coalesce("label", "id")).join(sizes, "id")
+    totals = parts.groupBy("component", "label").agg(F.sum("n").alias("total"))
+    whole = totals.groupBy("component").agg(F.max(F.struct("total", "label")).alias("largest"), F.sum("total").alias("total"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    chunks = lambda n: F.ceil(n / CELL).cast("int")
+    whole = whole.select("component", F.col("largest.label").alias("most"), chunks(F.col("total") - F.col("largest.total")).alias("strays"), chunks(F.col("largest.total")).alias("rest"))
+    stray = F.col("label") != F.col("most")
+    chunk = F.when(stray, F.pmod(F.xxhash64("id"), "strays")).otherwise(F.col("strays") + F.pmod(F.xxhash64("id"), "rest")).cast("int")
+    others = F.sequence(F.lit(0), F.col("strays") - 1 + F.when(stray, F.col("rest")).otherwise(0))
+    cells = parts.join(whole, "component").select("id", "component", "label", chunk.alias("chunk"), F.explode(others).alias("other"))
+    cells = cut(cells.withColumn("a", F.least("chunk", "other")).withColumn("b", F.greatest("chunk", "other")))
+    sides = (F.col("chunk") == F.col("a")).alias("left"), (F.col("chunk") == F.col("b")).alias("right")
+    return _compared(cells.select(F.xxhash64("component", "a", "b").alias("bin"), F.struct(F.col("component").alias("group"), "a", "b").alias("cell"), "id", "label", *sides), texts)
+
+
+def verified_links(docs: DataFrame, reps: DataFrame, ties: DataFrame, groups: DataFrame) -> DataFrame:
+    """u, v: a spanning set of the exact links inside the candidate groups (id, component)."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    ids = groups.select("id")
+    if small_enough(ids, BROADCAST_IDS):
+        ids = F.broadcast(ids)
+    texts = cut(texts.join(ids, "id", "left_semi"))
+    sizes = reps.groupBy("id").agg(F.sum("n").alias("n"))
+    sized = groups.join(sizes, "id")
+    totals = sized.groupBy("component").agg(F.ceil(F.sum("n") / CELL).cast("int").alias("chunks"))
+    dealt = cut(sized.join(totals, "component").select("id", "component", "chunks", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk")))
+    bins = max(1, math.ceil(dealt.count() / BIN_DOCS))
+    # groups of one chunk share tasks, a chunk of a larger group is a task's own
+    bin_ = F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("component"), F.lit(bins))).otherwise(F.xxhash64("component", "chunk"))
+    cell = F.struct(F.col("component").alias("group"), F.col("chunk").alias("a"), F.col("chunk").alias("b"))
+    inside = cut(_compared(dealt.select(bin_.alias("bin"), cell.alias("cell"), "id", F.col("id").alias("label"), F.lit(True).alias("left"), F.lit(True).alias("right")), texts))
+    large = dealt.where("chunks > 1").select("id", "component")
+    if large.isEmpty():
+        return inside
+    within = lambda pairs: pairs.join(large.select(F.col("id").alias("u")), "u", "left_semi").select("u", "v")
+    tied = cut(verified_ties(texts, sizes, within(ties)))
+    return inside.unionByName(tied).unionByName(other_links(texts, sizes, large, components(within(inside).unionByName(tied))))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -283,8 +336,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     groups = components(pairs)
     others = cut(other_pairs(reps, buckets, groups))
     if not others.isEmpty():
-        groups = components(pairs.unionByName(others))
-    links = cut(verified_links(docs, reps, groups))
+        pairs = pairs.unionByName(others)
+        groups = components(pairs)
+    links = cut(verified_links(docs, reps, pairs, groups))
     # rows of one class are linked through its representative; a repeated id ties its classes
     several = known.select("doc_id", "set_hash").distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select("doc_id")
     tied = known.join(several, "doc_id", "left_semi").select("doc_id", "set_hash").distinct().join(classes, "set_hash").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).where("u <> v")

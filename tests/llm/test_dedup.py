@@ -114,6 +114,45 @@ def test_near_copies_between_longer_pages_of_the_same_passage(spark, monkeypatch
     assert component[101] == 100 and got == component
 
 
+def near_copies(n):
+    """Copies of one text of 120 words, each with one to three words of its own."""
+    r = random.Random(5)
+    rows = []
+    for i in range(n):
+        w = [f"w{k}" for k in range(120)]
+        for _ in range(r.randint(1, 3)):
+            w[r.randrange(120)] = f"x{r.randrange(10**9)}"
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def test_a_large_group_of_near_copies_has_few_ties_and_links(spark, monkeypatch):
+    made = []
+    whole = minhash.components
+
+    def counted(links):
+        made.append(links.count())
+        return whole(links)
+
+    monkeypatch.setattr(minhash, "components", counted)
+    n = 240
+    rows = near_copies(n)
+    component, _ = brute.near_duplicates(rows)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(spark, rows)).collect()}
+    assert got == component and set(got.values()) == {0}
+    assert max(made) <= 2 * n
+
+
+def test_parts_that_ties_leave_are_linked_across_cells(spark, monkeypatch):
+    """A chain of texts, each linked only with its neighbours, in cells of two or three texts."""
+    monkeypatch.setattr(minhash, "CELL", 300)
+    words = [f"w{k}" for k in range(700)]
+    rows = [(i, " ".join(words[i * 14 : i * 14 + 140])) for i in random.Random(3).sample(range(40), 40)]
+    component, _ = brute.near_duplicates(rows)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(spark, rows)).collect()}
+    assert set(component.values()) == {0} and got == component
+
+
 def test_signatures_estimate_similarity():
     r = np.random.default_rng(1)
     common, a, b = (r.integers(0, 1 << minhash.UNIVERSE, n) for n in (600, 100, 100))
