@@ -3,8 +3,7 @@
 Three fixed patterns give the base spans. A pair of character Markov models adds more: every token
 of ``LEAST['assign']`` characters or more outside the base spans is scored by the log-likelihood
 ratio of a model of random strings to a model of ordinary identifiers. Both are trained here from
-labelled samples: ordinary are the tokens of a sample of the documents outside base spans, also
-capitalised and in capitals, and identifiers (camel case, constants, paths) put together from common
+labelled tokens: ordinary are the tokens of all documents outside base spans, also capitalised and in capitals, and identifiers (camel case, constants, paths) put together from common
 words; random are the values in base spans and strings drawn from a hash over the alphabets that
 secrets use. Each pair of characters costs what ordinary tokens reach per pair, so that a long
 ordinary token doesn't pass by its length, and the threshold comes from tokens that the models have
@@ -30,7 +29,6 @@ LEAST = {"assign": 12, "access": 18, "hex": 16}
 
 #: Tokens that the models judge, letters alone included.
 CANDIDATE = f"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{LEAST['assign']},}}"
-SAMPLE_DOCS = 20_000  # about so many documents train and calibrate the models, by a hash of doc_id
 DRAWN = 1_000  # strings drawn for each alphabet
 CODES = 128  # the models' alphabet is ASCII
 ODDS = math.log(1e4)  # a span is added from this log-likelihood ratio at least: one token in 10,000 is a secret
@@ -161,12 +159,10 @@ def identifiers(spark: SparkSession, each: int = DRAWN) -> DataFrame:
     return parts.select(F.explode(F.array(*forms)).alias("token")).unionByName(rulers)
 
 
-def labelled(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+def labelled(docs: DataFrame) -> DataFrame:
     """random (1 or 0), token, held (for calibration alone: a quarter of the tokens): the distinct
-    labelled tokens of a hash sample of about ``sample_docs`` documents, the ordinary ones also
-    capitalised and in capitals, the drawn strings and the identifiers."""
-    part = min(1.0, sample_docs / max(1, docs.count()))
-    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < math.ceil(part * (1 << 20)))
+    labelled tokens of all documents, the ordinary ones also capitalised and in capitals, the drawn
+    strings and the identifiers."""
     text = F.coalesce(F.col("text"), F.lit(""))
     base = base_spans(text)
     values = F.concat(
@@ -176,7 +172,7 @@ def labelled(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     )
     words = F.regexp_extract_all(outside(text), F.lit(r"[A-Za-z0-9+/_=-]{6,}"), F.lit(0))
     as_rows = lambda label, tokens: F.transform(tokens, lambda v: F.struct(F.lit(label).alias("random"), v.alias("token")))
-    found = sample.select(F.explode(F.concat(as_rows(1, values), as_rows(0, words))).alias("x")).select("x.random", "x.token")
+    found = docs.select(F.explode(F.concat(as_rows(1, values), as_rows(0, words))).alias("x")).select("x.random", "x.token")
     made = drawn(docs.sparkSession).select(F.lit(1).alias("random"), "token")
     names = identifiers(docs.sparkSession).select(F.lit(0).alias("random"), "token")
     cased = F.when(F.col("random") == 0, F.array("token", F.initcap("token"), F.upper("token"))).otherwise(F.array("token"))
@@ -207,14 +203,14 @@ def model(tokens: DataFrame, smoothing: float = 0.5) -> list[float]:
     return table
 
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[list[float], float]:
+def train(docs: DataFrame) -> tuple[list[float], float]:
     """The table of the ratio, less what a pair costs, and its threshold: ``ODDS``, or more where
     held-out ordinary tokens exceed it."""
-    tokens = cut(labelled(docs, sample_docs))
+    tokens = cut(labelled(docs))
     table = model(tokens.where(~F.col("held")).drop("held"))
     pairs = F.length("token") - 1
     ordinary = tokens.where(F.col("held") & (F.col("random") == 0) & (F.length("token") >= LEAST["assign"]))
-    ordinary = ordinary.select(ratio(F.col("token"), table).alias("r"), pairs.alias("pairs"))
+    ordinary = cut(ordinary.select(ratio(F.col("token"), table).alias("r"), pairs.alias("pairs")))
     cost = max(0.0, ordinary.agg(F.percentile_approx(F.col("r") / F.col("pairs"), PER_PAIR, 100_000)).first()[0] or 0.0)
     most = ordinary.agg(F.percentile_approx(F.col("r") - F.col("pairs") * cost, ORDINARY, 100_000)).first()[0]
     return [round(x - cost, 6) for x in table], max(ODDS, most or 0.0)

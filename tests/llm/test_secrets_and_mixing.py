@@ -59,6 +59,13 @@ def test_markov_models_tell_random_strings_from_identifiers(spark):
     assert sum(hit[i] for i in range(60, 120)) <= 3
 
 
+def test_every_document_trains_the_models(spark):
+    n = 30_000
+    rows = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("words"), F.col("id"), F.lit(" token=value"), F.col("id") + 1_000_000).alias("text"))
+    got = secrets.labelled(rows).where(F.col("token").rlike("^(words|value)[0-9]+$")).groupBy("random").count().collect()
+    assert {g["random"]: g["count"] for g in got} == {0: n, 1: n}
+
+
 def test_false_alarms_and_recall_by_alphabet(spark):
     """Trained on prose of made-up words: ordinary identifiers that no sample holds stay, however long."""
     r = random.Random(4)
