@@ -608,7 +608,8 @@ def named_csv_sink(spark, sf_dir):
 def skip_by_files(spark, sf_dir):
     """What is done is what has a file: all files are written and the first is deleted."""
     rows = _extracted(spark, sf_dir)
-    work = scratch.cut(rows.select("source_file", "pass", "output_file").distinct())
+    work = rows.select("source_file", "pass").distinct()
+    work = scratch.cut(work.withColumn("output_file", names.extracted_path(F.col("source_file"), F.col("pass"))))
     named.write_named(rows, root := scratch.place(spark, "files"))
     named.Store(spark, root).delete(work.agg(F.min("output_file")).first()[0])
     there = manifest.on_disk(spark, root)

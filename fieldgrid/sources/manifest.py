@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Settings
 from ..functions import names
 from . import named
+from .scratch import cut, opening
 
 
 class NoFiles(ValueError):
@@ -40,23 +41,25 @@ def files_in(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
 
 def on_disk(spark: SparkSession, root: str, pattern: str = ".") -> DataFrame:
     """output_file (path below ``root``) and length of the files there whose names match; only names
-    are read. A folder that is not there has none."""
+    are read, once: the listing is written to the shared folder. A folder that is not there has none."""
     store = named.Store(spark, root)
     if not store.exists():
         return spark.createDataFrame([], "output_file string, length long")
     whole = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     found = whole.select(store.below(F.col("path")).alias("output_file"), "length")
-    known = whole.inputFiles()
-    if len(known) > found.count():  # Spark's scans pass over files of no bytes
-        every = spark.createDataFrame([(n,) for n in known], "path string")
-        none = every.select(store.below(F.col("path"), encoded=True).alias("output_file")).join(found, "output_file", "left_anti")
-        found = found.unionByName(none.withColumn("length", F.lit(0).cast("long")))
-    return found.where(F.substring_index("output_file", "/", -1).rlike(pattern))
+    # Spark's scans pass over files of no bytes, its listings don't; the names stay in the JVM
+    known = store.jvm.scala.collection.immutable.ArraySeq.unsafeWrapArray(whole._jdf.inputFiles())
+    every = DataFrame(spark._jsparkSession.createDataset(known, store.jvm.org.apache.spark.sql.Encoders.STRING()).toDF(), spark)
+    every = every.select(store.below(F.col("value"), encoded=True).alias("output_file"))
+    every = every.where(F.substring_index("output_file", "/", -1).rlike(pattern))
+    with opening(spark):
+        return cut(every.join(found, "output_file", "left").select("output_file", F.coalesce("length", F.lit(0).cast("long")).alias("length")))
 
 
 def rows_on_disk(spark: SparkSession, root: str, form: str = "csv", pattern: str = ".") -> DataFrame:
     """output_file and rows of every file below ``root``, 0 for one without any: lines but the header
-    of delimited files, else what the format counts."""
+    of delimited files, else what the format counts. The counts are made now and written to the shared
+    folder."""
     listed = on_disk(spark, root, pattern).select("output_file")
     reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*")
     if listed.isEmpty():
@@ -64,7 +67,8 @@ def rows_on_disk(spark: SparkSession, root: str, form: str = "csv", pattern: str
     read = (reader.text(root) if form == "csv" else reader.format(form).load(root)).select(F.col("_metadata.file_path").alias("path"))
     counted = read.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
     counted = counted.select(named.Store(spark, root).below(F.col("path"), encoded=True).alias("output_file"), (F.col("n") - int(form == "csv")).alias("n"))
-    return listed.join(counted, "output_file", "left").select("output_file", F.coalesce("n", F.lit(0)).cast("int").alias("rows"))
+    with opening(spark):
+        return cut(listed.join(counted, "output_file", "left").select("output_file", F.coalesce("n", F.lit(0)).cast("int").alias("rows")))
 
 
 def stage_files(listed: DataFrame) -> DataFrame:

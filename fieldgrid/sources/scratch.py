@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,3 +37,19 @@ def release(spark: SparkSession) -> None:
     """Delete what this application has written to the shared folder; its results can't be read after that."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: What opening a file counts as in folders of many small ones, in bytes.
+SMALL_OPEN = 1 << 16
+
+
+@contextmanager
+def opening(spark: SparkSession, cost: int | str = SMALL_OPEN) -> Iterator[None]:
+    """Within it a scan deals files out to tasks as if opening one were reading ``cost`` bytes. A scan
+    is dealt out when its job runs, so that has to be inside (``cut``)."""
+    old = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", cost)
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", old)

@@ -51,6 +51,49 @@ def test_an_error_leaves_no_staging_folder(spark, tmp_path):
     assert files_of(str(tmp_path)) == []
 
 
+def odd_rows(spark):
+    rows = [(f"d{k % 3}/a b=%2F{k % 5}.csv", t, 1.5e-7 * k, k, k % 2 == 0) for k, t in enumerate(["x", "", None, 'q"u', "a,b", " s ", "l\\n", "é", "\t", "0"] * 7)]
+    df = spark.createDataFrame(rows, "output_file string, t string, `d.e` double, n int, b boolean")
+    return df.withColumn("day", F.expr("timestamp_seconds(n * 100000.5)")).withColumn("m", F.expr("cast(n / 8 as decimal(9, 3))"))
+
+
+@pytest.mark.parametrize("form", ["csv", "parquet"])
+def test_files_are_written_by_tasks_as_spark_writes_them(spark, tmp_path, monkeypatch, form):
+    df, empty = odd_rows(spark), spark.createDataFrame([("d0/none.csv",), ("d0/a b=%2F0.csv",)], "output_file string")
+    mine, its = str(tmp_path / "mi ne"), str(tmp_path / "its")
+    with monkeypatch.context() as m:
+        m.setattr(named, "_writable", lambda *_: False)
+        assert named.write_named(df, its, form=form, empty=empty, order=["n"]) == 16
+    refuse = lambda *_: pytest.fail("a file passes the driver")
+    for name in ("move", "copy", "files"):
+        monkeypatch.setattr(named.Store, name, refuse)
+    assert named.write_named(df, mine, form=form, empty=empty, order=["n"]) == 16
+    assert files_of(mine) == files_of(its)
+    if form == "csv":
+        for f in files_of(its):
+            assert (tmp_path / "mi ne" / f).read_bytes() == (tmp_path / "its" / f).read_bytes()
+    read = lambda root: spark.read.option("recursiveFileLookup", True).parquet(root)
+    if form == "parquet":
+        assert read(mine).schema == read(its).schema and sorted(map(str, read(mine).collect())) == sorted(map(str, read(its).collect()))
+        assert spark.read.parquet(f"{mine}/d0/none.csv").schema == read(its).schema
+
+
+def test_a_file_that_spark_wrote_is_replaced_with_its_checksum(spark, tmp_path, monkeypatch):
+    rows = lambda v: spark.createDataFrame([("a.csv", v)], "output_file string, v string")
+    with monkeypatch.context() as m:
+        m.setattr(named, "_writable", lambda *_: False)
+        named.write_named(rows("old"), str(tmp_path))
+    named.write_named(rows("new and longer"), str(tmp_path))
+    assert [r.value for r in spark.read.text(str(tmp_path)).collect()] == ["v", "new and longer"]
+
+
+def test_a_listing_is_made_once_and_has_files_of_no_bytes(spark, tmp_path):
+    put(tmp_path, full="x\n", none="", other="y\n")
+    there = manifest.on_disk(spark, str(tmp_path))
+    os.remove(tmp_path / "other.csv")
+    assert sorted(map(tuple, there.collect())) == [("full.csv", 2), ("none.csv", 0), ("other.csv", 2)]
+
+
 def test_what_is_on_disk_drives_skipping_and_reconciliation(spark, tmp_path):
     root = str(tmp_path)
     work = spark.createDataFrame([(f"f{k}", p, f"extracted/{p}/f{k}_{p}.csv") for k in range(3) for p in ("am", "pm")], "source_file string, pass string, output_file string")
