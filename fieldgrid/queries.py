@@ -643,15 +643,16 @@ def _mixed_folder(spark, sf_dir):
     rows = cleaned(spark, sf_dir).withColumn("k", F.substring("source_file", 3, 10).cast("long") % 6)
     rows = rows.withColumn("output_file", names.extracted_path(F.col("source_file"), F.col("pass")))
     root = scratch.place(spark, "mixed")
-    for k, columns in enumerate(_LAYOUTS):
-        named.write_named(rows.where(F.col("k") == k).select(*columns, "output_file"), root)
+    k = F.col("k")
+    by_layout = lambda of: F.when(k == 0, of(_LAYOUTS[0])).when(k == 1, of(_LAYOUTS[1])).when(k == 2, of(_LAYOUTS[2])).otherwise(of(_LAYOUTS[3]))
+    lines = rows.where("k < 4").select("output_file", F.lit(1).alias("at"), by_layout(lambda c: F.to_csv(F.struct(*c))).alias("value"))
+    heads = rows.where("k < 4").select("source_file", "pass", "k").distinct().select(names.extracted_path(F.col("source_file"), F.col("pass")).alias("output_file"), F.lit(0).alias("at"), by_layout(lambda c: F.lit(",".join(c))).alias("value"))
     texts = rows.where("k > 3").select("output_file", "k", F.concat_ws(",", *_LAYOUTS[0]).alias("line"))
-    first = texts.groupBy("output_file", "k").agg(F.max("line").alias("line"))
+    first = scratch.cut(texts.groupBy("output_file", "k").agg(F.max("line").alias("line")))
     # the greatest line comes once more, without its last field; what is no table is bytes of hashes
-    torn = first.where("k = 4").select("output_file", F.explode(F.array(F.lit(",".join(_LAYOUTS[0])), F.col("line"), F.substring_index("line", ",", 5))).alias("value"))
-    noise = first.where("k = 5").select("output_file", F.decode(F.unhex(F.sha2("line", 512)), "ISO-8859-1").alias("value"))
-    named.write_named(torn.repartition("output_file").sortWithinPartitions("output_file", F.desc(F.col("value") == ",".join(_LAYOUTS[0]))), root, form="text")
-    named.write_named(noise, root, form="text")
+    torn = first.where("k = 4").select("output_file", F.posexplode(F.array(F.lit(",".join(_LAYOUTS[0])), F.col("line"), F.substring_index("line", ",", 5))).alias("at", "value"))
+    noise = first.where("k = 5").select("output_file", F.lit(0).alias("at"), F.decode(F.unhex(F.sha2("line", 512)), "ISO-8859-1").alias("value"))
+    named.write_named(lines.unionByName(heads).unionByName(torn).unionByName(noise), root, form="text", order=["at"])
     return root
 
 
@@ -671,9 +672,11 @@ def header_scan(spark, sf_dir):
 def delimited_union(spark, sf_dir):
     """Files of different columns as one table, types found over all of them."""
     root = _mixed_folder(spark, sf_dir)
-    headers = io.read_headers(spark, root)
-    tables = headers.join(io.read_delimited(spark, root, ["pass"], headers).where("malformed").select("file_name").distinct(), "file_name", "left_anti").where(F.array_contains("header", "pass"))
-    read = io.inferred(io.read_delimited(spark, root, ["pass", "lon", "lat", "soil_moisture", "l_orderkey"], tables).drop("malformed"), keep=("file_name", "pass"))
+    headers = io.read_headers(spark, root).where(F.array_contains("header", "pass"))
+    with scratch.opening(spark):
+        every = scratch.cut(io.read_delimited(spark, root, ["pass", "lon", "lat", "soil_moisture", "l_orderkey"], headers))
+    whole = every.join(every.where("malformed").select("file_name").distinct(), "file_name", "left_anti").drop("malformed")
+    read = io.inferred(whole, keep=("file_name", "pass"))
     return read.select("file_name", "pass", r("lon"), r("lat"), r("soil_moisture"), "l_orderkey")
 
 

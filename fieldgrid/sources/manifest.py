@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 from ..functions import names
-from . import named
+from . import io, named
 from .scratch import cut, opening
 
 
@@ -61,12 +61,17 @@ def rows_on_disk(spark: SparkSession, root: str, form: str = "csv", pattern: str
     of delimited files, else what the format counts. The counts are made now and written to the shared
     folder."""
     listed = on_disk(spark, root, pattern).select("output_file")
-    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*")
     if listed.isEmpty():
         return listed.withColumn("rows", F.lit(0))
-    read = (reader.text(root) if form == "csv" else reader.format(form).load(root)).select(F.col("_metadata.file_path").alias("path"))
-    counted = read.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
-    counted = counted.select(named.Store(spark, root).below(F.col("path"), encoded=True).alias("output_file"), (F.col("n") - int(form == "csv")).alias("n"))
+    each = lambda df: df.groupBy("file_path").agg(F.count(F.lit(1)).alias("n"))
+    if form == "csv":
+        ends = F.octet_length("value") - F.octet_length(F.replace(F.col("value"), F.lit("\n"), F.lit("")))
+        whole = ends + F.when(F.endswith("value", F.lit("\n")) | (F.col("value") == ""), 0).otherwise(1)
+        counted = io.texts(spark, root, True).select("file_path", whole.cast("long").alias("n")).unionByName(each(io.texts(spark, root, False)))
+    else:
+        reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*").format(form)
+        counted = each(reader.load(root).select(F.col("_metadata.file_path").alias("file_path")))
+    counted = counted.select(named.Store(spark, root).below(F.col("file_path"), encoded=True).alias("output_file"), (F.col("n") - int(form == "csv")).alias("n"))
     with opening(spark):
         return cut(listed.join(counted, "output_file", "left").select("output_file", F.coalesce("n", F.lit(0)).cast("int").alias("rows")))
 

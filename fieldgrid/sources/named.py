@@ -83,19 +83,19 @@ class Store:
         return out
 
 
-def write_named(df: DataFrame, root: str, path: str = "output_file", form: str = "csv", empty: DataFrame | None = None, order: list[str | Column] | None = None) -> int:
+def write_named(df: DataFrame, root: str, path: str = "output_file", form: str = "csv", empty: DataFrame | None = None, order: list[str] | None = None) -> int:
     """Writes the rows of each ``path`` (below ``root``) as the one file of that name; the column
     itself stays out. Returns the number of files.
 
     ``empty`` (a table with the same column) are paths without rows: each gets a file of all columns
     and no row. Existing files of these paths are replaced, others stay. Rows without a path are not
-    written: a log has them as errors. ``order`` sorts the rows of each file. A path whose rows are a
-    third of all is still one file, and so one task's work."""
+    written: a log has them as errors. ``order`` are columns that sort the rows of each file and stay
+    out of it. A path whose rows are a third of all is still one file, and so one task's work."""
     spark, stage = df.sparkSession, f"_staging-{uuid.uuid4().hex}"
     store = Store(spark, root)
     keyed = df.where(F.col(path).isNotNull()).withColumnRenamed(path, KEY)
     none = None if empty is None else empty.where(F.col(path).isNotNull()).select(F.col(path).alias(KEY)).distinct()
-    write = _by_tasks if store.mounted() and _writable(keyed.drop(KEY).schema, form) else _by_driver
+    write = _by_tasks if store.mounted() and _writable(keyed.drop(KEY, *(order or [])).schema, form) else _by_driver
     try:
         return write(keyed, store, stage, form, none, order or [])
     finally:
@@ -106,7 +106,7 @@ def _by_driver(keyed: DataFrame, store: Store, stage: str, form: str, empty: Dat
     spark, options = keyed.sparkSession, {"header": True} if form == "csv" else {}
     dealt = keyed.repartition(KEY)
     dealt = dealt.sortWithinPartitions(KEY, *order) if order else dealt
-    dealt.write.partitionBy(KEY).options(**options).format(form).save(f"{store.root}/{stage}/rows")
+    dealt.drop(*order).write.partitionBy(KEY).options(**options).format(form).save(f"{store.root}/{stage}/rows")
     moves = []
     for folder, name in store.files(f"{stage}/rows") if store.exists(f"{stage}/rows") else []:
         moves.append((f"{stage}/rows/{folder}/{name}", unquote(folder.removeprefix(f"{KEY}="))))
@@ -116,7 +116,7 @@ def _by_driver(keyed: DataFrame, store: Store, stage: str, form: str, empty: Dat
         for done in [pool.submit(store.move, *m) for m in moves]:
             done.result()
         if copies:
-            nothing = spark.createDataFrame([], keyed.drop(KEY).schema).coalesce(1)
+            nothing = spark.createDataFrame([], keyed.drop(KEY, *order).schema).coalesce(1)
             nothing.write.options(**options).format(form).save(f"{store.root}/{stage}/none")
             ((_, name),) = store.files(f"{stage}/none")
             for done in [pool.submit(store.copy, f"{stage}/none/{name}", target) for target in copies]:
@@ -144,14 +144,14 @@ def _by_tasks(keyed: DataFrame, store: Store, stage: str, form: str, empty: Data
     """One job writes staged files, sorted by path within a partition, and a list of them; a second one
     renames them."""
     spark, root = keyed.sparkSession, store.mounted()
-    here, columns = f"{root}/{stage}/files", [F.col(f"`{c}`") for c in keyed.columns if c != KEY]
-    names = [c for c in keyed.columns if c != KEY]
+    names = [c for c in keyed.columns if c not in (KEY, *order)]
+    here, columns, schema = f"{root}/{stage}/files", [F.col(f"`{c}`") for c in names], keyed.drop(KEY, *order).schema
     # by the hash first: it stands in the sort's prefix, which paths with one beginning do not
     dealt = keyed.repartition(KEY).sortWithinPartitions(F.xxhash64(KEY), KEY, *order)
     if form == "parquet":
-        meta = {b"org.apache.spark.version": spark.version.encode(), b"org.apache.spark.sql.parquet.row.metadata": keyed.drop(KEY).schema.json().encode()}
+        meta = {b"org.apache.spark.version": spark.version.encode(), b"org.apache.spark.sql.parquet.row.metadata": schema.json().encode()}
         sink = lambda at: _Rows(at, meta)
-        head = to_arrow_schema(keyed.drop(KEY).schema)
+        head = to_arrow_schema(schema)
         dealt = dealt.select(KEY, *[c.alias(f"c{k}") for k, c in enumerate(columns)])
     else:
         line = F.to_csv(F.struct(*columns)) if form == "csv" else F.coalesce(columns[0], F.lit(""))

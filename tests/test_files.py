@@ -1,5 +1,6 @@
 """Files at the paths of the logs: sinks, what is on disk, headers, mixed folders, geometry."""
 
+import gzip
 import math
 import os
 import struct
@@ -54,7 +55,7 @@ def test_an_error_leaves_no_staging_folder(spark, tmp_path):
 def odd_rows(spark):
     rows = [(f"d{k % 3}/a b=%2F{k % 5}.csv", t, 1.5e-7 * k, k, k % 2 == 0) for k, t in enumerate(["x", "", None, 'q"u', "a,b", " s ", "l\\n", "é", "\t", "0"] * 7)]
     df = spark.createDataFrame(rows, "output_file string, t string, `d.e` double, n int, b boolean")
-    return df.withColumn("day", F.expr("timestamp_seconds(n * 100000.5)")).withColumn("m", F.expr("cast(n / 8 as decimal(9, 3))"))
+    return df.withColumn("at", -F.col("n")).withColumn("day", F.expr("timestamp_seconds(n * 100000.5)")).withColumn("m", F.expr("cast(n / 8 as decimal(9, 3))"))
 
 
 @pytest.mark.parametrize("form", ["csv", "parquet"])
@@ -63,11 +64,11 @@ def test_files_are_written_by_tasks_as_spark_writes_them(spark, tmp_path, monkey
     mine, its = str(tmp_path / "mi ne"), str(tmp_path / "its")
     with monkeypatch.context() as m:
         m.setattr(named, "_writable", lambda *_: False)
-        assert named.write_named(df, its, form=form, empty=empty, order=["n"]) == 16
+        assert named.write_named(df, its, form=form, empty=empty, order=["at"]) == 16
     refuse = lambda *_: pytest.fail("a file passes the driver")
     for name in ("move", "copy", "files"):
         monkeypatch.setattr(named.Store, name, refuse)
-    assert named.write_named(df, mine, form=form, empty=empty, order=["n"]) == 16
+    assert named.write_named(df, mine, form=form, empty=empty, order=["at"]) == 16
     assert files_of(mine) == files_of(its)
     if form == "csv":
         for f in files_of(its):
@@ -128,6 +129,43 @@ def test_files_of_differing_columns_are_one_table(spark, tmp_path):
     assert dict(io.inferred(df.where("not malformed"), keep=("file_name", "malformed")).dtypes) == {"file_name": "string", "malformed": "boolean", "t": "string", "x": "bigint", "y": "double", "z": "bigint"}
 
 
+def tasks_of(spark, name, job):
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        out, tracker = job(), spark.sparkContext.statusTracker()
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(name) for s in tracker.getJobInfo(j).stageIds]
+    return out, sum(s.numTasks for s in stages if s)
+
+
+def test_many_small_files_are_few_tasks(spark, tmp_path):
+    put(tmp_path, **{f"f{k}": f"x,y{k % 3}\n{k},2\n" for k in range(80)})
+    headers, n = tasks_of(spark, "headers", lambda: io.read_headers(spark, str(tmp_path)))
+    assert headers.count() == 80 and n < 40
+    counted, n = tasks_of(spark, "rows", lambda: manifest.rows_on_disk(spark, str(tmp_path)))
+    assert {r["rows"] for r in counted.collect()} == {1} and n < 100
+
+
+def test_lines_are_those_of_the_reader_of_lines(spark, tmp_path):
+    put(tmp_path, cr=b"x,y\r1,2\r\r\n3,4\r\n", bom="\ufeffx,y\n5,6\n".encode(), bytes=b"x,\xff\xfe\n7,\xff\n", end=b"x,y\n8,9", empty=b"", feeds=b"\n\n", big=b"x,y\n" + b"1,2\n" * 300_000 + b"11,12")
+    (tmp_path / "packed.csv.gz").write_bytes(gzip.compress(b"x,y\n13,14\n"))
+    rows = {r.output_file: r["rows"] for r in manifest.rows_on_disk(spark, str(tmp_path)).collect()}
+    lines = spark.read.option("recursiveFileLookup", True).text(str(tmp_path)).groupBy(F.col("_metadata.file_name").alias("f")).count().collect()
+    assert rows == {r.f: r["count"] - 1 for r in lines} | {"empty.csv": 0}
+    got = io.read_delimited(spark, str(tmp_path), ["x", "y"]).groupBy("file_name", "malformed", "x", "y").count().collect()
+    want = {("cr.csv", "1", "2", 1), ("cr.csv", "3", "4", 1), ("bom.csv", "5", "6", 1), ("bytes.csv", "7", None, 1), ("end.csv", "8", "9", 1), ("big.csv", "1", "2", 300_000), ("big.csv", "11", "12", 1), ("packed.csv.gz", "13", "14", 1)}
+    assert {(r.file_name, r.x, r.y, r["count"]) for r in got} == want and not any(r.malformed for r in got)
+
+
+def test_types_are_those_of_the_casts(spark):
+    columns = [["1", " 2 ", "+3", "-4"], ["1", "2.0"], ["1e3", ".5"], ["inf", "-Infinity", "NaN"], ["1", "x"], ["9223372036854775808"], ["1 2"], ["\t7\n", None], ["1d"], ["--1"], [None]]
+    for texts in columns:
+        df = spark.createDataFrame([(t,) for t in texts], "c string")
+        fits = [k for k in ("bigint", "double") if df.where(F.col("c").isNotNull() & F.col("c").try_cast(k).isNull()).isEmpty()]
+        assert io.inferred(df).dtypes == [("c", [*fits, "string"][0])], texts
+
+
 def test_a_folder_of_good_and_bad_files_gives_a_log_row_each(spark, tmp_path):
     line = lambda k, lat=40.0: f"g,20200711,am,{-96 + k / 10},{lat},{0.2 + k / 100}"
     good = "\n".join([HEADER, *map(line, range(5))]) + "\n"
@@ -191,3 +229,13 @@ def test_square_binary_is_the_polygon_of_square(spark):
     made = df.select(geo.square_binary(F.col("x"), F.col("y"), 9024.31).alias("a"), geo.well_known_binary(geo.square(F.col("x"), F.col("y"), 9024.31)).alias("b"), geo.square(F.col("x"), F.col("y"), 9024.31).alias("s"))
     for r in made.withColumn("back", geo.vertices(F.col("a"))).collect():
         assert r.a == r.b and all(math.isclose(p.x, q.x) and math.isclose(p.y, q.y) for p, q in zip(r.s, r.back))
+
+
+def test_geometry_of_any_number_is_read_back(spark):
+    odd = [5e-324, -2.2e-308, 1.7976931348623157e308, -0.0, math.inf, 1 / 3]
+    wkb = struct.pack("<BIII", 1, 3, 1, 3) + struct.pack("<6d", *odd)
+    df = spark.createDataFrame([(k, bytearray(wkb) if k % 3 else None) for k in range(50)], "k int, g binary")
+    got = {r.k: r.v for r in df.select("k", geo.vertices(F.col("g")).alias("v")).collect()}
+    assert all((struct.pack("<6d", *(c for p in v for c in p)) == wkb[13:]) if k % 3 else v is None for k, v in got.items())
+    made = spark.createDataFrame([(1.0, None), (None, 2.0), (5e-324, 0.0)], "x double, y double").select(geo.square_binary(F.col("x"), F.col("y"), 0.0).alias("g")).collect()
+    assert [r.g is None for r in made] == [True, True, False] and made[2].g[13:29] == struct.pack("<2d", 5e-324, 0.0)
