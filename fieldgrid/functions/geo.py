@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -67,30 +70,45 @@ def well_known_binary(ring: Column, count: int = 5) -> Column:
 
 
 def square_binary(x: Column, y: Column, size: float) -> Column:
-    """``well_known_binary`` of ``square``: its five vertices have four different numbers, each made
-    into bytes once."""
-    h = size / 2
-    left, right, low, high = (_double_bytes(c) for c in (x - h, x + h, y - h, y + h))
-    return F.unhex(F.concat(F.lit(_head(5)), left, low, right, low, right, high, left, high, left, low))
+    """``well_known_binary`` of ``square``, a batch of rows at once."""
+    head, h = np.frombuffer(bytes.fromhex(_head(5)), np.uint8), size / 2
 
+    @F.arrow_udf("binary")
+    def made(x: pa.Array, y: pa.Array) -> pa.Array:
+        east, north = (v.fill_null(0.0).to_numpy(zero_copy_only=False) for v in (x, y))
+        left, right, low, high = east - h, east + h, north - h, north + h
+        ring = np.stack([left, low, right, low, right, high, left, high, left, low], axis=1).astype("<f8")
+        out = np.concatenate([np.broadcast_to(head, (len(ring), len(head))), ring.view(np.uint8)], axis=1)
+        places = np.arange(len(out) + 1, dtype=np.int32) * np.int32(out.shape[1])
+        found = pa.Array.from_buffers(pa.binary(), len(out), [None, pa.py_buffer(places), pa.py_buffer(np.ascontiguousarray(out))])
+        return pc.if_else(pc.and_(x.is_valid(), y.is_valid()), found, pa.scalar(None, pa.binary()))
 
-def _double_of(text: Column, at: Column) -> Column:
-    """The double whose eight bytes, lowest first, stand in ``text`` (hexadecimal) from ``at`` (1-based)."""
-    turned = F.concat(*[F.substr(text, at + F.lit(k), F.lit(2)) for k in range(14, -1, -2)])
-    number = lambda first, n: F.conv(F.substring(turned, first, n), 16, 10).cast("long")
-    top, fraction = number(1, 3), number(4, 13)
-    size = (1 + fraction / float(1 << 52)) * F.pow(F.lit(2.0), (top % 2048 - 1023).cast("double"))
-    size = F.when((top % 2048 == 0) & (fraction == 0), 0.0).otherwise(size)
-    return F.when(top >= 2048, -size).otherwise(size)
+    return made(x, y)
 
 
 def vertices(wkb: Column) -> Column:
     """The vertices of a little-endian WKB polygon of one ring, as ``square`` gives them; null for any
-    other geometry and for a value whose length is not that of its vertices. Exact for normal numbers."""
-    text = F.hex(wkb)
-    byte = lambda k: F.conv(F.substring(text, 2 * k + 1, 2), 16, 10).cast("int")
-    count = byte(9) + 256 * byte(10) + 65536 * byte(11)
-    fine = (F.substring(text, 1, 18) == _head(0)[:18].upper()) & (F.length(text) == 26 + 32 * count) & (byte(12) == 0)
-    at = lambda k, part: 27 + 32 * k + 16 * part
-    points = F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.struct(_double_of(text, at(k, 0)).alias("x"), _double_of(text, at(k, 1)).alias("y")))
-    return F.when(fine & (count > 0), points)
+    other geometry and for a value whose length is not that of its vertices. A batch of rows at once."""
+    head = np.frombuffer(bytes.fromhex(_head(0))[:9], np.uint8)
+
+    @F.arrow_udf("array<struct<x: double, y: double>>")
+    def read(wkb: pa.Array) -> pa.Array:
+        wkb = wkb.cast(pa.large_binary())
+        _, places, data = wkb.buffers()
+        at = np.frombuffer(places, np.int64)[wkb.offset : wkb.offset + len(wkb) + 1]
+        data = np.frombuffer(data if data is not None else b"", np.uint8)
+        begin, length = at[:-1], np.diff(at)
+        fine = wkb.is_valid().to_numpy(zero_copy_only=False) & (length >= 13)
+        count = np.zeros(len(wkb), np.int64)
+        known = begin[fine]
+        count[fine] = data[known[:, None] + np.arange(9, 13)].copy().view("<u4")[:, 0]
+        fine[fine] = (data[known[:, None] + np.arange(9)] == head).all(axis=1)
+        fine &= (count > 0) & (length == 13 + 16 * count)
+        count[~fine] = 0
+        ends = np.concatenate([[0], np.cumsum(count)])
+        point = np.repeat(begin + 13, count) + 16 * (np.arange(ends[-1]) - np.repeat(ends[:-1], count))
+        xy = data[point[:, None] + np.arange(16)].copy().view("<f8")
+        points = pa.StructArray.from_arrays([pa.array(xy[:, 0]), pa.array(xy[:, 1])], names=["x", "y"])
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), points, mask=pa.array(~fine))
+
+    return read(wkb)

@@ -711,7 +711,8 @@ def geometry_round_trip(spark, sf_dir):
     named.write_named(cells.withColumn("output_file", names.detrended_path(F.col("source_file"), F.col("pass"))), root := scratch.place(spark, "cells"), form="parquet")
     back = spark.read.option("recursiveFileLookup", True).parquet(root).withColumn("s", geo.vertices(F.col("geometry")))
     corners = [F.round(F.col("s")[k][c], 2).alias(f"{c}{k}") for k in range(4) for c in "xy"]
-    return back.select(*KEYS, "l_orderkey", "l_linenumber", "l_partkey", "srid", F.size("s").alias("n_vertices"), *corners, (F.col("s")[0] == F.col("s")[4]).alias("closed"))
+    with scratch.opening(spark):
+        return scratch.cut(back.select(*KEYS, "l_orderkey", "l_linenumber", "l_partkey", "srid", F.size("s").alias("n_vertices"), *corners, (F.col("s")[0] == F.col("s")[4]).alias("closed")))
 
 
 @query(f"""WITH {_EXTRACT_SQL}, n AS (SELECT source_file, pass, k, CAST(count(*) FILTER (value BETWEEN 0 AND 1) AS INTEGER) AS rows FROM x GROUP BY source_file, pass, k)
