@@ -239,3 +239,18 @@ def test_geometry_of_any_number_is_read_back(spark):
     assert all((struct.pack("<6d", *(c for p in v for c in p)) == wkb[13:]) if k % 3 else v is None for k, v in got.items())
     made = spark.createDataFrame([(1.0, None), (None, 2.0), (5e-324, 0.0)], "x double, y double").select(geo.square_binary(F.col("x"), F.col("y"), 0.0).alias("g")).collect()
     assert [r.g is None for r in made] == [True, True, False] and made[2].g[13:29] == struct.pack("<2d", 5e-324, 0.0)
+
+
+def by_tasks_alone(monkeypatch):
+    for name in ("move", "copy", "files"):
+        monkeypatch.setattr(named.Store, name, lambda *_: pytest.fail("a file passes the driver"))
+
+
+def test_extracted_files_do_not_pass_the_driver(spark, tmp_path, monkeypatch):
+    by_tasks_alone(monkeypatch)
+    p = "Soil_Moisture_Retrieval_Data_AM"
+    rows = lambda name, v: chunks(name, f"{p}/soil_moisture", v) + chunks(name, "lon", [1, 2]) + chunks(name, "lat", [5, 6, 7])
+    arrays = spark.createDataFrame(rows("a.nc4", V) + rows("none.nc4", V + 5), schemas.ARRAYS)
+    log = extract.extract_to_files(arrays, spark.createDataFrame([], schemas.ATTRIBUTES), str(tmp_path))
+    assert {r.output_file: r["rows"] for r in log.collect()} == {"extracted/am/a_am.csv": 6, "extracted/am/none_am.csv": 0}
+    assert (tmp_path / "extracted/am/none_am.csv").read_text() == HEADER + "\n"
