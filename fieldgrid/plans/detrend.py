@@ -11,7 +11,7 @@ from ..operators import audit, clean, granules, trend
 from ..schemas import CELLS, EXTRACTED, REQUIRED
 from ..sources import io, manifest
 from ..sources.named import write_named
-from ..sources.scratch import cut
+from ..sources.scratch import cut, opening
 
 
 def projected(rows: DataFrame) -> DataFrame:
@@ -123,7 +123,8 @@ def detrend_files(spark: SparkSession, root: str, label: str | None = None, orde
         fine = headers.join(lacking.select(F.col("source_file").alias("file_name")), "file_name", "left_anti")
         read = io.read_delimited(spark, root, [c for c in REQUIRED if c != "source_file"], fine)
         number = lambda c: clean.to_double(F.col(c)).alias(c)
-        read = cut(read.select(F.col("file_name").alias("source_file"), F.coalesce("date_tag", F.lit("")).alias("date_tag"), "pass", *map(number, ("lon", "lat", "soil_moisture")), "malformed"))
+        with opening(spark):
+            read = cut(read.select(F.col("file_name").alias("source_file"), F.coalesce("date_tag", F.lit("")).alias("date_tag"), "pass", *map(number, ("lon", "lat", "soil_moisture")), "malformed"))
         bad = read.where("malformed").groupBy("source_file").agg(F.count(F.lit(1)).alias("n"))
         lacking = lacking.unionByName(bad.select("source_file", F.format_string("error: %d malformed records", F.col("n")).alias("note")))
         rows = read.drop("malformed")

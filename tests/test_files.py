@@ -254,3 +254,10 @@ def test_extracted_files_do_not_pass_the_driver(spark, tmp_path, monkeypatch):
     log = extract.extract_to_files(arrays, spark.createDataFrame([], schemas.ATTRIBUTES), str(tmp_path))
     assert {r.output_file: r["rows"] for r in log.collect()} == {"extracted/am/a_am.csv": 6, "extracted/am/none_am.csv": 0}
     assert (tmp_path / "extracted/am/none_am.csv").read_text() == HEADER + "\n"
+
+
+def test_a_job_over_many_files_is_few_tasks(spark, tmp_path):
+    line = lambda k: f"g,20200711,am,{-96 + k / 10},{40 + k % 3},{0.2 + k / 100}"
+    put(tmp_path, **{f"g{k}_am": "\n".join([HEADER, *map(line, range(6 + k % 3))]) + "\n" for k in range(60)})
+    log, n = tasks_of(spark, "job", lambda: detrend.detrend_files(spark, str(tmp_path), numbered=False)[1].collect())
+    assert {(r.status, r["rows"]) for r in log} == {("written", 6), ("written", 7), ("written", 8)} and len(log) == 60 and n < 150
