@@ -261,3 +261,11 @@ def test_a_job_over_many_files_is_few_tasks(spark, tmp_path):
     put(tmp_path, **{f"g{k}_am": "\n".join([HEADER, *map(line, range(6 + k % 3))]) + "\n" for k in range(60)})
     log, n = tasks_of(spark, "job", lambda: detrend.detrend_files(spark, str(tmp_path), numbered=False)[1].collect())
     assert {(r.status, r["rows"]) for r in log} == {("written", 6), ("written", 7), ("written", 8)} and len(log) == 60 and n < 150
+
+
+def test_cells_and_empty_files_do_not_pass_the_driver(spark, tmp_path, monkeypatch):
+    by_tasks_alone(monkeypatch)
+    rows = spark.createDataFrame([("a_am.csv", "", "am", -96.0, 40.0, 0.1)], schemas.EXTRACTED)
+    cells, log = detrend.detrend_all(rows, files=spark.createDataFrame([("in/a_am.csv",), ("in/e_pm.csv",)], "file_name string"))
+    assert detrend.write_cells(cells, log, str(tmp_path)) == 2
+    assert {r.output_file: r["rows"] for r in manifest.rows_on_disk(spark, str(tmp_path), "parquet").collect()} == {"detrended/am/a_am.rds": 1, "detrended/pm/e_pm.rds": 0}
